@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,27 @@ def release(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="tessera-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(target))  # the driver serves it to the executors
+        _SHIPPED.add(app)
+
+
+def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def utf8(text: Column) -> Column:
     """The text's bytes; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -11,15 +11,42 @@ def op1_hilbert_shards(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_warc_split(spark, sf_dir):
+    from .warc import pages_by_archive
+
+    return pages_by_archive(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op6_exact_dedup)}
+def op9_token_records(spark, sf_dir):
+    from .records import token_records
+
+    return token_records(table(spark, sf_dir, "documents"), end_id=2)
+
+
+def op10_best_fit(spark, sf_dir):
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_warc_split, op6_exact_dedup, op9_token_records, op10_best_fit)}
 
 ORACLE_SQL = {
+    "op3_warc_split": """
+        WITH t AS (
+          SELECT page_id, url, encode(coalesce(html, '')) AS p FROM pages),
+        d AS (SELECT page_id, url, octet_length(p) AS payload_bytes, sha256(p) AS payload_digest FROM t),
+        g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to, url
+        FROM g""",
     "op6_exact_dedup": """
         WITH t AS (
           SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
