@@ -171,3 +171,28 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     start = np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1]))
     end = np.flatnonzero(word[1:-1] & (~word[2:] | cut[1:])) + 1
     return start, end, np.searchsorted(start, off)
+
+
+def ngram_counts(data: np.ndarray, row: np.ndarray, rows: int, sizes: tuple[int, ...], dims: int) -> np.ndarray:
+    """Counts of hashed byte n-grams by row (float32, rows x dims); no n-gram crosses from one row to the next.
+
+    ``row`` is the row of each byte, in ascending order.
+    """
+    out = np.zeros(rows * dims, np.float32)
+    for n in sizes:
+        m = len(data) - n + 1
+        if m <= 0:
+            continue
+        key = np.zeros(m, np.uint32)
+        for k in range(n):
+            key = key * np.uint32(257) + data[k : k + m]
+        key = ((key + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - (dims.bit_length() - 1))
+        at = row[:m] * dims + key
+        at = at[row[:m] == row[n - 1 :]]
+        out += np.bincount(at, minlength=len(out)).astype(np.float32)
+    return out.reshape(rows, dims)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.maximum(norm, 1e-12)

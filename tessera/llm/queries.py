@@ -11,12 +11,24 @@ def op1_hilbert_shards(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op2_language_codes(spark, sf_dir):
+    from .language import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_split(spark, sf_dir):
     from .warc import pages_by_archive
 
     return pages_by_archive(table(spark, sf_dir, "pages"))
 
 
+def op5_attention_quality(spark, sf_dir):
+    from .quality import qualities
+
+    return qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_dedup
 
@@ -35,7 +47,7 @@ def op10_best_fit(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op3_warc_split, op6_exact_dedup, op9_token_records, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_language_codes, op3_warc_split, op5_attention_quality, op6_exact_dedup, op9_token_records, op10_best_fit)}
 
 ORACLE_SQL = {
     "op3_warc_split": """
