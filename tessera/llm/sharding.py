@@ -61,7 +61,8 @@ def hilbert_order(df: DataFrame, dims: list[str], ties: list[str], bits: int = 5
     steps = 1 << bits
     keys = [f"_k{i}" for i in range(len(dims))]
     axes = [f"_a{i}" for i in range(len(dims))]
-    keyed = df.withColumns({k: order_key(df, d) for k, d in zip(keys, dims)})
+    # Written, so that a quantile's lambda compares a column and not the key's whole expression again.
+    keyed = stage(df.withColumns({k: order_key(df, d) for k, d in zip(keys, dims)}), "keys")
     cuts = ", ".join(str(i / steps) for i in range(1, steps))
     # One row of (2 ** bits - 1) numbers for each dimension, whatever the input.
     edges = keyed.agg(*[F.expr(f"approx_percentile({k}, array({cuts}), 10000)").alias(k) for k in keys]).first()
@@ -114,15 +115,12 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     Returns doc_id, size (UTF-8 bytes of the text plus 1; null text has none), text_crc32 (null text as
     empty), law ("rows"), shard, slot, grown_shard (null under this law), curve, source, lang.
     """
-    meta = stage(
-        docs.select(
-            "doc_id",
-            (F.octet_length(utf8(F.col("text"))).cast("long") + 1).alias("size"),
-            F.crc32(utf8(F.col("text"))).alias("text_crc32"),
-            "source",
-            "lang",
-        ),
-        "metadata",
+    meta = docs.select(
+        "doc_id",
+        (F.octet_length(utf8(F.col("text"))).cast("long") + 1).alias("size"),
+        F.crc32(utf8(F.col("text"))).alias("text_crc32"),
+        "source",
+        "lang",
     )
     out = hilbert_shards(meta, ["source", "lang", "size"], ["text_crc32", "doc_id"], shards)
     return out.select(
