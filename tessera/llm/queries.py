@@ -23,6 +23,12 @@ def op3_warc_split(spark, sf_dir):
     return pages_by_archive(table(spark, sf_dir, "pages"))
 
 
+def op4_template_leaks(spark, sf_dir):
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_attention_quality(spark, sf_dir):
     from .quality import qualities
 
@@ -47,7 +53,7 @@ def op10_best_fit(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_language_codes, op3_warc_split, op5_attention_quality, op6_exact_dedup, op9_token_records, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_language_codes, op3_warc_split, op4_template_leaks, op5_attention_quality, op6_exact_dedup, op9_token_records, op10_best_fit)}
 
 ORACLE_SQL = {
     "op3_warc_split": """
