@@ -48,7 +48,7 @@ def with_hilbert_index(cells: DataFrame, axes: list[str], bits: int) -> DataFram
     return cells.withColumn("curve", curve).drop("_x", "_y", "_t")
 
 
-def hilbert_order(df: DataFrame, dims: list[str], ties: list[str], bits: int = 5, bucket: int = 4096) -> DataFrame:
+def hilbert_order(df: DataFrame, dims: list[str], ties: list[str], bits: int = 5, bucket: int = 512) -> DataFrame:
     """df with ``curve`` (the cell's position), ``rank`` (gapless from 0 along the curve) and ``total``.
 
     Every dimension is quantised at its own quantiles into 2 ** bits steps, so steps hold like numbers
@@ -81,6 +81,8 @@ def hilbert_order(df: DataFrame, dims: list[str], ties: list[str], bits: int = 5
         F.sum("_cell_n").over(whole).alias("total"),
         F.ceil(F.col("_cell_n") / bucket).alias("_buckets"),
     )
+    # Written, so that no filter on the curve's place is pushed below the count by cell, to every row.
+    cells = stage(cells, "cells")
     # Broadcast: one row for each cell, and there are 2 ** 15 cells at most.
     rows = rows.join(F.broadcast(cells), axes).drop(*axes)
     rows = rows.withColumn("_b", F.pmod(F.xxhash64(*ties), F.col("_buckets")))
