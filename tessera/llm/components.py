@@ -1,0 +1,29 @@
+"""Connected components of an edge table, by DataFrame joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import release, stage
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, comp) for every node of edges (a, b): comp is the smallest node that can be reached.
+
+    Rounds of neighbour minima and pointer jumping: each node takes the smallest label among its own, its
+    neighbours', and its label's label, so chains halve in each round. Labels are written to the shared
+    folder in every round; only a count comes to the driver. Self-loops and repeated edges do no harm.
+    """
+    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("low"))
+        lower = labels.join(near, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "low").alias("low"))
+        jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("next"))
+        new = stage(lower.join(jump, "low").select("node", F.least("low", "next").alias("comp"), (F.least("low", "next") < F.col("comp")).alias("moved")), "labels")
+        release(labels)
+        labels = new
+        if not labels.where("moved").limit(1).count():
+            return labels.select("node", "comp")
+    raise RuntimeError(f"components haven't settled after {rounds} rounds")

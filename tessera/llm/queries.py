@@ -41,6 +41,12 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_count_vector_join(spark, sf_dir):
+    from .ngram_join import ngram_classes
+
+    return ngram_classes(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_token_records(spark, sf_dir):
     from .records import token_records
 
@@ -53,7 +59,7 @@ def op10_best_fit(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_language_codes, op3_warc_split, op4_template_leaks, op5_attention_quality, op6_exact_dedup, op9_token_records, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_language_codes, op3_warc_split, op4_template_leaks, op5_attention_quality, op6_exact_dedup, op7_count_vector_join, op9_token_records, op10_best_fit)}
 
 ORACLE_SQL = {
     "op3_warc_split": """
