@@ -6,12 +6,18 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
 
 from .common import pieces
 
 #: Words kept with their ids in each worker. More words are encoded when they turn up again.
-MOST_WORDS = 150_000
-_RUNS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+MOST_WORDS = 300_000
+#: Words that go to the tokenizer in one string.
+TOGETHER = 64
+#: Runs that the vocabulary's pattern takes as one piece whatever stands around them, and a word made of two such.
+_LETTERS, _SIGNS = "[a-zß-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]+"
+_ONE = re.compile(f"{_LETTERS}|{_SIGNS}")
+_TWO = re.compile(f"({_LETTERS})({_SIGNS})")
 
 
 def default_vocabulary() -> str:
@@ -23,9 +29,10 @@ def default_vocabulary() -> str:
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its
-    space-separated runs, one after another. Runs are looked up, and those not seen before go through
-    the tokenizers library a batch at a time.
+    The vocabulary folds case, drops white space and never joins across it, so a text's ids are those of
+    its space-separated words, one after another. Words are looked up; those not seen before go through
+    the tokenizers library, many at a time. Texts that hold the start of a special token's string keep
+    their case.
     """
 
     def __init__(self, path: str):
@@ -33,21 +40,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one piece each: encoded in strings of many, and cut after each token that ends a word."""
+        got = self.tokenizer.encode_batch_fast([" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in got])
+        cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cut) != len(words) or cut[-1] != 4 * len(ids):
+            return self._whole(words)
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *cut.tolist()], cut.tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        runs = [_RUNS.findall(t) for t in texts]
+        runs = [(b if b"<|" in b else b.lower()).split() for b in (t.encode() for t in texts)]
         known = self.known
-        fresh: list[str] = list({w for r in runs for w in r if w not in known})
+        fresh = list(set().union(*runs) - known.keys())
         if fresh:
-            got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            ids = [e.ids for e in got]
-            mark = np.cumsum([0, *map(len, ids)]) * 4
-            flat = np.fromiter((i for x in ids for i in x), "<u4", mark[-1] // 4).tobytes()
-            known.update(zip(fresh, (flat[a:b] for a, b in zip(mark.tolist(), mark[1:].tolist()))))
+            two, one, other = [], set(), []
+            for word in fresh:
+                s = word.decode()
+                if m := _TWO.fullmatch(s):
+                    two.append((word, m[1].encode(), m[2].encode()))
+                    one.update(x for x in two[-1][1:] if x not in known)
+                elif _ONE.fullmatch(s):
+                    one.add(word)
+                else:
+                    other.append(word)
+            if one:
+                known.update(zip(one, self._joined([w.decode() for w in one])))
+            if other:
+                known.update(zip(other, self._whole([w.decode() for w in other])))
+            known.update((w, known[a] + known[b]) for w, a, b in two)
         out = [b"".join(map(known.__getitem__, r)) for r in runs]
         if len(known) > MOST_WORDS:
             for w in fresh[: len(known) - MOST_WORDS]:
