@@ -199,7 +199,8 @@ def read_archives(archives: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
     ranges = archives.select(
         "path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"), "bytes"
     ).select("path", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("end"))
-    return map_arrow(ranges.repartition(F.col("path"), F.col("start")), read, RECORDS)
+    n = archives.agg(F.sum(F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / range_bytes))).first()[0] or 1
+    return map_arrow(ranges.repartition(int(n)), read, RECORDS)  # a task for each range
 
 
 def pages_by_archive(pages: DataFrame) -> DataFrame:
