@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 #: The letters that ASCII lower-casing maps.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,8 +49,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and it outlives executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(BATCH_ROWS)
+    conf.set(BATCH_ROWS, str(min(int(before), 1000)))  # whole texts are long, and a batch is held in memory
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH_ROWS, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -75,9 +84,21 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
+def trimmed(f):
+    """f for mapInArrow, giving memory back when a task ends: the worker waits beside the executor's other stages."""
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from f(batches)
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(trimmed(f), schema)
 
 
 def utf8(text: Column) -> Column:
@@ -93,7 +114,7 @@ def ascii_lower(text: Column) -> Column:
 # --- Arrow and numpy ---------------------------------------------------------------------------
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """Cuts a batch into runs of rows of about ``most`` bytes of a string column (one row at least)."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     if not len(size):
