@@ -47,6 +47,12 @@ def op7_count_vector_join(spark, sf_dir):
     return ngram_classes(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op8_suffix_repeats(spark, sf_dir):
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op9_token_records(spark, sf_dir):
     from .records import token_records
 
@@ -59,7 +65,7 @@ def op10_best_fit(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_language_codes, op3_warc_split, op4_template_leaks, op5_attention_quality, op6_exact_dedup, op7_count_vector_join, op9_token_records, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_language_codes, op3_warc_split, op4_template_leaks, op5_attention_quality, op6_exact_dedup, op7_count_vector_join, op8_suffix_repeats, op9_token_records, op10_best_fit)}
 
 ORACLE_SQL = {
     "op3_warc_split": """
