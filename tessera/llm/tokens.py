@@ -11,7 +11,7 @@ import numpy as np
 from .common import pieces
 
 #: Words kept with their ids in each worker. More words are encoded when they turn up again.
-MOST_WORDS = 300_000
+MOST_WORDS = 800_000
 #: Words that go to the tokenizer in one string.
 TOGETHER = 64
 #: Runs that the vocabulary's pattern takes as one piece whatever stands around them, and a word made of two such.
@@ -96,7 +96,7 @@ def encoded(batches, path: str, end_id: int, id_col: str = "doc_id", text_col: s
     last = int(end_id).to_bytes(4, "little")
     coder = encoder(path)
     for batch in batches:
-        for part in pieces(batch, text_col):
+        for part in pieces(batch, text_col, 1 << 22):
             texts = [t or "" for t in part.column(text_col).to_pylist()]
             yield part.column(id_col), [x + last for x in coder.encode(texts)]
 
