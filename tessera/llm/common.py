@@ -217,3 +217,14 @@ def ngram_counts(data: np.ndarray, row: np.ndarray, rows: int, sizes: tuple[int,
 def unit_rows(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     return x / np.maximum(norm, 1e-12)
+
+
+#: Identifiers that are broadcast at most; more are joined by a shuffle.
+MOST_IDS = 400_000
+
+
+def without(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose identifier is in drop (id_col). A short list goes to the documents, so their texts stay in place."""
+    drop = stage(drop.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "drop")
+    few = drop.count() <= MOST_IDS
+    return docs.join(F.broadcast(drop) if few else drop, id_col, "left_anti").select(*docs.columns)
