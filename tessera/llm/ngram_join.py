@@ -314,7 +314,10 @@ def ngram_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     placed = posts.select("token", "id").distinct().join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     placed = stage(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi")
+    # Buckets with the very same members (two long texts share hundreds) give the same pairs: one of them is searched.
+    member = [F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("again"), "id")).alias("x2"), F.min("id").alias("i1"), F.max("id").alias("i2")]
+    buckets = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), *member).where("lo != hi")
+    mixed = buckets.groupBy("x1", "x2", "i1", "i2", "m").agg(F.min("token").alias("token"))
     mixed = stage(mixed.select("token", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "mixed")
     tiled = placed.join(mixed, "token").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).join(info, "id")
     tiled = stage(tiled.select("token", "tile", "tiles", "id", "n", "comp", "vec"), "tiled")
