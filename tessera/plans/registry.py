@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import graph, search, usage
+from . import graph, notes, search, usage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (usage, search, graph):
+for _plans in (usage, search, graph, notes):
     QUERIES.update(_plans.QUERIES)
     ORACLE_SQL.update(_plans.ORACLE_SQL)
