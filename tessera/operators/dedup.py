@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import folder_key
 from ..functions.vectors import centroids, similar_pairs
 from ..functions.vocab import STRICT_FOLDERS, TUNING
-from .graph import checkpointed, components
+from ..sources.io import stage
+from .graph import components
 
 
 def pair_threshold(folder_a: Column, folder_b: Column, base: float = TUNING.dedup_base, include_all: bool = False, strict: dict[str, float] = STRICT_FOLDERS) -> Column:
@@ -38,12 +39,12 @@ def suppressed(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("pairs"), F.count_if(~F.col("kept")).alias("suppressed"))
 
 
-def clusters(pairs: DataFrame, updated: DataFrame, write=checkpointed) -> DataFrame:
+def clusters(pairs: DataFrame, updated: DataFrame, write=stage) -> DataFrame:
     """Members of each cluster: cluster, id, canonical, label ("canon", the similarity to the canonical, or "trans").
 
     The canonical member is the newest (updated: id, updated_at; ties by the smallest id).
     """
-    kept = pairs.where("kept").select("a", "b", "sim")
+    kept = write(pairs.where("kept").select("a", "b", "sim"))
     comp = components(kept, write).withColumnRenamed("node", "id")
     newest = Window.partitionBy("comp").orderBy(F.desc("updated_at"), "id")
     member = comp.join(updated, "id").withColumn("canonical", F.first("id").over(newest))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entity_key
 from ..functions.vocab import KNOWLEDGE_RELATIONS, KNOWLEDGE_TYPES, TUNING
+from ..sources.io import stage
 
 #: Entities asked about in one call: they are sent to every task.
 MOST_ROOTS = 10_000
@@ -100,32 +101,26 @@ def project_nodes(entities: DataFrame, documents: DataFrame) -> DataFrame:
     return entities.join(d, "document_id", "left").select("entity_id", "type", "name", kind.alias("kind"), origin.alias("origin"), F.col("metadata.summary").alias("summary"))
 
 
-def components(edges: DataFrame, write, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, write=stage, rounds: int = 60) -> DataFrame:
     """(node, comp) with comp the smallest node that can be reached over edges (a, b).
 
-    Neighbour minima and pointer jumping; ``write`` puts each round's labels where all executors read them
-    and returns them read back, so lineage stays short and lost executors cost no round.
+    Each round hangs every node, and the label it has, under the smallest label across its edges, and
+    then follows labels twice; trees halve in height, so rounds grow with the logarithm of the nodes.
+    ``write`` puts each round's labels where all executors read them and returns them read back: lineage
+    stays short and a lost executor costs no round. Only a yes or no comes to the driver. Self-loops and
+    repeated edges do no harm.
     """
     both = write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"))
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("low"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "low").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("next"))
-        labels = write(lower.join(jump, "low").select("node", F.least("low", "next").alias("comp"), (F.least("low", "next") < F.col("comp")).alias("moved")))
+        ends = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("low"))
+        ends = ends.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").where("low < ca")
+        offers = ends.select(F.col("a").alias("node"), "low").unionByName(ends.select(F.col("ca").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low"))
+        hung = write(labels.join(offers, "node", "left").select("node", F.least("comp", "low").alias("comp"), F.col("low").isNotNull().alias("moved")))
+        for _ in range(2):
+            up = hung.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+            hung = hung.join(up, "comp").select("node", F.col("top").alias("comp"), (F.col("moved") | (F.col("top") < F.col("comp"))).alias("moved"))
+        labels = write(hung)
         if not labels.where("moved").limit(1).count():
             return labels.select("node", "comp")
     raise RuntimeError(f"components haven't settled after {rounds} rounds")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset and all runs in one process."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()

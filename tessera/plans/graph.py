@@ -138,4 +138,4 @@ def moc_by_group(spark, sf_dir):
     reach AS (SELECT src AS node, src AS seen FROM b UNION SELECT node, b.dst FROM reach JOIN b ON seen = b.src) SELECT node, min(seen) AS comp FROM reach GROUP BY node""")
 def graph_components(spark, sf_dir):
     edges = catalog.edges(spark, sf_dir).where("type IN ('BELONGS_TO', 'CALLS_HTTP')").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return graph.components(edges, graph.checkpointed)
+    return graph.components(edges)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,6 +25,30 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where it is unset and all runs in one process, a temporary one."""
+    got = spark.conf.get("spark.checkpoint.dir", None)
+    if not got:
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        got = set_before.get() if set_before.isDefined() else None
+    if not got:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        got = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(got)
+    return got.rstrip("/")
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and it outlives executors. It goes with the session's JVM."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
