@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import fold, map_arrow, mix, pieces, prefix_hash, raw, span_hash, stage, words
-from .components import components
 
 #: Coordinates of a point: tokens are hashed into so many groups.
 GROUPS = 128
@@ -16,6 +16,8 @@ GROUPS = 128
 LEAF, TILE = 32, 512
 #: Frequent n-grams that are kept at most, and documents that are sampled to find them.
 MOST_FREQUENT, SAMPLE = 50_000, 20_000
+#: Pairs that a task remembers; it forgets them all beyond that, and passes some on again.
+MOST_SEEN = 500_000
 #: Identifiers that are broadcast at most.
 MOST_BROADCAST = 400_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -134,6 +136,16 @@ def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Surviving pairs of different components inside each tile; rows (token, tile, id, n, comp, vec) come sorted by tile."""
 
     def join(batches):
+        seen: set = set()  # long texts meet in hundreds of buckets; a task passes a pair on once
+        for found in searched(batches):
+            pairs = [p for p in zip(found.column("a").to_pylist(), found.column("b").to_pylist()) if p not in seen]
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            seen.update(pairs)
+            fresh = list(dict.fromkeys(pairs))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in fresh], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def searched(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
