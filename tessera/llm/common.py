@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -61,11 +62,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes what stage() wrote, once nothing will read it again."""
-    spark, path = df.sparkSession, df._staged_at
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def release(*dfs: DataFrame) -> None:
+    """Deletes what stage() wrote, once nothing will read it again, and lets Spark drop the shuffle files of finished queries.
+
+    Spark drops those when the driver's garbage is collected, which a large heap may put off for long.
+    """
+    for df in dfs:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    dfs[0].sparkSession._jvm.System.gc()
 
 
 _SHIPPED: set[str] = set()

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import fold, map_arrow, mix, pieces, prefix_hash, raw, span_hash, stage, words
+from .common import fold, map_arrow, mix, pieces, prefix_hash, raw, release, span_hash, stage, words
 
 #: Coordinates of a point: tokens are hashed into so many groups.
 GROUPS = 128
+#: Groups of the finer points that sets of FINE_FROM n-grams or more have besides: on 128 coordinates long texts look alike.
+FINE_GROUPS, FINE_FROM = 2048, 512
 #: Points of an R-tree leaf, and rows of a tile (the part of a bucket that one task holds) on average.
 LEAF, TILE = 32, 512
 #: Frequent n-grams that are kept at most, and documents that are sampled to find them.
@@ -56,6 +58,14 @@ def points(sets: np.ndarray) -> np.ndarray:
     return np.bincount((sets & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
 
 
+def fine_points(sets: np.ndarray) -> bytes | None:
+    """Count vector of a large set, a byte for each coordinate; None for small sets and where a count is over 255."""
+    if len(sets) < FINE_FROM:
+        return None
+    count = np.bincount((sets & np.uint64(FINE_GROUPS - 1)).astype(np.int64), minlength=FINE_GROUPS)
+    return None if count.max() > 255 else count.astype(np.uint8).tobytes()
+
+
 def survivors(ids, n, comp, vec, lo: slice, hi: slice, percent: int):
     """Pairs of points from two runs that the summed minima of their coordinates can't rule out."""
     v, w = vec[lo], vec[hi]
@@ -132,6 +142,26 @@ def bound_filter(pairs: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs, keep, PAIRS)
 
 
+def fine_filter(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) without those that the finer points of both sets rule out."""
+    fine = info.where("fine IS NOT NULL")
+    side = lambda k: fine.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(f"f{k}"))
+
+    def keep(batches):
+        for batch in batches:
+            ok = []
+            for na, nb, p, q in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "fa", "fb"))):
+                if p is None or q is None:
+                    ok.append(True)
+                    continue
+                both = int(np.minimum(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)).sum())
+                ok.append(both >= least_overlap(na, nb, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return map_arrow(joined.select("a", "b", "na", "nb", "fa", "fb"), keep, PAIRS)
+
+
 def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Surviving pairs of different components inside each tile; rows (token, tile, id, n, comp, vec) come sorted by tile."""
 
@@ -209,7 +239,7 @@ def cross_tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose n-gram sets, made anew from the whole texts, are similar enough. reps: (id, doc_id)."""
+    """Pairs (a, b) whose n-gram sets, made anew from the whole texts, are similar enough (written). reps: (id, doc_id)."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = stage(reps.join(ids, "id", "left_semi").select("id", "doc_id"), "wanted")
     # Broadcast only as far as MOST_BROADCAST rows of two numbers, as just counted.
@@ -239,7 +269,9 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent:
                         b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return map_arrow(both, check, PAIRS)
+    links = stage(map_arrow(both, check, PAIRS), "links")
+    release(sets, wanted)
+    return links
 
 
 def frequent_ngrams(docs: DataFrame, n: int, rows: int) -> np.ndarray:
@@ -284,13 +316,14 @@ def ngram_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         for batch in batches:
             known: set[int] = set()  # of this batch: copies need their buckets once
             for part in pieces(batch, "text"):
-                count, key, first, vec = [], [], [], []
+                count, key, first, vec, fine = [], [], [], [], []
                 for grams, seq in shingle_sets(part.column("text"), n):
                     count.append(len(grams))
                     key.append(seq if len(grams) else None)
                     if not len(grams) or seq in known:
                         first.append(None)
                         vec.append(None)
+                        fine.append(None)
                         continue
                     known.add(seq)
                     if len(often):
@@ -301,45 +334,56 @@ def ngram_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                     take = len(grams) - -(-percent * len(grams) // 100) + 1
                     first.append(ordered[:take].astype(np.int64))
                     vec.append(points(grams).tobytes())
+                    fine.append(fine_points(grams))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(key, pa.int64()), pa.array(count, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(vec, pa.binary())],
-                    names=["doc_id", "id", "n", "first", "vec"],
+                    [part.column("doc_id"), pa.array(key, pa.int64()), pa.array(count, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(vec, pa.binary()), pa.array(fine, pa.binary())],
+                    names=["doc_id", "id", "n", "first", "vec", "fine"],
                 )
 
-    described = stage(map_arrow(docs.select("doc_id", "text"), describe, "doc_id long, id long, n int, first array<long>, vec binary"), "described")
+    described = stage(map_arrow(docs.select("doc_id", "text"), describe, "doc_id long, id long, n int, first array<long>, vec binary, fine binary"), "described")
     reps = stage(described.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "classes")
-    info = stage(described.where("vec IS NOT NULL").select("id", "n", "vec").dropDuplicates(["id"]), "points")
+    info = stage(described.where("vec IS NOT NULL").select("id", "n", "vec", "fine").dropDuplicates(["id"]), "points")
     post = described.where("first IS NOT NULL").select("id", F.explode("first").alias("token"))
     shared = post.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo != hi")
     shared = stage(shared.select("token", "c"), "shared")
     posts = stage(post.join(shared, "token").select("token", "id", "c"), "postings")
+    whole = described
+    described = stage(whole.select("doc_id", "id", "n"), "sizes")
+    del post
+    release(whole, shared)
 
     central = posts.groupBy("id").agg(F.sum("c").alias("weight"))
     pivot = posts.join(central, "id").groupBy("token").agg(F.max_by("id", F.struct("weight", "id")).alias("pivot"))
     pivot = stage(pivot, "pivots")
     star = posts.join(pivot, "token").where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     star = stage(star, "star")
+    release(pivot)
     side = lambda k: info.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("vec").alias(f"v{k}"))
     near = stage(bound_filter(star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb"), percent), "near")
-    links = stage(verify(near, docs, reps, n, percent), "links1")
+    near = stage(fine_filter(near, info, percent), "near")
+    release(star)
+    links = verify(near, docs, reps, n, percent)
     comps = components(links)
 
     placed = posts.select("token", "id").distinct().join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     placed = stage(placed, "placed")
+    release(posts)
     # Buckets with the very same members (two long texts share hundreds) give the same pairs: one of them is searched.
     member = [F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("again"), "id")).alias("x2"), F.min("id").alias("i1"), F.max("id").alias("i2")]
     buckets = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), *member).where("lo != hi")
     mixed = buckets.groupBy("x1", "x2", "i1", "i2", "m").agg(F.min("token").alias("token"))
     mixed = stage(mixed.select("token", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "mixed")
-    tiled = placed.join(mixed, "token").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).join(info, "id")
+    tiled = placed.join(mixed, "token").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).join(info.drop("fine"), "id")
     tiled = stage(tiled.select("token", "tile", "tiles", "id", "n", "comp", "vec"), "tiled")
+    release(placed, mixed)
     inside = tile_pairs(tiled.repartition("token", "tile").sortWithinPartitions("token", "tile"), percent)
     found = inside.unionByName(cross_tile_pairs(tiled, percent)).distinct().join(near, ["a", "b"], "left_anti")
-    found = stage(found, "found")
-    more = stage(verify(found, docs, reps, n, percent), "links2")
-    whole = components(links.unionByName(more))
+    found = stage(fine_filter(stage(found, "found"), info, percent), "found")
+    release(tiled)
+    more = verify(found, docs, reps, n, percent)
+    joined = components(links.unionByName(more))
 
-    named = reps.join(whole.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "doc_id")
+    named = reps.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "doc_id")
     least = stage(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     of = stage(named.join(least, "comp").select("id", "component_id"), "named")
     return described.select("doc_id", "id", F.col("n").cast("long").alias("n_shingles")).join(of, "id", "left").select(
