@@ -51,8 +51,6 @@ def passages(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     place = mark[row_of_word] + (np.arange(len(start)) - first[row_of_word]) // PASSAGE
     # Each byte belongs to the passage of the last word begun; bytes before the first word to the first passage.
     row = np.repeat(np.arange(len(count)), np.diff(off))
-    begun = np.zeros(len(data), np.int64)
-    begun[start[np.flatnonzero(np.diff(place, prepend=-1))]] = 1
     at_word = np.searchsorted(start, np.arange(len(data)), side="right") - 1 if len(start) else np.zeros(len(data), np.int64)
     own = place[np.maximum(at_word, 0)] if len(start) else np.zeros(len(data), np.int64)
     own = np.maximum(own, mark[row])

@@ -130,7 +130,7 @@ def find_anchors(data: np.ndarray, off: np.ndarray, length: int):
     return owner, gram[p].astype(np.int64), ctx.astype(np.int64), p - base, lo - base, hi - base
 
 
-def compare_contexts(texts: list[bytes], at: list[int], ask: list[bool], order_of: list, length: int, keep_first: bool):
+def compare_contexts(texts: list[bytes], at: list[int], ask: list[bool], length: int):
     """For each context asked about, the runs (relative to its anchor) that another context of the same anchor repeats.
 
     ``at`` is the anchor's place in each context. Anchors' suffixes, and their reversed prefixes, are put
@@ -162,10 +162,7 @@ def compare_contexts(texts: list[bytes], at: list[int], ask: list[bool], order_o
     np.fill_diagonal(both, False)
     for i in range(k):
         if ask[i] and both[i].any():
-            js = np.flatnonzero(both[i])
-            if keep_first:
-                js = [j for j in js if order_of[j] < order_of[i]]
-            yield i, merge((-int(left[i, j]), int(right[i, j])) for j in js)
+            yield i, merge((-int(left[i, j]), int(right[i, j])) for j in np.flatnonzero(both[i]))
 
 
 def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
@@ -224,7 +221,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
 
         def settle(group):
             texts = [g[4] for g in group]
-            found = compare_contexts(texts, [g[1] - g[2] for g in group], [g[3] == 1 for g in group], [], length, False)
+            found = compare_contexts(texts, [g[1] - g[2] for g in group], [g[3] == 1 for g in group], length)
             return [(group[i][0], group[i][1] + a, group[i][1] + b) for i, runs in found for a, b in runs]
 
         def out(rows):
