@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import language_ok
+from ..functions.text import folder_key, language_ok
+from ..functions.vectors import similar_pairs
+from ..functions.vocab import STRICT_FOLDERS, TUNING
 from .usage import since
 
 
@@ -27,3 +29,9 @@ def stale_tasks(docs: DataFrame, as_of: str, days: int = 14) -> DataFrame:
     """agents' open tasks that nobody has touched for days; no status counts as open."""
     own = docs.where("kind = 'task'").where(F.coalesce("status", F.lit("open")) == "open")
     return own.where(~since(F.col("updated_at"), as_of, days)).orderBy("updated_at", "path")
+
+
+def near_duplicates(vectors: DataFrame, folders: DataFrame, above: float = TUNING.doctor_threshold, skip: list[str] = list(STRICT_FOLDERS)) -> DataFrame:
+    """How many pairs of documents outside the template folders are closer than that; vectors (id, vec), folders (id, path)."""
+    own = vectors.join(folders.where(~folder_key(F.col("path")).isin(*skip)).select("id"), "id", "left_semi")
+    return similar_pairs(own, above).agg(F.count("*").alias("pairs"))

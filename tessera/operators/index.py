@@ -98,3 +98,8 @@ def delete_documents(gone: DataFrame, documents: DataFrame, chunks: DataFrame, e
 def run_summary(outcomes: DataFrame) -> DataFrame:
     """How many notes were indexed, skipped and failed."""
     return outcomes.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("indexed", "skipped", "failed")])
+
+
+def resize_embeddings(chunks: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
+    """SNK17: vectors of another size than the model's are dropped, so that they are made anew."""
+    return chunks.withColumn(column, F.when(F.size(column) == dim, F.col(column)))

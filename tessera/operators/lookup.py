@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
+from .graph import few
 
 
 def find_note(documents: DataFrame, entities: DataFrame, asked: DataFrame) -> DataFrame:
@@ -13,7 +14,7 @@ def find_note(documents: DataFrame, entities: DataFrame, asked: DataFrame) -> Da
 
     Case doesn't matter and wildcards are taken literally; ties go by the shorter path, then the path.
     """
-    q = F.broadcast(asked.select("q").where("q != ''").limit(10_000))
+    q = few(asked.select("q").where("q != ''"))
     named = entities.where("document_id IS NOT NULL").groupBy("document_id").agg(F.array_join(F.collect_set(F.lower("name")), "\n").alias("names"))
     d = documents.select("document_id", "path", "title").join(named, "document_id", "left")
     low = F.lower("q")
@@ -33,7 +34,7 @@ def entity_list(entities: DataFrame, part: str, limit: int = 20) -> DataFrame:
 
 def entity_detail(entities: DataFrame, documents: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """SRC13, J3, J5: the asked entities with their documents' paths and their edges in both directions (one row for each edge, one without edges)."""
-    own = entities.join(F.broadcast(ids.select("entity_id").limit(10_000)), "entity_id", "left_semi").join(documents.select("document_id", "path"), "document_id", "left")
+    own = entities.join(few(ids.select("entity_id")), "entity_id", "left_semi").join(documents.select("document_id", "path"), "document_id", "left")
     names = entities.select(F.col("entity_id").alias("other"), F.col("name").alias("other_name"))
     out = edges.select(F.col("src").alias("entity_id"), F.lit("out").alias("direction"), F.col("type").alias("relation"), F.col("dst").alias("other"))
     back = edges.select(F.col("dst").alias("entity_id"), F.lit("in").alias("direction"), F.col("type").alias("relation"), F.col("src").alias("other"))

@@ -6,6 +6,9 @@ A batch of queries is a DataFrame (query_id, q) of bounded size: MOST_QUERIES, w
 
 from __future__ import annotations
 
+import itertools
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from ..functions.vectors import top_similar
 from ..functions.vocab import TUNING
 
 MOST_QUERIES = 10_000
+_TERM = re.compile(r"[^\W_]+(?:[._'-][^\W_]+)*")
 
 
 def checked(queries: DataFrame) -> DataFrame:
@@ -48,6 +52,67 @@ def text_channel(chunks: DataFrame, queries: DataFrame, k: int = TUNING.candidat
     return _ranked(kept, k, F.desc("terms"), F.desc("hits"), "len").select("query_id", "chunk_id", "rank", F.when(F.col("_full") == 1, "all").otherwise("any").alias("mode"))
 
 
+def parse_web_query(q: str) -> list[dict]:
+    """Alternatives of a query in web syntax, each with must, phrases and without (lists of terms).
+
+    Words must all occur; "quoted words" in that order; -word not at all; OR between words starts another
+    alternative for its two neighbours. A query with nothing but exclusions has no alternative.
+    """
+    tokens = re.findall(r'(-?)"([^"]*)"|(-?)(\S+)', q)
+    items: list[tuple] = []
+    for minus_quoted, quoted, minus, word in tokens:
+        if word.upper() == "OR" and not minus:
+            items.append(("or", None))
+            continue
+        found = [t.lower() for t in _TERM.findall((quoted or word).lower())]
+        if found:
+            kind = "not" if (minus_quoted or minus) else "phrase" if quoted and len(found) > 1 else "must"
+            items.append((kind, found))
+    slots: list[list[tuple]] = []  # each slot holds the choices between OR
+    joined = False
+    for item in items:
+        if item[0] == "or":
+            joined = bool(slots)
+        elif joined:
+            slots[-1].append(item)
+            joined = False
+        else:
+            slots.append([item])
+    out: list[dict] = []
+    for choice in itertools.islice(itertools.product(*slots), 64) if slots else []:
+        one = {"must": [], "phrases": [], "without": []}
+        for kind, found in choice:
+            one["must"] += found if kind != "not" else []
+            one["phrases"] += [" ".join(found)] if kind == "phrase" else []
+            one["without"] += found if kind == "not" else []
+        if one["must"]:
+            out.append({k: list(dict.fromkeys(v)) for k, v in one.items()})
+    return out
+
+
+def web_text_channel(chunks: DataFrame, queries: DataFrame, k: int = TUNING.candidates) -> DataFrame:
+    """H3 with web syntax: like text_channel, for queries with quotes, OR and minus; no fallback.
+
+    Queries are parsed on the driver, MOST_QUERIES at most. Candidates come from the postings of the words
+    that must occur; order and exclusions are tested on those only.
+    """
+    checked(queries)
+    rows = [(r.query_id, n, a["must"], a["phrases"], a["without"]) for r in queries.collect() for n, a in enumerate(parse_web_query(r.q or ""))]
+    spark = chunks.sparkSession
+    asked = spark.createDataFrame(rows, "query_id long, alt int, must array<string>, phrases array<string>, without array<string>")
+    keyed = asked.withColumn("key", F.concat_ws("/", "query_id", "alt"))
+    need = keyed.select("key", F.size("must").alias("wanted"), F.explode("must").alias("term"))
+    posts = chunks.select("chunk_id", F.explode(terms(F.col("content"))).alias("term")).join(F.broadcast(need.select("term").distinct()), "term", "left_semi")
+    posts = posts.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    hits = posts.join(F.broadcast(need), "term").groupBy("key", "chunk_id", "wanted").agg(F.count("*").alias("n"), F.sum("tf").alias("hits")).where("n = wanted")
+    text = chunks.select("chunk_id", F.length("content").alias("len"), terms(F.col("content")).alias("t"))
+    rest = hits.join(F.broadcast(keyed.select("key", "query_id", "phrases", "without")), "key").join(text, "chunk_id")
+    line = F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" "))
+    fine = F.forall("phrases", lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" ")))) & ~F.arrays_overlap("t", "without")
+    best = rest.where(fine).groupBy("query_id", "chunk_id", "len").agg(F.max("hits").alias("hits"))
+    return _ranked(best, k, F.desc("hits"), "len").select("query_id", "chunk_id", "rank")
+
+
 def vector_channel(base: DataFrame, queries: DataFrame, k: int = TUNING.candidates) -> DataFrame:
     """H2: nearest chunks by cosine; base (chunk_id, vec), queries (query_id, vec)."""
     vecs = [(r.query_id, list(r.vec)) for r in queries.where("vec IS NOT NULL").limit(MOST_QUERIES).collect()]

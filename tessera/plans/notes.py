@@ -180,6 +180,13 @@ def dedup_suppressed(spark, sf_dir):
     return dedup.suppressed(_pairs(spark, sf_dir))
 
 
+@query(f"WITH {PAIRS} SELECT count(*) AS pairs FROM p JOIN f fa ON fa.id = a JOIN f fb ON fb.id = b WHERE sim > 0.31 AND fa.folder = 'projects' AND fb.folder = 'projects'")
+def hygiene_near_duplicates(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    folders = v.select("id", F.concat(F.when(F.col("id") % 3 == 0, "technologies").otherwise("projects"), F.lit("/x.md")).alias("path"))
+    return hygiene.near_duplicates(v, folders, 0.31)
+
+
 CLUSTERS = f"""{PAIRS}, e AS (SELECT a, b, sim FROM k WHERE kept UNION ALL SELECT b, a, sim FROM k WHERE kept), r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a),
     c AS (SELECT id, min(seen) AS cluster FROM r GROUP BY id), m AS (SELECT id, cluster, first_value(id) OVER (PARTITION BY cluster ORDER BY (id * 7) % 11 DESC, id) AS canonical FROM c)"""
 

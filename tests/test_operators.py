@@ -165,3 +165,21 @@ def test_failed_rows_come_again(spark, tmp_path):
         freshness.run_batches(freshness.note_stream(spark, str(folder)), handle, str(tmp_path / "retry"), str(tmp_path / "cp"), once=True).awaitTermination()
         (folder / "2.json").write_text('{"path": "new", "action": "add", "ts": "2024-01-01T00:01:00"}')
     assert seen == [["bad", "ok"], ["bad", "new"]]
+
+
+def test_web_queries(spark):
+    parse = search.parse_web_query
+    assert parse('a "b c" -d') == [{"must": ["a", "b", "c"], "phrases": ["b c"], "without": ["d"]}]
+    assert [x["must"] for x in parse("a OR b c")] == [["a", "c"], ["b", "c"]]
+    assert parse("") == [] and parse("-x") == [] and parse("OR OR") == []
+    chunks = spark.createDataFrame([(1, "red fox and blue bird"), (2, "blue fox, red bird"), (3, "green fox"), (4, None)], "chunk_id long, content string")
+    queries = spark.createDataFrame([(1, '"red fox"'), (2, "fox -green"), (3, "green OR bird"), (4, "fox bird -blue")], "query_id long, q string")
+    got = sorted((r.query_id, r.chunk_id) for r in search.web_text_channel(chunks, queries).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3)]
+
+
+def test_resized_embeddings(spark):
+    from tessera.operators import index
+
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0],), (None,)], "embedding array<float>")
+    assert [r.embedding for r in index.resize_embeddings(df, 2).collect()] == [[1.0, 2.0], None, None]
