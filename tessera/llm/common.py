@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 #: The letters that ASCII lower-casing maps.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Arrow batches while a stage runs.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +52,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and it outlives executors."""
     path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(BATCH_ROWS)
-    conf.set(BATCH_ROWS, str(min(int(before), 1000)))  # whole texts are long, and a batch is held in memory
+    before = {k: conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():  # whole texts are long, and a batch is held in memory on both sides
+        conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        conf.set(BATCH_ROWS, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

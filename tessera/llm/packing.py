@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage
+from .common import map_arrow, ship, stage
 from .tokens import default_vocabulary, encoded
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -107,6 +107,7 @@ def pack(cut: DataFrame, capacity: int = 4096, group_bins: int = 256, rounds: in
     fewer groups and packed again, until a round has one group (or ``rounds`` are over). A group's size
     is bounded by group_bins, whatever the input; only lengths and numbers travel, never texts.
     """
+    ship(cut.sparkSession)
     todo = stage(cut.withColumn("row", F.expr("monotonically_increasing_id()")), "pieces")
     todo = todo.withColumns({"bin": F.lit(-1).cast("long"), "offset": F.lit(0).cast("long")})
     done: list[DataFrame] = []
@@ -114,11 +115,9 @@ def pack(cut: DataFrame, capacity: int = 4096, group_bins: int = 256, rounds: in
         tokens = todo.agg(F.sum("length")).first()[0]
         if tokens is None:
             break
-        groups = max(1, -(-tokens // (capacity * group_bins)))
-        if r == rounds - 1:
-            last = True
-        else:
-            last = groups == 1
+        # What is left gets less from round to round, and is harder to place: groups grow, 64-fold at most.
+        groups = max(1, -(-tokens // (capacity * group_bins * min(4**r, 64))))
+        last = groups == 1 or r == rounds - 1
         # Bins opened before travel whole, so that a group can keep them as they are.
         key = F.when(F.col("bin") < 0, F.xxhash64("row")).otherwise(F.xxhash64("bin"))
         dealt = todo.withColumn("group", F.pmod(key, F.lit(groups)))

