@@ -377,9 +377,10 @@ def ngram_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     tiled = stage(tiled.select("token", "tile", "tiles", "id", "n", "comp", "vec"), "tiled")
     release(placed, mixed)
     inside = tile_pairs(tiled.repartition("token", "tile").sortWithinPartitions("token", "tile"), percent)
-    found = inside.unionByName(cross_tile_pairs(tiled, percent)).distinct().join(near, ["a", "b"], "left_anti")
-    found = stage(fine_filter(stage(found, "found"), info, percent), "found")
-    release(tiled)
+    # Written first: else the anti-join would be moved below the distinct, and see each pair once for every task.
+    pairs = stage(inside.unionByName(cross_tile_pairs(tiled, percent)).distinct(), "pairs")
+    found = stage(fine_filter(pairs.join(near, ["a", "b"], "left_anti"), info, percent), "found")
+    release(tiled, pairs)
     more = verify(found, docs, reps, n, percent)
     joined = components(links.unionByName(more))
 
