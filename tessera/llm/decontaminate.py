@@ -11,8 +11,9 @@ from .common import stage
 NAME, NUMBER, UNIT = "", "", ""
 #: Units that may follow a number.
 UNITS = "km cm mm kg mg ml km/h mph m g l s h ms min hours hour minutes minute seconds second days day weeks week months month years year meters metres miles feet inches pounds dollars euros cents percent degrees".split()
-NAMES_AT = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}[\p{L}'-]*(?: \p{Lu}\p{Ll}[\p{L}'-]*)*"
-NUMBERS_AT = r"\d+(?:[.,:/]\d+)*"
+# The repetitions are possessive: Java matches others by recursion, which long runs (rows of figures, title-cased tables) overflow.
+NAMES_AT = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}[\p{L}'-]*+(?: \p{Lu}\p{Ll}[\p{L}'-]*+)*+"
+NUMBERS_AT = r"\d++(?:[.,:/]\d++)*+"
 UNITS_AT = "(?:[%€$£°]|(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}]))"
 BETWEEN = rf"[^\p{{L}}\p{{M}}{NAME}{NUMBER}{UNIT}]+"
 #: Windows that are broadcast at most; more are joined by a shuffle.
@@ -25,26 +26,23 @@ def template(text: Column) -> Column:
     A name is a run of capitalised words after a lower-case letter or a comma (so not the first word of a
     sentence). Null text has no tokens.
     """
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), NAMES_AT, NAME)
-    low = F.lower(named)
-    filled = F.regexp_replace(F.regexp_replace(low, NUMBERS_AT, NUMBER), rf"(?<={NUMBER})\s?{UNITS_AT}", f" {UNIT}")
-    return F.filter(F.split(F.when(low.rlike(r"\d"), filled).otherwise(low), BETWEEN), lambda t: t != "")
+    return F.filter(F.split(_filled(text, *(f" {p} " for p in (NAME, NUMBER, UNIT))), BETWEEN), lambda t: t != "")
 
 
 def slot_values(text: Column) -> Column:
     """What stands in the placeholders of ``template``, in order (lower case)."""
+    held = _filled(text, *(f" {p}$0{p} " for p in (NAME, NUMBER)), f" {UNIT}$1{UNIT} ")
+    return F.regexp_extract_all(held, F.lit(rf"([{NAME}{NUMBER}{UNIT}])([^{NAME}{NUMBER}{UNIT}]+)\1"), F.lit(2))
+
+
+def _filled(text: Column, name: str, number: str, unit: str) -> Column:
+    """The text in lower case, its names, numbers and units replaced: the one place that says where slots are."""
     text = F.coalesce(text, F.lit(""))
-    either = rf"{NAMES_AT}|{NUMBERS_AT}(?:\s?(?i:{UNITS_AT}))?"
-    found = F.regexp_extract_all(text, F.lit(f"({either})"), F.lit(1))
-    # A number with its unit is two slots.
-    parts = F.transform(
-        found,
-        lambda v: F.when(
-            v.rlike(r"^\d"),
-            F.filter(F.array(F.regexp_extract(v, rf"^({NUMBERS_AT})", 1), F.lower(F.regexp_replace(v, rf"^{NUMBERS_AT}\s?", ""))), lambda x: x != ""),
-        ).otherwise(F.array(F.lower(v))),
-    )
-    return F.flatten(parts)
+    own = F.contains(text, F.lit(NAME)) | F.contains(text, F.lit(NUMBER)) | F.contains(text, F.lit(UNIT))
+    text = F.when(own, F.translate(text, NAME + NUMBER + UNIT, "   ")).otherwise(text)
+    low = F.lower(F.regexp_replace(text, NAMES_AT, name))
+    units = rf"(?<={NUMBER} )\s?({UNITS_AT})"
+    return F.when(low.rlike(r"\d"), F.regexp_replace(F.regexp_replace(low, NUMBERS_AT, number), units, unit)).otherwise(low)
 
 
 def windows(tokens: str, length: int) -> Column:

@@ -171,6 +171,23 @@ def test_leaks(spark, make):
     assert leaks(make(rows).limit(0), items).count() == 0 and leaks(make(rows), items.limit(0)).count() == 0
 
 
+TANK = "A tank holds 45 litres of water and a pump takes out 45 litres of it every 3 hours until the tank is empty."
+
+
+def test_leak_behind_glued_number(spark, make):
+    rows = [(1, "He came 2nd in it. " + TANK), (2, "COVID19, B2B, mp3. " + TANK), (3, TANK)]
+    items = spark.createDataFrame([(1, TANK)], "item_id long, text string")
+    assert {(r.doc_id, r.substituted) for r in leaks(make(rows), items).collect()} == {(1, 0), (2, 0), (3, 0)}
+
+
+def test_as_many_values_as_slots(spark):
+    from pyspark.sql import functions as F
+
+    texts = [("He came 2nd, played mp3 files in B2B and had COVID19 with Bob2 at 5km.",), ("a\ue001 b\ue000 7 \ue002",), ("see 1" + ",1" * 50_000 + " of it " + "Word " * 50_000,)]
+    for r in spark.createDataFrame(texts, "t string").select(template(F.col("t")).alias("t"), slot_values(F.col("t")).alias("v")).collect():
+        assert len(r.v) == sum(t in "\ue000\ue001\ue002" for t in r.t) > 0
+
+
 def test_leaks_without_broadcast(spark, make, monkeypatch):
     import tessera.llm.decontaminate as d
 
