@@ -65,7 +65,6 @@ def item_windows(items: DataFrame, length: int, least_words: int) -> DataFrame:
     slots = F.size(F.filter("tok", lambda t: t.isin(NAME, NUMBER, UNIT)))
     return each.select(
         "item_id", "len", F.xxhash64("win").alias("h"), "at", slots.alias("slots"), F.count("*").over(Window.partitionBy("item_id")).alias("total"),
-        F.size(F.filter(F.expr("slice(tok, 1, at)"), lambda t: t.isin(NAME, NUMBER, UNIT))).alias("slots_before"),
     )
 
 
@@ -73,13 +72,13 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = 8, least_words: int =
     """Which documents hold which benchmark item: one row for each such pair.
 
     Returns doc_id, item_id, matched (distinct windows of the item found), total (windows it has),
-    coverage, slots, substituted (slots of the item with another value in the document).
+    coverage, slots, substituted (slots of the item that have another value wherever they are aligned).
 
     All windows of all documents are looked up. A pair counts if at least ``coverage`` of the item's
-    windows occur in the document, and if its slots are consistent: along the alignment of the two
-    texts that has most windows, each value of the item stands for one value of the document and the
-    other way round. So a question with other numbers or names is caught, and a text that only has
-    the item's wording around unrelated, contradictory values isn't.
+    windows occur in the document, in alignments of the two texts whose names are consistent: each name
+    of the item stands for one name of the document and the other way round (see ``consistent``). So a
+    question with other numbers or names is caught, wherever in the document and whatever its numbers,
+    and a text that only has the item's wording around contradictory names isn't.
 
     Null and empty texts match nothing; items without tokens or without a window of enough words can't
     be looked for. Repeated documents with one identifier count once; items with equal texts are all
@@ -102,32 +101,41 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = 8, least_words: int =
     # Broadcast: MOST_BROADCAST windows at most, as just counted.
     hits = found.join(F.broadcast(hashes) if few else hashes, ["len", "h"]).select("doc_id", "pos", F.explode("of").alias("of"))
     hits = hits.select("doc_id", "of.*", (F.col("pos") - F.col("of.at")).alias("shift"))
-    by_shift = hits.groupBy("doc_id", "item_id", "total", "slots", "shift").agg(F.collect_set("at").alias("ats"), F.min("at").alias("first"))
+    by_shift = hits.groupBy("doc_id", "item_id", "total", "slots", "shift").agg(F.collect_set("at").alias("ats"))
     pairs = stage(
         by_shift.groupBy("doc_id", "item_id", "total", "slots")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"), F.max(F.struct(F.size("ats"), -F.col("shift"))).alias("main"))
-        .withColumn("coverage", F.col("matched") / F.col("total"))
-        .where(F.col("coverage") >= coverage),
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"), F.collect_list(F.struct("shift", "ats")).alias("alignments"))
+        .where(F.col("matched") / F.col("total") >= coverage),
         "leaks",
     )
-    plain = pairs.where("slots = 0").withColumn("substituted", F.lit(0).cast("long"))
-    out = plain
-    if probes.where("slots > 0").limit(1).count():
-        slotted = pairs.where("slots > 0")
-        wanted = slotted.select("doc_id").distinct()
-        own = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        values = own.select("doc_id", F.transform(template(F.col("text")), lambda t: t.isin(NAME, NUMBER, UNIT)).alias("is"), slot_values(F.col("text")).alias("dv"))
-        theirs = items.select("item_id", slot_values(F.col("text")).alias("iv"), F.transform(template(F.col("text")), lambda t: t.isin(NAME, NUMBER, UNIT)).alias("it"))
-        at = slotted.join(values, "doc_id").join(theirs, "item_id").withColumn("shift", -F.col("main.col2"))
-        # Slots of the item with the values at the aligned places of the document.
-        place = "transform(filter(sequence(0, size(it) - 1), i -> it[i]), i -> i)"
-        pair = at.withColumn("places", F.expr(place)).withColumn(
-            "both",
-            F.expr(
-                "filter(transform(places, (p, k) -> named_struct('a', get(iv, k), 'b', IF(get(is, p + shift), get(dv, size(filter(slice(is, 1, greatest(p + shift, 0)), x -> x))), NULL))), x -> x.a IS NOT NULL AND x.b IS NOT NULL)"
-            ),
-        )
-        good = F.expr("size(array_distinct(transform(both, x -> x.a))) = size(array_distinct(both)) AND size(array_distinct(transform(both, x -> x.b))) = size(array_distinct(both))")
-        checked = pair.where(good).withColumn("substituted", F.expr("size(filter(both, x -> x.a != x.b))").cast("long"))
-        out = plain.select(*plain.columns).unionByName(checked.select(*plain.columns))
-    return out.select("doc_id", "item_id", "matched", F.col("total").cast("long").alias("total"), "coverage", F.col("slots").cast("int").alias("slots"), "substituted")
+    out = pairs.where("slots = 0").select("doc_id", "item_id", "matched", "total", "slots", F.lit(0).cast("long").alias("substituted"))
+    if pairs.where("slots > 0").limit(1).count():
+        out = out.unionByName(consistent(pairs.where("slots > 0"), docs, items, length).where(F.col("matched") / F.col("total") >= coverage).select(*out.columns))
+    return out.select("doc_id", "item_id", "matched", F.col("total").cast("long").alias("total"), (F.col("matched") / F.col("total")).alias("coverage"), F.col("slots").cast("int").alias("slots"), "substituted")
+
+
+def consistent(pairs: DataFrame, docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
+    """The pairs again, with the windows of their consistent alignments only, and substituted.
+
+    Each alignment is tried by itself, on the slots that its windows cover. Its names must go one to one;
+    a name that stays the same is never a contradiction, and numbers and units may take any values.
+    """
+    wanted = pairs.select("doc_id").distinct()
+    own = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").distinct()
+    slot = lambda t: t.isin(NAME, NUMBER, UNIT)
+    places = lambda tok: F.filter(F.transform(tok, lambda t, i: F.when(slot(t), i)), lambda i: i.isNotNull())
+    values = own.select("doc_id", template(F.col("text")).alias("tok"), slot_values(F.col("text")).alias("dv")).select("doc_id", places("tok").alias("dp"), "dv")
+    theirs = items.select("item_id", template(F.col("text")).alias("tok"), slot_values(F.col("text")).alias("iv"))
+    theirs = theirs.select("item_id", "iv", places("tok").alias("ip"), F.filter("tok", slot).alias("kinds"), F.least(F.size("tok"), F.lit(length)).alias("len"))
+    each = pairs.select("doc_id", "item_id", "total", "slots", F.explode("alignments").alias("x")).select("doc_id", "item_id", "total", "slots", "x.*")
+    each = each.join(values, "doc_id").join(theirs, "item_id")
+    both = """transform(filter(sequence(0, size(ip) - 1), k -> exists(ats, a -> ip[k] >= a AND ip[k] < a + len)),
+        k -> named_struct('k', k, 'named', kinds[k] = '%s', 'a', iv[k], 'b', get(dv, CAST(array_position(dp, CAST(ip[k] + shift AS INT)) AS INT) - 1)))""" % NAME
+    each = each.withColumn("both", F.expr(both)).where("forall(both, x -> x.b IS NOT NULL)")
+    each = each.withColumn("renamed", F.expr("array_distinct(transform(filter(both, x -> x.named AND x.a != x.b), x -> named_struct('a', x.a, 'b', x.b)))"))
+    good = each.where("size(array_distinct(transform(renamed, x -> x.a))) = size(renamed) AND size(array_distinct(transform(renamed, x -> x.b))) = size(renamed)")
+    of = lambda test: F.array_distinct(F.flatten(F.collect_list(F.expr(f"transform(filter(both, x -> {test}), x -> x.k)"))))
+    found = good.groupBy("doc_id", "item_id", "total", "slots").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"), F.size(F.array_except(of("x.a != x.b"), of("x.a = x.b"))).cast("long").alias("substituted")
+    )
+    return found

@@ -188,6 +188,16 @@ def test_as_many_values_as_slots(spark):
         assert len(r.v) == sum(t in "\ue000\ue001\ue002" for t in r.t) > 0
 
 
+def test_leaks_by_any_alignment(spark, make):
+    fruit = "How many pieces of fruit are in the old basket if there are 3 apples and 5 pears and 3 plums in it today?"
+    items = spark.createDataFrame([ITEMS[0], (6, fruit)], "item_id long, text string")
+    mixed = ITEMS[0][1].replace("Springfield", "Shelbyville").replace("Another Person", "Shelbyville")
+    numbers = lambda a, b, c: f"How many pieces of fruit are in the old basket if there are {a} apples and {b} pears and {c} plums in it today?"
+    rows = [(1, mixed), (2, mixed + " And then: " + ITEMS[0][1]), (3, numbers(4, 4, 4)), (4, numbers(7, 8, 9)), (5, numbers(3, 3, 5)), (6, fruit.replace("basket if", "and rather large basket if"))]
+    got = {(r.doc_id, r.item_id): r.substituted for r in leaks(make(rows), items).collect()}
+    assert got == {(2, 1): 0, (3, 6): 3, (4, 6): 3, (5, 6): 2, (6, 6): 0}
+
+
 def test_leaks_without_broadcast(spark, make, monkeypatch):
     import tessera.llm.decontaminate as d
 
