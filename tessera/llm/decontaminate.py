@@ -12,60 +12,99 @@ NAME, NUMBER, UNIT = "", "", ""
 #: Units that may follow a number.
 UNITS = "km cm mm kg mg ml km/h mph m g l s h ms min hours hour minutes minute seconds second days day weeks week months month years year meters metres miles feet inches pounds dollars euros cents percent degrees".split()
 # The repetitions are possessive: Java matches others by recursion, which long runs (rows of figures, title-cased tables) overflow.
-NAMES_AT = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}[\p{L}'-]*+(?: \p{Lu}\p{Ll}[\p{L}'-]*+)*+"
+_NAME = r"\p{Lu}%s\p{Ll}[\p{L}'-]*+(?: \p{Lu}\p{Ll}[\p{L}'-]*+)*+"
+NAMES_AT = _NAME % r"(?<=[\p{Ll},;] [\"'(\[{“”‘’«„]{0,2}\p{Lu})"
+CAPITALS_AT = _NAME % r"(?<![\p{L}\p{M}\p{N}]\p{Lu})"
+#: What is folded to one space before names are looked for.
+WHITE_AT = r"[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]"
 NUMBERS_AT = r"\d++(?:[.,:/]\d++)*+"
 UNITS_AT = "(?:[%€$£°]|(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}]))"
 BETWEEN = rf"[^\p{{L}}\p{{M}}{NAME}{NUMBER}{UNIT}]+"
+#: The forms in which texts are compared (see ``forms``).
+TEMPLATE, CAPITALS, PLAIN = 0, 1, 2
 #: Windows that are broadcast at most; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
 
-def template(text: Column) -> Column:
+def template(text: Column, names: str = NAMES_AT) -> Column:
     """The text's tokens: lower-cased words, with names, numbers and the units after numbers as placeholders.
 
     A name is a run of capitalised words after a lower-case letter or a comma (so not the first word of a
-    sentence). Null text has no tokens.
+    sentence), also in quotes or brackets; with CAPITALS_AT for ``names`` any run of capitalised words.
+    White space counts as one space. Null text has no tokens.
     """
-    return F.filter(F.split(_filled(text, *(f" {p} " for p in (NAME, NUMBER, UNIT))), BETWEEN), lambda t: t != "")
+    return F.filter(F.split(_filled(text, names, *(f" {p} " for p in (NAME, NUMBER, UNIT))), BETWEEN), lambda t: t != "")
 
 
-def slot_values(text: Column) -> Column:
+def slot_values(text: Column, names: str = NAMES_AT) -> Column:
     """What stands in the placeholders of ``template``, in order (lower case)."""
-    held = _filled(text, *(f" {p}$0{p} " for p in (NAME, NUMBER)), f" {UNIT}$1{UNIT} ")
+    held = _filled(text, names, *(f" {p}$0{p} " for p in (NAME, NUMBER)), f" {UNIT}$1{UNIT} ")
     return F.regexp_extract_all(held, F.lit(rf"([{NAME}{NUMBER}{UNIT}])([^{NAME}{NUMBER}{UNIT}]+)\1"), F.lit(2))
 
 
-def _filled(text: Column, name: str, number: str, unit: str) -> Column:
+def plain(text: Column) -> Column:
+    """The text's words and figures, lower-cased, without any placeholder."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
+
+
+def _filled(text: Column, names: str, name: str, number: str, unit: str) -> Column:
     """The text in lower case, its names, numbers and units replaced: the one place that says where slots are."""
     text = F.coalesce(text, F.lit(""))
     own = F.contains(text, F.lit(NAME)) | F.contains(text, F.lit(NUMBER)) | F.contains(text, F.lit(UNIT))
     text = F.when(own, F.translate(text, NAME + NUMBER + UNIT, "   ")).otherwise(text)
-    low = F.lower(F.regexp_replace(text, NAMES_AT, name))
+    low = F.lower(F.regexp_replace(F.regexp_replace(text, WHITE_AT, " "), names, name))
     units = rf"(?<={NUMBER} )\s?({UNITS_AT})"
     return F.when(low.rlike(r"\d"), F.regexp_replace(F.regexp_replace(low, NUMBERS_AT, number), units, unit)).otherwise(low)
 
 
-def windows(tokens: str, length: int) -> Column:
-    """Hashes of all runs of ``length`` tokens, in order."""
-    return F.expr(
-        f"CASE WHEN size({tokens}) >= {length} THEN transform(sequence(0, size({tokens}) - {length}), i -> xxhash64(slice({tokens}, i + 1, {length}))) ELSE array() END"
-    )
+def forms(df: DataFrame, id_col: str) -> DataFrame:
+    """id_col, form, tok: each text as template, as template in which every capitalised run is a name, and as plain words.
+
+    The second finds renamed questions whose names start sentences; the third finds copies whatever their case,
+    as lower or upper case hides names.
+    """
+    text = F.col("text")
+    each = F.array(*[F.struct(F.lit(n).alias("form"), tok.alias("tok")) for n, tok in ((TEMPLATE, template(text)), (CAPITALS, template(text, CAPITALS_AT)), (PLAIN, plain(text)))])
+    return df.select(id_col, F.explode(each).alias("e")).select(id_col, "e.form", "e.tok")
+
+
+def hashed(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """df (with tok) with hs, an array of (len, hashes of all runs of len tokens, in order), and without tok.
+
+    Hashes of 2, 4, 8... tokens are made from two of half as many, and those of other lengths from these.
+    """
+    keep = [c for c in df.columns if c != "tok"]
+    out = df.select(*keep, F.size("tok").alias("_n"), F.expr("transform(tok, t -> xxhash64(t))").alias("_1"))
+    have = {1: "_1"}
+    join = lambda a, b, by: f"zip_with({a}, slice({b}, {by + 1}, _n), (x, y) -> xxhash64(x, y))"
+    while 2 * max(have) <= max(lengths):
+        p = max(have)
+        out = out.withColumn(f"_{2 * p}", F.expr(join(have[p], have[p], p)))
+        have[2 * p] = f"_{2 * p}"
+    for n in lengths:
+        got, name = 0, None
+        for p in sorted(have, reverse=True):
+            if n & p:
+                if name:
+                    out = out.withColumn(f"_{n}_{p}", F.expr(join(name, have[p], got)))
+                name, got = f"_{n}_{p}" if name else have[p], got + p
+        out = out.withColumn(f"h{n}", F.expr(f"slice({name}, 1, greatest(_n - {n - 1}, 0))"))
+    return out.select(*keep, F.array(*[F.struct(F.lit(n).alias("len"), F.col(f"h{n}").alias("h")) for n in lengths]).alias("hs"))
 
 
 def item_windows(items: DataFrame, length: int, least_words: int) -> DataFrame:
-    """item_id, at, len, h, total for every window with at least ``least_words`` words (placeholders don't count).
+    """item_id, form, at, len, h, total, slots for every window with at least ``least_words`` words (placeholders don't count).
 
-    An item with fewer tokens than ``length`` is one window of its own length.
+    Plain windows need no such number. An item with fewer tokens than ``length`` is one window of its own length.
     """
-    own = items.select("item_id", template(F.col("text")).alias("tok")).withColumn("len", F.least(F.size("tok"), F.lit(length)))
-    own = own.where(F.col("len") > 0)
-    each = own.select("item_id", "len", "tok", F.explode(F.expr("sequence(0, size(tok) - len)")).alias("at")).withColumn("win", F.expr("slice(tok, at + 1, len)"))
-    worded = F.size(F.filter("win", lambda t: ~t.isin(NAME, NUMBER, UNIT)))
-    each = each.where(worded >= F.least(F.lit(least_words), F.col("len")))
-    slots = F.size(F.filter("tok", lambda t: t.isin(NAME, NUMBER, UNIT)))
-    return each.select(
-        "item_id", "len", F.xxhash64("win").alias("h"), "at", slots.alias("slots"), F.count("*").over(Window.partitionBy("item_id")).alias("total"),
-    )
+    slot = lambda t: t.isin(NAME, NUMBER, UNIT)
+    own = forms(items, "item_id").withColumn("len", F.least(F.size("tok"), F.lit(length))).where(F.col("len") > 0)
+    own = own.withColumns({"slots": F.when(F.col("form") == PLAIN, 0).otherwise(F.size(F.filter("tok", slot))), "words": F.transform("tok", lambda t: (~slot(t)).cast("int"))})
+    each = hashed(own, list(range(1, length + 1))).withColumn("hs", F.expr("element_at(hs, len).h"))
+    each = each.select("item_id", "form", "len", "slots", "words", F.posexplode("hs").alias("at", "h"))
+    worded = F.expr("aggregate(slice(words, at + 1, len), 0, (s, x) -> s + x)")
+    each = each.where((F.col("form") == PLAIN) | (worded >= F.least(F.lit(least_words), F.col("len")))).drop("words")
+    return each.withColumn("total", F.count("*").over(Window.partitionBy("item_id", "form")))
 
 
 def leaks(docs: DataFrame, items: DataFrame, length: int = 8, least_words: int = 4, coverage: float = 0.5) -> DataFrame:
@@ -74,7 +113,8 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = 8, least_words: int =
     Returns doc_id, item_id, matched (distinct windows of the item found), total (windows it has),
     coverage, slots, substituted (slots of the item that have another value wherever they are aligned).
 
-    All windows of all documents are looked up. A pair counts if at least ``coverage`` of the item's
+    All windows of all documents are looked up, in three ``forms``: as templates by two notions of a name,
+    and as plain words, so that a copy is found whatever its case and layout. A pair counts if at least ``coverage`` of the item's
     windows occur in the document, in alignments of the two texts whose names are consistent: each name
     of the item stands for one name of the document and the other way round (see ``consistent``). So a
     question with other numbers or names is caught, wherever in the document and whatever its numbers,
@@ -91,30 +131,33 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = 8, least_words: int =
     few = probes.count() <= MOST_BROADCAST
     if not lengths:
         return spark.createDataFrame([], "doc_id long, item_id long, matched long, total long, coverage double, slots int, substituted long")
-    hashes = probes.groupBy("len", "h").agg(F.collect_set(F.struct("item_id", "at", "total", "slots")).alias("of"))
-    tokens = docs.select("doc_id", template(F.col("text")).alias("tok"))
-    each = F.array(*[F.struct(F.lit(n).alias("len"), windows("tok", n).alias("hs")) for n in lengths])
-    if len(lengths) == 1:
-        found = tokens.select("doc_id", F.posexplode(windows("tok", lengths[0])).alias("pos", "h")).withColumn("len", F.lit(lengths[0]))
-    else:
-        found = tokens.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.len", F.posexplode("e.hs").alias("pos", "h"))
+    hashes = probes.groupBy("form", "len", "h").agg(F.collect_set(F.struct("item_id", "at", "total", "slots")).alias("of"))
+    found = hashed(forms(docs.select("doc_id", "text"), "doc_id"), lengths)
+    found = found.select("doc_id", "form", F.explode("hs").alias("e")).select("doc_id", "form", "e.len", F.posexplode("e.h").alias("pos", "h"))
     # Broadcast: MOST_BROADCAST windows at most, as just counted.
-    hits = found.join(F.broadcast(hashes) if few else hashes, ["len", "h"]).select("doc_id", "pos", F.explode("of").alias("of"))
-    hits = hits.select("doc_id", "of.*", (F.col("pos") - F.col("of.at")).alias("shift"))
-    by_shift = hits.groupBy("doc_id", "item_id", "total", "slots", "shift").agg(F.collect_set("at").alias("ats"))
+    hits = found.join(F.broadcast(hashes) if few else hashes, ["form", "len", "h"]).select("doc_id", "form", "pos", F.explode("of").alias("of"))
+    hits = hits.select("doc_id", "form", "of.*", (F.col("pos") - F.col("of.at")).alias("shift"))
+    key = ["doc_id", "item_id", "form", "total", "slots"]
+    by_shift = hits.groupBy(*key, "shift").agg(F.collect_set("at").alias("ats"))
+    enough = F.col("matched") / F.col("total") >= coverage
     pairs = stage(
-        by_shift.groupBy("doc_id", "item_id", "total", "slots")
+        by_shift.groupBy(*key)
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"), F.collect_list(F.struct("shift", "ats")).alias("alignments"))
-        .where(F.col("matched") / F.col("total") >= coverage),
+        .where(enough),
         "leaks",
     )
-    out = pairs.where("slots = 0").select("doc_id", "item_id", "matched", "total", "slots", F.lit(0).cast("long").alias("substituted"))
-    if pairs.where("slots > 0").limit(1).count():
-        out = out.unionByName(consistent(pairs.where("slots > 0"), docs, items, length).where(F.col("matched") / F.col("total") >= coverage).select(*out.columns))
-    return out.select("doc_id", "item_id", "matched", F.col("total").cast("long").alias("total"), (F.col("matched") / F.col("total")).alias("coverage"), F.col("slots").cast("int").alias("slots"), "substituted")
-
-
-def consistent(pairs: DataFrame, docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
+    out = pairs.where("slots = 0").select(*key, "matched", F.lit(0).cast("long").alias("substituted"))
+    for form, names in ((TEMPLATE, NAMES_AT), (CAPITALS, CAPITALS_AT)):
+        slotted = pairs.where((F.col("form") == form) & (F.col("slots") > 0))
+        if slotted.limit(1).count():
+            out = out.unionByName(consistent(slotted, docs, items, length, names).where(enough).select(*out.columns))
+    # One row for a pair: the form in which most of the item was found.
+    row = F.struct((F.col("matched") / F.col("total")).alias("coverage"), (-F.col("form")).alias("first"), "matched", F.col("total").cast("long").alias("total"), F.col("slots").cast("int").alias("slots"), "substituted")
+    out = out.groupBy("doc_id", "item_id").agg(F.max(row).alias("r"))
+    return out.select("doc_id", "item_id", "r.matched", "r.total", "r.coverage", "r.slots", "r.substituted")
+
+
+def consistent(pairs: DataFrame, docs: DataFrame, items: DataFrame, length: int, names: str) -> DataFrame:
     """The pairs again, with the windows of their consistent alignments only, and substituted.
 
     Each alignment is tried by itself, on the slots that its windows cover. Its names must go one to one;
@@ -124,10 +167,10 @@ def consistent(pairs: DataFrame, docs: DataFrame, items: DataFrame, length: int)
     own = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").distinct()
     slot = lambda t: t.isin(NAME, NUMBER, UNIT)
     places = lambda tok: F.filter(F.transform(tok, lambda t, i: F.when(slot(t), i)), lambda i: i.isNotNull())
-    values = own.select("doc_id", template(F.col("text")).alias("tok"), slot_values(F.col("text")).alias("dv")).select("doc_id", places("tok").alias("dp"), "dv")
-    theirs = items.select("item_id", template(F.col("text")).alias("tok"), slot_values(F.col("text")).alias("iv"))
+    values = own.select("doc_id", template(F.col("text"), names).alias("tok"), slot_values(F.col("text"), names).alias("dv")).select("doc_id", places("tok").alias("dp"), "dv")
+    theirs = items.select("item_id", template(F.col("text"), names).alias("tok"), slot_values(F.col("text"), names).alias("iv"))
     theirs = theirs.select("item_id", "iv", places("tok").alias("ip"), F.filter("tok", slot).alias("kinds"), F.least(F.size("tok"), F.lit(length)).alias("len"))
-    each = pairs.select("doc_id", "item_id", "total", "slots", F.explode("alignments").alias("x")).select("doc_id", "item_id", "total", "slots", "x.*")
+    each = pairs.select("doc_id", "item_id", "form", "total", "slots", F.explode("alignments").alias("x")).select("doc_id", "item_id", "form", "total", "slots", "x.*")
     each = each.join(values, "doc_id").join(theirs, "item_id")
     both = """transform(filter(sequence(0, size(ip) - 1), k -> exists(ats, a -> ip[k] >= a AND ip[k] < a + len)),
         k -> named_struct('k', k, 'named', kinds[k] = '%s', 'a', iv[k], 'b', get(dv, CAST(array_position(dp, CAST(ip[k] + shift AS INT)) AS INT) - 1)))""" % NAME
@@ -135,7 +178,7 @@ def consistent(pairs: DataFrame, docs: DataFrame, items: DataFrame, length: int)
     each = each.withColumn("renamed", F.expr("array_distinct(transform(filter(both, x -> x.named AND x.a != x.b), x -> named_struct('a', x.a, 'b', x.b)))"))
     good = each.where("size(array_distinct(transform(renamed, x -> x.a))) = size(renamed) AND size(array_distinct(transform(renamed, x -> x.b))) = size(renamed)")
     of = lambda test: F.array_distinct(F.flatten(F.collect_list(F.expr(f"transform(filter(both, x -> {test}), x -> x.k)"))))
-    found = good.groupBy("doc_id", "item_id", "total", "slots").agg(
+    found = good.groupBy("doc_id", "item_id", "form", "total", "slots").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"), F.size(F.array_except(of("x.a != x.b"), of("x.a = x.b"))).cast("long").alias("substituted")
     )
     return found

@@ -198,6 +198,32 @@ def test_leaks_by_any_alignment(spark, make):
     assert got == {(2, 1): 0, (3, 6): 3, (4, 6): 3, (5, 6): 2, (6, 6): 0}
 
 
+def test_leaks_in_any_case_and_layout(spark, make):
+    tom = "Thomas has a red bag of apples. Thomas gives half of the apples to a friend. Thomas then eats a few of them. How many are left?"
+    train = ITEMS[0][1]
+    items = spark.createDataFrame([ITEMS[0], (7, tom)], "item_id long, text string")
+    other = train.replace("Springfield", "Shelbyville").replace("Another Person", "Some Body").replace("45", "80")
+    rows = [
+        (1, "see: " + train.lower()), (2, train.upper()), (3, train.replace(" Springfield", "\nSpringfield").replace("Another Person", " Another\n\tPerson")),
+        (4, other.replace("Shelbyville", '"Shelbyville"').replace("Some Body", "(Some Body)")), (5, other.replace(" Shelbyville", "\r\nShelbyville").replace(" Some Body", "  Some\u00a0Body")),
+        (6, tom.replace("Thomas", "Annabel")), (7, "A train leaves the town at noon."),
+    ]
+    got = {(r.doc_id, r.item_id) for r in leaks(make(rows), items).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 7)}
+
+
+def test_window_hashes(spark):
+    from tessera.llm.decontaminate import hashed
+
+    words = [chr(97 + i % 5) * (1 + i % 3) for i in range(40)]
+    (row,) = hashed(spark.createDataFrame([(words,)], "tok array<string>"), list(range(1, 9))).collect()
+    for e in row.hs:
+        runs = [tuple(words[i : i + e.len]) for i in range(40 - e.len + 1)]
+        assert len(e.h) == len(runs) and len(set(zip(runs, e.h))) == len(set(runs)) == len(set(e.h))
+    (short,) = hashed(spark.createDataFrame([(["a", "b"],)], "tok array<string>"), [2, 3, 8]).collect()
+    assert [len(e.h) for e in short.hs] == [1, 0, 0]
+
+
 def test_leaks_without_broadcast(spark, make, monkeypatch):
     import tessera.llm.decontaminate as d
 
