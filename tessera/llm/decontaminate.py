@@ -47,6 +47,12 @@ def plain(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
 
+def signs(text: Column | str) -> Column:
+    """The text in lower case with a space around every sign that isn't inside a number, and at both ends."""
+    spaced = F.regexp_replace(F.lower(text), r"(?!(?<=\d)[.,:/]\d)([^\p{L}\p{M}\p{N}\s\p{Z}])", " $1 ")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(spaced, r"[\s\p{Z}]+", " ")), F.lit(" "))
+
+
 def _filled(text: Column, names: str, name: str, number: str, unit: str) -> Column:
     """The text in lower case, its names, numbers and units replaced: the one place that says where slots are."""
     text = F.coalesce(text, F.lit(""))
@@ -107,7 +113,7 @@ def item_windows(items: DataFrame, length: int, least_words: int) -> DataFrame:
     return each.withColumn("total", F.count("*").over(Window.partitionBy("item_id", "form")))
 
 
-def leaks(docs: DataFrame, items: DataFrame, length: int = 8, least_words: int = 4, coverage: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, length: int = 8, least_words: int = 4, coverage: float = 0.5, run: int = 25) -> DataFrame:
     """Which documents hold which benchmark item: one row for each such pair.
 
     Returns doc_id, item_id, matched (distinct windows of the item found), total (windows it has),
@@ -120,8 +126,11 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = 8, least_words: int =
     question with other numbers or names is caught, wherever in the document and whatever its numbers,
     and a text that only has the item's wording around contradictory names isn't.
 
-    Null and empty texts match nothing; items without tokens or without a window of enough words can't
-    be looked for. Repeated documents with one identifier count once; items with equal texts are all
+    A pair also counts, whatever the coverage, if ``run`` plain windows follow one another in both texts (32
+    words). Items without a template window of enough words count only if their whole text occurs, with its
+    signs (case and white space don't matter).
+
+    Null and empty texts match nothing; items without tokens can't be looked for. Repeated documents with one identifier count once; items with equal texts are all
     reported. Empty tables give an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -140,13 +149,24 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = 8, least_words: int =
     key = ["doc_id", "item_id", "form", "total", "slots"]
     by_shift = hits.groupBy(*key, "shift").agg(F.collect_set("at").alias("ats"))
     enough = F.col("matched") / F.col("total") >= coverage
+    # Runs: in sorted places, those that follow one another differ from their index by the same number.
+    steps = "transform(array_sort(x.ats), (a, i) -> a - i)"
+    longest = F.expr(f"array_max(transform(filter(alignments, x -> size(x.ats) >= {run}), x -> array_max(transform(array_distinct({steps}), d -> size(filter({steps}, y -> y = d))))))")
     pairs = stage(
         by_shift.groupBy(*key)
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"), F.collect_list(F.struct("shift", "ats")).alias("alignments"))
-        .where(enough),
+        .where(enough | ((F.col("form") == PLAIN) & (longest >= run))),
         "leaks",
     )
-    out = pairs.where("slots = 0").select(*key, "matched", F.lit(0).cast("long").alias("substituted"))
+    none = F.lit(0).cast("long").alias("substituted")
+    worded = probes.where(F.col("form") == TEMPLATE).select("item_id").distinct()
+    bare = probes.where(F.col("form") == PLAIN).select("item_id").distinct().join(worded, "item_id", "left_anti")
+    out = pairs.where("slots = 0")
+    if bare.limit(1).count():
+        whole = out.where(F.col("form") == PLAIN).join(bare, "item_id", "left_semi").join(items.select("item_id", F.col("text").alias("_item")), "item_id")
+        whole = whole.join(docs.select("doc_id", F.col("text").alias("_doc")), "doc_id").where(F.contains(signs("_doc"), signs(F.regexp_replace("_item", r"[\s.,;:!?=]+$", ""))))
+        out = out.join(bare, "item_id", "left_anti").select(*pairs.columns).unionByName(whole.select(*pairs.columns))
+    out = out.select(*key, "matched", none)
     for form, names in ((TEMPLATE, NAMES_AT), (CAPITALS, CAPITALS_AT)):
         slotted = pairs.where((F.col("form") == form) & (F.col("slots") > 0))
         if slotted.limit(1).count():

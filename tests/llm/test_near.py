@@ -224,6 +224,17 @@ def test_window_hashes(spark):
     assert [len(e.h) for e in short.hs] == [1, 0, 0]
 
 
+def test_leaks_of_short_and_long_items(spark, make):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    items = spark.createDataFrame([(1, "What is 12 + 7?"), (2, " ".join(words)), (3, "3 * 4 = ?")], "item_id long, text string")
+    rows = [
+        (1, "Q: what is\n12+7 ? A: 19"), (2, "What is 12 - 7?"), (3, "What is 12 + 75?"), (4, "What is 12 + 7.5?"), (5, "so 3*4=12"), (6, "3, 4 and 5"),
+        (7, "some " + " ".join(words[30:66]) + " more"), (8, "some " + " ".join(words[30:60]) + " more"), (9, "x".join(["some ", *[" ".join(words[i : i + 20]) + " " for i in range(0, 40, 20)]])),
+    ]
+    got = {(r.doc_id, r.item_id): r.coverage for r in leaks(make(rows), items).collect()}
+    assert set(got) == {(1, 1), (5, 3), (7, 2)} and 0.2 < got[7, 2] < 0.5
+
+
 def test_leaks_without_broadcast(spark, make, monkeypatch):
     import tessera.llm.decontaminate as d
 
