@@ -6,6 +6,7 @@ A batch of queries is a DataFrame (query_id, q) of bounded size: MOST_QUERIES, w
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 
@@ -114,9 +115,10 @@ def web_text_channel(chunks: DataFrame, queries: DataFrame, k: int = TUNING.cand
 
 
 def vector_channel(base: DataFrame, queries: DataFrame, k: int = TUNING.candidates) -> DataFrame:
-    """H2: nearest chunks by cosine; base (chunk_id, vec), queries (query_id, vec)."""
-    vecs = [(r.query_id, list(r.vec)) for r in queries.where("vec IS NOT NULL").limit(MOST_QUERIES).collect()]
-    return top_similar(base, vecs, k, "chunk_id").select("query_id", F.col("id").alias("chunk_id"), "rank", "sim")
+    """H2: nearest chunks by cosine; base (chunk_id, vec), queries (query_id, vec). Queries go in blocks of MOST_QUERIES, all of them."""
+    vecs = [(r.query_id, list(r.vec)) for r in queries.where("vec IS NOT NULL").toLocalIterator()]
+    parts = [top_similar(base, vecs[i : i + MOST_QUERIES], k, "chunk_id") for i in range(0, max(len(vecs), 1), MOST_QUERIES)]
+    return functools.reduce(DataFrame.unionByName, parts).select("query_id", F.col("id").alias("chunk_id"), "rank", "sim")
 
 
 def title_channel(chunks: DataFrame, documents: DataFrame, queries: DataFrame, k: int = TUNING.title_candidates) -> DataFrame:

@@ -183,3 +183,14 @@ def test_resized_embeddings(spark):
 
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0],), (None,)], "embedding array<float>")
     assert [r.embedding for r in index.resize_embeddings(df, 2).collect()] == [[1.0, 2.0], None, None]
+
+
+def test_vector_channel_answers_all_queries(spark, monkeypatch):
+    from tessera.operators import search
+
+    monkeypatch.setattr(search, "MOST_QUERIES", 2)
+    base = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "chunk_id long, vec array<double>")
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)] + [(9, None)], "query_id long, vec array<double>")
+    got = search.vector_channel(base, asked, 3).collect()
+    assert sorted((r.query_id, r.rank) for r in got) == [(q, n) for q in range(5) for n in (1, 2, 3)]
+    assert search.vector_channel(base, asked.limit(0), 3).count() == 0
