@@ -85,6 +85,44 @@ def top_similar(base: DataFrame, queries: list[tuple], k: int, id_col: str = "id
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def top_documents(base: DataFrame, queries: list[tuple], above: float, k: int) -> DataFrame:
+    """query_id, document_id, sim (6 places): from each task the k documents whose best vector is nearest, of those above ``above``.
+
+    base has document_id and vec. The document with the query's own id is left out. The k nearest of all are
+    among these: what keeps a document out of a task's k keeps it out of the k of all. Ties go by document_id.
+    """
+    spark = base.sparkSession
+    if not queries:
+        return spark.createDataFrame([], "query_id long, document_id long, sim double")
+    names = [q for q, _ in queries]
+    matrix = np.array([v for _, v in queries], np.float64)
+    norms = np.linalg.norm(matrix, axis=1)
+    unit = matrix / np.where(norms == 0, 1, norms)[:, None]
+
+    def part(batches):
+        best: list[dict] = [{} for _ in names]
+        for batch in batches:
+            rows = np.array(batch.column("vec").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            size = np.linalg.norm(rows, axis=1)
+            docs = batch.column("document_id").to_numpy()[size > 0]
+            if not len(docs):
+                continue
+            sims = np.round(unit @ (rows[size > 0] / size[size > 0][:, None]).T, 6)
+            for i in np.flatnonzero(norms > 0):
+                at = np.flatnonzero((sims[i] > above) & (docs != names[i]))
+                at = at[np.lexsort((docs[at], -sims[i][at]))]
+                first = np.sort(np.unique(docs[at], return_index=True)[1])[:k]
+                for d, x in zip(docs[at[first]].tolist(), sims[i][at[first]].tolist()):
+                    best[i][d] = max(x, best[i].get(d, x))
+                best[i] = dict(sorted(best[i].items(), key=lambda e: (-e[1], e[0]))[:k])
+        out = [(q, d, x) for q, found in zip(names, best) for d, x in found.items()]
+        cols = list(zip(*out)) if out else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "document_id", "sim"])
+
+    own = base.where("vec IS NOT NULL AND document_id IS NOT NULL").select(F.col("document_id").cast("long").alias("document_id"), "vec")
+    return own.mapInArrow(part, "query_id long, document_id long, sim double")
+
+
 def similar_pairs(vectors: DataFrame, above: float, blocks: int | None = None, id_col: str = "id", vector: str = "vec") -> DataFrame:
     """All pairs a < b with cosine > above: a, b, sim.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci, normalise_separators, rare_tokens, terms
-from ..functions.vectors import top_similar
+from ..functions.vectors import top_documents, top_similar
 from ..functions.vocab import TUNING
 
 MOST_QUERIES = 10_000
@@ -186,10 +186,8 @@ def attach_corrections(results: DataFrame, chunks: DataFrame, most: int = TUNING
 
 
 def similar_notes(base: DataFrame, queries: list[tuple], above: float = TUNING.similar_above, limit: int = TUNING.similar_limit) -> DataFrame:
-    """Documents (base: id, document_id, vec) whose best chunk is close to a query vector; the document asked about is left out by the caller's id."""
-    near = top_similar(base, queries, 1000)
-    docs = near.join(base.select("id", "document_id"), "id").where(F.col("sim") > above)
-    best = docs.groupBy("query_id", "document_id").agg(F.max("sim").alias("sim")).where("document_id != query_id")
+    """Documents (base: id, document_id, vec) whose best chunk is close to a query vector; the document asked about is left out by the caller's id. All chunks count: tasks reduce them to documents."""
+    best = top_documents(base, queries, above, limit).groupBy("query_id", "document_id").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "document_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

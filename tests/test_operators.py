@@ -194,3 +194,12 @@ def test_vector_channel_answers_all_queries(spark, monkeypatch):
     got = search.vector_channel(base, asked, 3).collect()
     assert sorted((r.query_id, r.rank) for r in got) == [(q, n) for q in range(5) for n in (1, 2, 3)]
     assert search.vector_channel(base, asked.limit(0), 3).count() == 0
+
+
+def test_similar_notes_beside_a_long_document(spark):
+    from tessera.operators import search
+
+    rows = [(i, 1, [1.0, i / 1e6]) for i in range(1500)] + [(2000 + i, 0, [1.0, 0.0]) for i in range(1500)] + [(5000 + d, d, [1.0, d / 10]) for d in range(2, 9)] + [(9000, 10, None), (9001, 11, [0.0, 0.0])]
+    base = spark.createDataFrame(rows, "id long, document_id long, vec array<double>").repartition(3)
+    got = search.similar_notes(base, [(0, [1.0, 0.0])], above=0.2).orderBy("rank").collect()
+    assert [(r.document_id, r.rank) for r in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)] and got[0].sim == 1.0
