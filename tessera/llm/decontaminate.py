@@ -26,6 +26,7 @@ TEMPLATE, CAPITALS, PLAIN = 0, 1, 2
 MOST_BROADCAST = 200_000
 #: Texts that are broadcast by their key (two numbers) at most.
 MOST_SUSPECTS = 1_000_000
+# All explodes are outer ones: below others the planner puts a filter on the array, whose whole expression is then made several times.
 #: Words of the runs by which texts are singled out before they are compared in all forms.
 GRAM = 4
 
@@ -75,7 +76,7 @@ def forms(df: DataFrame, id_col: str) -> DataFrame:
     """
     text = F.col("text")
     each = F.array(*[F.struct(F.lit(n).alias("form"), tok.alias("tok")) for n, tok in ((TEMPLATE, template(text)), (CAPITALS, template(text, CAPITALS_AT)), (PLAIN, plain(text)))])
-    return df.select(id_col, F.explode(each).alias("e")).select(id_col, "e.form", "e.tok")
+    return df.select(id_col, F.explode_outer(each).alias("e")).select(id_col, "e.form", "e.tok")
 
 
 def hashed(df: DataFrame, lengths: list[int]) -> DataFrame:
@@ -138,9 +139,9 @@ def suspects(docs: DataFrame, windows: DataFrame, coverage: float) -> DataFrame:
         grams = stage(grams, "grams")
         sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # GRAM numbers at most
         few = grams.count() <= MOST_BROADCAST
-        wanted = hashed(grams.withColumnRenamed("gram", "tok"), sizes).select(F.explode("hs").alias("e"), "size").where("e.len = size").select("size", F.expr("e.h[0]").alias("h")).distinct()
-        found = hashed(keyed.select("doc_id", "text_hash", runs(F.col("text")).alias("tok")), sizes).select("doc_id", "text_hash", F.explode("hs").alias("e"))
-        found = found.select("doc_id", "text_hash", F.col("e.len").alias("size"), F.explode("e.h").alias("h"))
+        wanted = hashed(grams.withColumnRenamed("gram", "tok"), sizes).select(F.explode_outer("hs").alias("e"), "size").where("e.len = size").select("size", F.expr("e.h[0]").alias("h")).distinct()
+        found = hashed(keyed.select("doc_id", "text_hash", runs(F.col("text")).alias("tok")), sizes).select("doc_id", "text_hash", F.explode_outer("hs").alias("e"))
+        found = found.select("doc_id", "text_hash", F.col("e.len").alias("size"), F.explode_outer("e.h").alias("h"))
         # Broadcast: MOST_BROADCAST grams at most, as just counted; then MOST_SUSPECTS keys.
         found = stage(found.join(F.broadcast(wanted) if few else wanted, ["size", "h"], "left_semi").select("doc_id", "text_hash").distinct(), "suspects")
         few = found.count() <= MOST_SUSPECTS
@@ -158,7 +159,7 @@ def item_windows(items: DataFrame, length: int, least_words: int) -> DataFrame:
     own = forms(items, "item_id").withColumn("len", F.least(F.size("tok"), F.lit(length))).where(F.col("len") > 0)
     own = own.withColumns({"slots": F.when(F.col("form") == PLAIN, 0).otherwise(F.size(F.filter("tok", slot))), "words": F.transform("tok", lambda t: (~slot(t)).cast("int")), "toks": F.col("tok")})
     each = hashed(own, list(range(1, length + 1))).withColumn("hs", F.expr("element_at(hs, len).h"))
-    each = each.select("item_id", "form", "len", "slots", "words", "toks", F.posexplode("hs").alias("at", "h")).withColumn("win", F.expr("slice(toks, at + 1, len)")).drop("toks")
+    each = each.select("item_id", "form", "len", "slots", "words", "toks", F.posexplode_outer("hs").alias("at", "h")).withColumn("win", F.expr("slice(toks, at + 1, len)")).drop("toks")
     worded = F.expr("aggregate(slice(words, at + 1, len), 0, (s, x) -> s + x)")
     each = each.where((F.col("form") == PLAIN) | (worded >= F.least(F.lit(least_words), F.col("len")))).drop("words")
     return each.withColumn("total", F.count("*").over(Window.partitionBy("item_id", "form")))
@@ -201,9 +202,9 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = 8, least_words: int =
     hashes = probes.groupBy("form", "len", "h").agg(F.collect_set(F.struct("item_id", "at", "total", "slots")).alias("of"))
     texts = suspects(docs, probes, coverage)
     found = hashed(forms(texts.select("_doc", "text"), "_doc"), lengths)
-    found = found.select("_doc", "form", F.explode("hs").alias("e")).select("_doc", "form", "e.len", F.posexplode("e.h").alias("pos", "h"))
+    found = found.select("_doc", "form", F.explode_outer("hs").alias("e")).select("_doc", "form", "e.len", F.posexplode_outer("e.h").alias("pos", "h"))
     # Broadcast: MOST_BROADCAST windows at most, as just counted.
-    hits = found.join(F.broadcast(hashes) if few else hashes, ["form", "len", "h"]).select("_doc", "form", "pos", F.explode("of").alias("of"))
+    hits = found.join(F.broadcast(hashes) if few else hashes, ["form", "len", "h"]).select("_doc", "form", "pos", F.explode_outer("of").alias("of"))
     hits = hits.select("_doc", "form", "of.*", (F.col("pos") - F.col("of.at")).alias("shift"))
     key = ["_doc", "item_id", "form", "total", "slots"]
     by_shift = hits.groupBy(*key, "shift").agg(F.collect_set("at").alias("ats"))
@@ -253,7 +254,7 @@ def consistent(pairs: DataFrame, texts: DataFrame, items: DataFrame, length: int
     values = own.select("_doc", template(F.col("text"), names).alias("tok"), slot_values(F.col("text"), names).alias("dv")).select("_doc", places("tok").alias("dp"), "dv")
     theirs = items.select("item_id", template(F.col("text"), names).alias("tok"), slot_values(F.col("text"), names).alias("iv"))
     theirs = theirs.select("item_id", "iv", places("tok").alias("ip"), F.filter("tok", slot).alias("kinds"), F.least(F.size("tok"), F.lit(length)).alias("len"))
-    each = pairs.select("_doc", "item_id", "form", "total", "slots", F.explode("alignments").alias("x")).select("_doc", "item_id", "form", "total", "slots", "x.*")
+    each = pairs.select("_doc", "item_id", "form", "total", "slots", F.explode_outer("alignments").alias("x")).select("_doc", "item_id", "form", "total", "slots", "x.*")
     each = each.join(values, "_doc").join(theirs, "item_id")
     both = """transform(filter(sequence(0, size(ip) - 1), k -> exists(ats, a -> ip[k] >= a AND ip[k] < a + len)),
         k -> named_struct('k', k, 'named', kinds[k] = '%s', 'a', iv[k], 'b', get(dv, CAST(array_position(dp, CAST(ip[k] + shift AS INT)) AS INT) - 1)))""" % NAME
