@@ -102,25 +102,34 @@ def project_nodes(entities: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, write=stage, rounds: int = 60) -> DataFrame:
-    """(node, comp) with comp the smallest node that can be reached over edges (a, b).
-
-    Each round hangs every node, and the label it has, under the smallest label across its edges, and
-    then follows labels twice; trees halve in height, so rounds grow with the logarithm of the nodes.
-    ``write`` puts each round's labels where all executors read them and returns them read back: lineage
-    stays short and a lost executor costs no round. Only a yes or no comes to the driver. Self-loops and
-    repeated edges do no harm.
+    """(node, comp) with comp the smallest node that can be reached over edges (a, b); nodes without another node are left out.
+
+    Rounds of contraction: every node hangs under its smallest neighbour, follows that one's choice once,
+    and the edges are carried over to what the nodes hang under, so a round that starts with stars ends
+    without edges. In every second round "smallest" goes by a hash, else a long path in the order of its
+    names would lose a few nodes a round; so the rounds grow with the logarithm of the nodes.
+    ``write`` puts a round's choices and edges where all executors read them and returns them read back:
+    lineage stays short, a lost executor costs no round, and joins with a hub can be split. Only a yes or
+    no comes to the driver. Self-loops and repeated edges do no harm.
     """
-    both = write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"))
-    for _ in range(rounds):
-        ends = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("low"))
-        ends = ends.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").where("low < ca")
-        offers = ends.select(F.col("a").alias("node"), "low").unionByName(ends.select(F.col("ca").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low"))
-        hung = write(labels.join(offers, "node", "left").select("node", F.least("comp", "low").alias("comp"), F.col("low").isNotNull().alias("moved")))
-        for _ in range(2):
-            up = hung.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            hung = hung.join(up, "comp").select("node", F.col("top").alias("comp"), (F.col("moved") | (F.col("top") < F.col("comp"))).alias("moved"))
-        labels = write(hung)
-        if not labels.where("moved").limit(1).count():
-            return labels.select("node", "comp")
-    raise RuntimeError(f"components haven't settled after {rounds} rounds")
+    own = edges.select("a", "b").where("a != b")
+    own = write(own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, hashed = None, False
+    for r in range(rounds):
+        hashed |= r % 2 == 1
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(r)) if r % 2 else F.lit(0), F.col(c).alias("v"))
+        least = F.least(F.min(rank("b")), rank("a"))["v"]
+        chosen = own.groupBy("a").agg(least.alias("p")).withColumnRenamed("a", "node")
+        hung = write(chosen.join(chosen.select(F.col("node").alias("p"), F.col("p").alias("q")), "p").select("node", F.col("q").alias("p")))
+        labels = hung.withColumnRenamed("p", "comp") if labels is None else labels.join(hung.select(F.col("node").alias("comp"), "p"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
+        up = lambda c: hung.select(F.col("node").alias(c), F.col("p").alias(f"p{c}"))
+        own = write(own.join(up("a"), "a").join(up("b"), "b").where("pa != pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        if not own.limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"components haven't settled after {rounds} rounds")
+    if hashed:
+        labels = write(labels)
+        named = labels.groupBy("comp").agg(F.min("node").alias("least"))
+        labels = labels.join(named, "comp").select("node", F.col("least").alias("comp"))
+    return labels

@@ -203,3 +203,22 @@ def test_similar_notes_beside_a_long_document(spark):
     base = spark.createDataFrame(rows, "id long, document_id long, vec array<double>").repartition(3)
     got = search.similar_notes(base, [(0, [1.0, 0.0])], above=0.2).orderBy("rank").collect()
     assert [(r.document_id, r.rank) for r in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)] and got[0].sim == 1.0
+
+
+def test_components_of_random_graphs(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400, 400 + i) for i in range(1, 90)] + [(1000 + i, 1001 + i) for i in range(120)] + [(7, 7), (2000, 2000)]
+    up = list(range(2100))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    got = {r.node: r.comp for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
