@@ -49,6 +49,7 @@ def near_copies(seed, families=6, members=25, words=60, edits=4):
 @pytest.mark.parametrize("seed,n,percent,leaf,tile", [(1, 4, 85, 32, 512), (2, 5, 80, 4, 8), (3, 2, 60, 4, 8)])
 def test_ngram_classes(make, monkeypatch, seed, n, percent, leaf, tile):
     monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    monkeypatch.setattr(ngram_join, "FAN", 2)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     rows = near_copies(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_classes(make(rows), n, percent).collect()}
@@ -71,8 +72,10 @@ def test_tree_join_loses_no_pair():
     vec = np.array([ngram_join.points(s) for s in sets])
     ids = np.arange(len(sets))
     want = {(i, j) for i in ids for j in ids if i < j and 100 * (o := len(np.intersect1d(sets[i], sets[j]))) >= 70 * (n[i] + n[j] - o)}
-    for split in (None, 77):
-        x, y = ngram_join.tree_join(ids, n, ids, vec, 70, split)
+    tree = lambda at: ngram_join.Tree(ids[at], n[at], ids[at], vec[at])
+    assert len(tree(slice(0, None)).levels) == 2 and len(tree(slice(0, 40)).levels) == 2
+    for split in (None, 77, 3):
+        x, y = ngram_join.tree_join(tree(slice(0, None)), 70) if split is None else ngram_join.tree_join(tree(slice(0, split)), 70, tree(slice(split, None)))
         found = {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())}
         need = want if split is None else {(i, j) for i, j in want if (i < split) != (j < split)}
         assert need and need <= found
@@ -244,5 +247,5 @@ def test_leaks_without_broadcast(spark, make, monkeypatch):
 
 
 def test_shingles_of_short_and_folded_texts():
-    sets = [s for s, _ in ngram_join.shingle_sets(pa.array(["a b c d", "A B C D", "a b c", "", "a b c d e"]), 4)]
+    sets = [s for s, *_ in ngram_join.shingle_sets(pa.array(["a b c d", "A B C D", "a b c", "", "a b c d e"]), 4)]
     assert [len(s) for s in sets] == [1, 1, 1, 0, 2] and sets[0][0] == sets[1][0] != sets[2][0] and sets[0][0] in sets[4]
