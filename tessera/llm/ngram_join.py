@@ -382,7 +382,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     buckets: each class goes to the buckets of its first n - ceil(percent n / 100) + 1 n-grams in an order
     that puts frequent ones last, so two similar classes share at least one. Links are found in two rounds.
 
-    1. In each bucket every class is paired with the bucket's first and last one by number. The pairs that the
+    1. In each bucket every class is paired with the bucket's most central one. The pairs that the
        count vectors' bound lets through are verified on the sets, and components are formed: groups of
        near copies fall together without a pair for every two members.
     2. Buckets that still hold several components are searched by R-tree for pairs of different
@@ -440,9 +440,12 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     release(whole)
 
     post = info.select("id", F.explode("first").alias("token"))
-    shared = post.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi")
-    posts = stage(post.join(shared, "token").select("token", "id", "lo", "hi"), "postings")
-    star = posts.select("id", F.explode(F.array("lo", "hi")).alias("pivot")).where("id != pivot")
+    shared = post.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo != hi")
+    posts = stage(post.join(shared, "token").select("token", "id", "c"), "postings")
+    # The pivot of a bucket is the member with most company in all its buckets: of a group of copies, what they are copies of.
+    central = posts.groupBy("id").agg(F.sum("c").alias("weight"))
+    pivot = posts.join(central, "id").groupBy("token").agg(F.max(F.struct("weight", "id")).alias("top"))
+    star = posts.join(stage(pivot.select("token", F.col("top.id").alias("pivot")), "pivots"), "token").where("id != pivot")
     star = star.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     near = stage(bounded(star, info, percent), "near")
     links = verify(near, docs, n, percent)
