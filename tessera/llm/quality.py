@@ -115,19 +115,26 @@ def train(x: np.ndarray, mark: np.ndarray, y: np.ndarray, hidden: int = 16, atte
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, trained_on, most: int = 3000, dims: int = 256, label_col: str = "quality") -> Model | None:
-    """Fits on labelled rows where ``trained_on`` holds: the ``most`` that come first by a hash of doc_id (a documented bound)."""
+def fit(docs: DataFrame, labels: DataFrame, trained_on, most: int = 3000, dims: int = 256, label_col: str = "quality", most_passages: int = 64) -> Model | None:
+    """Fits on labelled rows where ``trained_on`` holds.
+
+    Two documented bounds, for the fit alone: the ``most`` different rows that come first by a hash of doc_id,
+    and ``most_passages`` passages of a text, evenly spread over it. Of documents with one doc_id, one text
+    counts. So the driver gets most * most_passages passages at most, about 530 bytes each.
+    """
     own = labels.where(trained_on & F.col(label_col).isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("y"))
-    picked = own.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    picked = own.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     # Broadcast: ``most`` rows of two numbers.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    chosen = chosen.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("doc_id", "y", "first.text")
 
     def encode(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
                 x, mark = passages(part.column("text"), dims)
                 x = x.astype(np.float16)
-                each = [x[a:b].tobytes() for a, b in zip(mark[:-1], mark[1:])]
+                spread = lambda a, b: np.unique(np.linspace(a, b - 1, min(b - a, most_passages)).astype(np.int64))
+                each = [x[spread(a, b)].tobytes() for a, b in zip(mark[:-1], mark[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(each, pa.binary())], names=["doc_id", "y", "x"])
 
     got = map_arrow(chosen, encode, "doc_id long, y int, x binary").toArrow().sort_by("doc_id")
