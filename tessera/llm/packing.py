@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, ship, stage
 from .tokens import default_vocabulary, encoded
 
+#: Pieces of a group at most: short documents are many.
+MOST_PIECES = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, open boolean, certified boolean"
 
@@ -105,18 +107,18 @@ def pack(cut: DataFrame, capacity: int = 4096, group_bins: int = 256, rounds: in
     Pieces are dealt by hash to groups of about ``group_bins`` bins, each packed by best-fit decreasing
     in a task of its own and held against its lower bound. Open bins of all groups are then dealt to
     fewer groups and packed again, until a round has one group (or ``rounds`` are over). A group's size
-    is bounded by group_bins, whatever the input; only lengths and numbers travel, never texts.
+    is bounded by group_bins and MOST_PIECES, whatever the input; only lengths and numbers travel, never texts.
     """
     ship(cut.sparkSession)
     todo = stage(cut.withColumn("row", F.expr("monotonically_increasing_id()")), "pieces")
     todo = todo.withColumns({"bin": F.lit(-1).cast("long"), "offset": F.lit(0).cast("long")})
     done: list[DataFrame] = []
     for r in range(rounds):
-        tokens = todo.agg(F.sum("length")).first()[0]
+        tokens, count = todo.agg(F.sum("length"), F.count("*")).first()
         if tokens is None:
             break
         # What is left gets less from round to round, and is harder to place: groups grow, 64-fold at most.
-        groups = max(1, -(-tokens // (capacity * group_bins * min(4**r, 64))))
+        groups = max(1, -(-tokens // (capacity * group_bins * min(4**r, 64))), -(-count // MOST_PIECES))
         last = groups == 1 or r == rounds - 1
         # Bins opened before travel whole, so that a group can keep them as they are.
         key = F.when(F.col("bin") < 0, F.xxhash64("row")).otherwise(F.xxhash64("bin"))
