@@ -124,15 +124,15 @@ def ascii_lower(text: Column) -> Column:
 # --- Arrow and numpy ---------------------------------------------------------------------------
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
-    """Cuts a batch into runs of rows of about ``most`` bytes of a string column (one row at least)."""
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19, rows: int = 1 << 11):
+    """Cuts a batch into runs of ``rows`` rows at most, of about ``most`` bytes of a string column (one row at least)."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     if not len(size):
         return
     mark = np.concatenate([[0], np.cumsum(size)])
     at = 0
     while at < len(size):
-        to = max(at + 1, int(np.searchsorted(mark, mark[at] + most, side="right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(mark, mark[at] + most, side="right")) - 1))
         yield batch.slice(at, to - at)
         at = to
 
@@ -233,8 +233,24 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 MOST_IDS = 400_000
 
 
-def without(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose identifier is in drop (id_col). A short list goes to the documents, so their texts stay in place."""
-    drop = stage(drop.select(id_col).where(F.col(id_col).isNotNull()).distinct(), "drop")
-    few = drop.count() <= MOST_IDS
-    return docs.join(F.broadcast(drop) if few else drop, id_col, "left_anti").select(*docs.columns)
+def text_key(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id as a struct of the identifier and the text's hash, which tells rows with one identifier apart; and text."""
+    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text", *more)
+
+
+def without(docs: DataFrame, drop: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose (doc_id, text_hash) is in drop; of rows that share one in ``once``, one stays.
+
+    Nulls equal nulls. A short list goes to the documents, so their texts stay in place.
+    """
+
+    def listed(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        few = keys.count() <= MOST_IDS
+        return rows.join(F.broadcast(keys) if few else keys, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(rows["text"]) == F.col("_hash")), how).select(*docs.columns)
+
+    keys = lambda df, name: stage(df.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), name)
+    out = listed(keys(drop, "drop"), "left_anti", docs)
+    if once is not None and (again := keys(once, "once")).count():
+        twice = listed(again, "left_semi", docs).dropDuplicates(["doc_id", "text"])
+        out = listed(again, "left_anti", out).unionByName(twice)
+    return out

@@ -71,3 +71,19 @@ def test_passages(texts, count):
 
     x, mark = quality.passages(pa.array(texts), 64)
     assert np.diff(mark).tolist() == count and x.shape == (sum(count), 64 + quality.SHAPES) and np.isfinite(x).all()
+
+
+def test_bits_are_trusted_by_their_errors():
+    y = np.array([[1, 1], [1, 1], [-1, -1], [-1, -1]], np.float32)
+    margin = np.array([[2, 2], [2, -2], [-2, -2], [-2, -2]], np.float32)
+    trust = language.trusted(margin, y, np.array([0, 0, 1, 1]), 2)
+    assert trust[0, 0] > trust[0, 1] and trust[1, 0] == trust[1, 1] and np.allclose(trust.mean(1), 1)
+
+
+def test_fit_takes_bounded_samples(spark, make):
+    rows = [(1, f"the cat and number {i % 300} went out" if i % 2 else f"der hund und nummer {i % 300} ging aus", "en" if i % 2 else "de", "a") for i in range(900)]
+    model = language.fit(make(rows), language.F.lit(True), per_label=40)
+    assert model.labels == ["de", "en"]
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    long = make([(1, "word " * 50_000), (1, "other")])
+    assert quality.fit(long, labels, quality.F.lit(True), most_passages=5) is not None
