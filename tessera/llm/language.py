@@ -18,10 +18,6 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 
 
-#: Parts in which a label's rows are ranked before the sample is taken.
-PARTS = 256
-
-
 @dataclass
 class Model:
     labels: list[str]
@@ -78,19 +74,19 @@ def fit(docs: DataFrame, trained_on, dims: int = 4096, per_label: int = 800, id_
     """Fits on the rows where ``trained_on`` holds and label and text aren't null.
 
     The sample is bounded: of each label the ``per_label`` rows that come first by a hash of identifier and
-    text; rows that repeat both count once. A label's rows are ranked in parts first, so no task ranks a hot
-    label alone. The whole texts become features on the executors; the driver gets those, about 8 kB a row.
+    text; rows that repeat both count once. Only about twice as many are ranked, however many a label has. The whole texts become features on the executors; the driver gets those, about 8 kB a row.
 
     A bit's loss counts for a label as much as its classifier can be trusted there: each is tried on a
     quarter of the sample that it wasn't fitted on (``trusted``); the classifiers used are fitted on all.
     """
     own = docs.where(trained_on & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     own = own.select(F.col(label_col).alias("label"), F.xxhash64(id_col, text_col).alias("_h"), F.col(text_col).alias("text"))
-    picked = own.select("label", "_h").withColumn("_part", F.pmod("_h", F.lit(PARTS)))
-    for part in (["label", "_part"], ["label"]):
-        picked = picked.withColumn("_k", F.row_number().over(Window.partitionBy(*part).orderBy("_h"))).where(F.col("_k") <= per_label).drop("_k")
+    # Twice as many as wanted are let through by their hash, so that few rows are ranked; a row for each label is broadcast.
+    share = own.groupBy("label").agg((F.lit(2.0 * per_label) / F.count("*")).alias("_share"))
+    picked = own.select("label", "_h").join(F.broadcast(share), "label").where(F.pmod("_h", F.lit(1 << 30)) < F.col("_share") * (1 << 30)).select("label", "_h").distinct()
+    picked = picked.withColumn("_k", F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h"))).where(F.col("_k") <= per_label)
     # Broadcast: per_label numbers for each label.
-    chosen = own.join(F.broadcast(picked.select("label", "_h").distinct()), ["label", "_h"], "left_semi").dropDuplicates(["label", "_h"]).select("label", "text")
+    chosen = own.join(F.broadcast(picked.select("label", "_h")), ["label", "_h"], "left_semi").dropDuplicates(["label", "_h"]).select("label", "text")
 
     def encode(batches):
         for batch in batches:
