@@ -164,6 +164,9 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BASE, _UNBASE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+# A second family, unrelated to the first: what must hold for sure needs equal hashes of both.
+_BASE2, _CODES2 = 0xBF58476D1CE4E5B9, mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x94D049BB133111EB))
+_UNBASE2 = pow(_BASE2, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -181,16 +184,17 @@ def fold(data: np.ndarray) -> np.ndarray:
     return _FOLD[data]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, second: bool = False) -> np.ndarray:
     """P with P[j] - P[i] = sum of code(data[t]) * base ** t over i <= t < j, modulo 2 ** 64."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * powers(_BASE, len(data)), out=out[1:])
+    codes, base = (_CODES2, _BASE2) if second else (_CODES, _BASE)
+    np.cumsum(codes[data] * powers(base, len(data)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
     """64-bit hash of each span, the same wherever the span stands."""
-    return mix((prefix[end] - prefix[start]) * powers(_UNBASE, len(prefix))[start] + (end - start).astype(np.uint64))
+    return mix((prefix[end] - prefix[start]) * powers(_UNBASE2 if second else _UNBASE, len(prefix))[start] + (end - start).astype(np.uint64))
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

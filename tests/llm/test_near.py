@@ -249,3 +249,36 @@ def test_leaks_without_broadcast(spark, make, monkeypatch):
 def test_shingles_of_short_and_folded_texts():
     sets = [s for s, *_ in ngram_join.shingle_sets(pa.array(["a b c d", "A B C D", "a b c", "", "a b c d e"]), 4)]
     assert [len(s) for s in sets] == [1, 1, 1, 0, 2] and sets[0][0] == sets[1][0] != sets[2][0] and sets[0][0] in sets[4]
+
+
+def first_kept(rows, length):
+    """Brute force: bytes of each text covered by a string of ``length`` bytes that starts earlier."""
+    seen, out = set(), {}
+    for i, t in rows:
+        t = (t or "").encode()
+        mark = np.zeros(len(t), bool)
+        for k in range(len(t) - length + 1):
+            if t[k : k + length] in seen:
+                mark[k : k + length] = True
+            seen.add(t[k : k + length])
+        out[i] = int(mark.sum())
+    return out
+
+
+@pytest.mark.parametrize("contexts", [64, 1])
+def test_first_copy_stays(make, monkeypatch, contexts):
+    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", contexts)
+    rng = random.Random(contexts)
+    passages = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(99)}" for _ in range(30)) for _ in range(3)]
+    texts = [" ".join(rng.choice([*passages, f"own {rng.random()} words {rng.random()}"]) for _ in range(4)) for _ in range(25)] + ["z" * 200, "z" * 130, None, ""]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(make(rows), 60, keep_first=True).collect()}
+    assert got == first_kept(rows, 60) and sum(got.values()) > 1000
+
+
+def test_repeats_of_one_identifier(make):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (1, " ".join(words[100:]) + " tail"), (None, " ".join(words[:120])), (None, "short"), (1, "short")]
+    got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(make(rows), 100).collect())
+    want = sorted(x[:2] for x in covered_by(rows, 100))
+    assert got == want
