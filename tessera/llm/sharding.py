@@ -12,17 +12,34 @@ from .common import stage, utf8
 MOST_CELLS_BITS = 15
 
 
-def order_key(df: DataFrame, column: str) -> Column:
-    """A long that sorts as the column does (strings by their first seven bytes); null comes first."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.substring(F.rpad(F.hex(F.col(column).cast("binary")), 14, "0"), 1, 14)
-        key = F.conv(head, 16, 10).cast("long")
-    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        key = F.unix_micros(F.col(column).cast("timestamp"))
-    else:
-        key = F.col(column).cast("long")
-    return F.coalesce(key, F.lit(-(1 << 62)))
+def order_keys(df: DataFrame, dims: list[str]) -> list[Column]:
+    """For each dimension a number that sorts as the column does; null comes first.
+
+    Strings and binaries give seven bytes after the prefix that all their values share, as the smallest and
+    the largest value tell; values that differ only after those sort together. Doubles stay doubles.
+    """
+    text = [d for d in dims if isinstance(df.schema[d].dataType, (T.StringType, T.BinaryType))]
+    shared = {}
+    if text:  # two values for each column come to the driver
+        raw = lambda d: F.hex(F.col(d).cast("binary"))
+        row = df.agg(*[f(raw(d)).alias(f"{i}{n}") for i, d in enumerate(text) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        for i, d in enumerate(text):
+            lo, hi = row[f"{i}lo"] or "", row[f"{i}hi"] or ""
+            same = next((k for k, (x, y) in enumerate(zip(lo, hi)) if x != y), min(len(lo), len(hi)))
+            shared[d] = same // 2
+
+    def key(d: str) -> Column:
+        kind = df.schema[d].dataType
+        if d in shared:
+            head = F.substring(F.rpad(F.hex(F.substring(F.col(d).cast("binary"), shared[d] + 1, 7)), 14, "0"), 1, 14)
+            return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-(1 << 62)))
+        if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+            return F.coalesce(F.col(d).cast("double"), F.lit(float("-inf")))
+        if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return F.coalesce(F.unix_micros(F.col(d).cast("timestamp")), F.lit(-(1 << 62)))
+        return F.coalesce(F.col(d).cast("long"), F.lit(-(1 << 62)))
+
+    return [key(d) for d in dims]
 
 
 def with_hilbert_index(cells: DataFrame, axes: list[str], bits: int) -> DataFrame:
@@ -52,7 +69,8 @@ def hilbert_order(df: DataFrame, dims: list[str], ties: list[str], bits: int = 5
     """df with ``curve`` (the cell's position), ``rank`` (gapless from 0 along the curve) and ``total``.
 
     Every dimension is quantised at its own quantiles into 2 ** bits steps, so steps hold like numbers
-    of rows. Ranks come without a global sort: rows are counted by cell (a table of 2 ** 15 rows at
+    of rows. Where it has fewer different steps (a few languages), these are spread over the whole range:
+    else they would only turn the curve's finest bits, and a filter on that dimension would skip nothing. Ranks come without a global sort: rows are counted by cell (a table of 2 ** 15 rows at
     most, whatever the input), cells are summed along the curve, and a cell with more than ``bucket``
     rows is dealt into as many hash buckets as it needs, each ranked by a task of its own.
     """
@@ -62,14 +80,15 @@ def hilbert_order(df: DataFrame, dims: list[str], ties: list[str], bits: int = 5
     keys = [f"_k{i}" for i in range(len(dims))]
     axes = [f"_a{i}" for i in range(len(dims))]
     # Written, so that a quantile's lambda compares a column and not the key's whole expression again.
-    keyed = stage(df.withColumns({k: order_key(df, d) for k, d in zip(keys, dims)}), "keys")
+    keyed = stage(df.withColumns(dict(zip(keys, order_keys(df, dims)))), "keys")
     cuts = ", ".join(str(i / steps) for i in range(1, steps))
-    # One row of (2 ** bits - 1) numbers for each dimension, whatever the input.
-    edges = keyed.agg(*[F.expr(f"approx_percentile({k}, array({cuts}), 10000)").alias(k) for k in keys]).first()
-    step = {
-        a: F.expr(f"size(filter(array({', '.join(f'{x}L' for x in sorted(set(edges[k] or [])) or [0])}), e -> e < {k}))")
-        for a, k in zip(axes, keys)
-    }
+    # One row of 2 ** bits numbers for each dimension, whatever the input.
+    edges = keyed.agg(*[F.expr(f"approx_percentile({k}, array({cuts}), 10000)").alias(k) for k in keys], *[F.max(k).alias(f"{k}m") for k in keys]).first()
+    step = {}
+    for a, k in zip(axes, keys):
+        own = sorted({x for x in edges[k] or [] if x < edges[f"{k}m"]})
+        at = F.size(F.filter(F.array(*[F.lit(x) for x in own]), lambda e: e < F.col(k))) if own else F.lit(0)
+        step[a] = F.floor(at * steps / (len(own) + 1)).cast("int")
     rows = keyed.withColumns(step).drop(*keys)
     cells = with_hilbert_index(rows.groupBy(*axes).agg(F.count("*").alias("_cell_n")), axes, bits)
     along = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,8 +119,9 @@ def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], shards: int
     """df with curve, shard and slot: the curve is cut into ``shards`` runs whose row counts differ by one at most.
 
     Slots are gapless from 0 in each shard, in curve order; ties in a cell go by a hash bucket and then
-    the columns in ``ties``, so any rerun gives the same slots unless rows repeat in all those columns
-    (repeated rows take their slots in either order, with the same result). Nulls in a dimension sort
+    the columns in ``ties``; rows that repeat in all those take their slots in either order, with the same
+    result. The steps are approximate quantiles (to a ten-thousandth of the rows; exact below 10,000 values), whose sketches depend on the order in
+    which Spark merges them: a rerun of a larger table may cut a step elsewhere. Write the result once (``write_shards``). Nulls in a dimension sort
     before all values. An empty table gives an empty result. Other columns pass through.
     """
     ranked = hilbert_order(df, dims, ties, bits)
@@ -111,6 +131,22 @@ def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], shards: int
     return ranked.withColumns({"shard": shard.cast("int"), "slot": F.col("rank") - first}).drop("rank", "total")
 
 
+def shard_ranges(sharded: DataFrame, dims: list[str]) -> DataFrame:
+    """One row for each shard: rows, and the least and greatest value of each dimension (``min_x``, ``max_x``; null if all are) and its ``nulls_x``.
+
+    A filter on any of the dimensions skips the shards whose range it misses.
+    """
+    each = [x for d in dims for x in (F.min(d).alias(f"min_{d}"), F.max(d).alias(f"max_{d}"), F.count_if(F.col(d).isNull()).alias(f"nulls_{d}"))]
+    return sharded.groupBy("shard").agg(F.count("*").alias("rows"), *each)
+
+
+def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Writes a folder for each shard, in files of ``rows_per_file`` neighbours on the curve, sorted by slot: a reader's
+    filter on a dimension skips folders' files by their column statistics. A shard's files are written by as many tasks."""
+    dealt = sharded.withColumn("_file", F.expr(f"slot div {rows_per_file}")).repartition("shard", "_file").sortWithinPartitions("shard", "slot")
+    dealt.drop("_file").write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Documents laid along the curve through (source, lang, size); one row for each document.
 
