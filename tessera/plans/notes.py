@@ -100,12 +100,12 @@ def prune_missing(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT p_name AS name, min(p_partkey) FILTER (WHERE p_partkey % 2 = 0) AS backed, min(p_partkey) AS least FROM part GROUP BY p_name),
-    l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'nobody' ELSE p_name END AS target FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49)
+    l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'nobody' ELSE p_name END AS target FROM lineitem JOIN part ON l_partkey = p_partkey)
     SELECT l_orderkey, l_linenumber, coalesce(backed, least) AS entity_id FROM l LEFT JOIN e ON target = name""")
 def link_resolution(spark, sf_dir):
     p = load(spark, sf_dir, "part")
     e = p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey")).alias("document_id"))
-    li = load(spark, sf_dir, "lineitem").where("l_quantity >= 49").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    li = load(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     links = li.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, "nobody").otherwise(F.col("p_name")).alias("target"))
     return index.resolve_links(links, e).select("l_orderkey", "l_linenumber", F.col("target_entity_id").alias("entity_id"))
 
@@ -140,10 +140,10 @@ def origin_flip(spark, sf_dir):
     return extract.repoint(e, "agents/old.md", "notes/moved.md").select("c_custkey", F.array_join("sources", ",").alias("sources"), "origin")
 
 
-@query("""SELECT p_partkey FROM part WHERE p_partkey % 2 = 1 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 49)""")
+@query("""SELECT p_partkey FROM part WHERE p_partkey % 2 = 1 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem)""")
 def orphan_sweep(spark, sf_dir):
     e = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.when(F.col("p_partkey") % 2 == 1, "semantic").otherwise("note").alias("kind"), F.lit(None).cast("long").alias("document_id"))
-    r = load(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("source_entity_id"), F.col("l_suppkey").alias("target_entity_id"))
+    r = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source_entity_id"), F.col("l_suppkey").alias("target_entity_id"))
     return extract.orphans(e, r).select(F.col("entity_id").alias("p_partkey"))
 
 

@@ -63,14 +63,14 @@ def entity_adopt(spark, sf_dir):
     return out.select(F.col("document_id").alias("note"), F.coalesce(F.nullif(F.regexp_extract("entity_id", "^(own|placeholder)", 1), F.lit("")), F.lit("fresh")).alias("how"))
 
 
-@query("""WITH links AS (SELECT DISTINCT l_suppkey AS s, 'part' || (l_partkey % 40) AS target FROM lineitem WHERE l_quantity >= 48),
-    known AS (SELECT DISTINCT 'part' || p_partkey AS name FROM part WHERE p_partkey < 20)
+@query("""WITH links AS (SELECT DISTINCT l_suppkey AS s, 'part' || (l_partkey % 40) AS target FROM lineitem),
+    known AS (SELECT DISTINCT 'part' || p_partkey AS name FROM part)
     SELECT 'edges' AS what, count(*) AS n FROM links UNION ALL SELECT 'placeholders', count(DISTINCT target) FROM links WHERE target NOT IN (SELECT name FROM known)
     UNION ALL SELECT 'kept', count(*) FROM supplier""")
 def relations_sync(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").where("l_quantity >= 48")
+    li = load(spark, sf_dir, "lineitem")
     links = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_entity_id"), F.lit("MENTIONS").alias("relation_type"), F.concat(F.lit("part"), (F.col("l_partkey") % 40).cast("string")).alias("target"))
-    p = load(spark, sf_dir, "part").where("p_partkey < 20")
+    p = load(spark, sf_dir, "part")
     entities = p.select(F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("entity_id"), F.lit("Note").alias("type"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("name"), F.lit(None).cast("string").alias("document_id"), F.lit("{}").alias("metadata"))
     s = load(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source_entity_id"), F.lit("e1").alias("target_entity_id"))
     row = lambda kind, origin: s.select("source_entity_id", "target_entity_id", F.lit(kind).alias("relation_type"), F.lit(1.0).cast("float").alias("confidence"), F.lit(origin).cast("string").alias("origin_document_id"))
@@ -83,10 +83,10 @@ def relations_sync(spark, sf_dir):
     return edges.unionByName(blank).unionByName(kept)
 
 
-@query("""WITH r AS (SELECT DISTINCT l_orderkey AS d, upper(l_shipmode) AS s, 'Part' || (l_partkey % 7) AS t FROM (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 'air' WHEN 1 THEN 'ship' ELSE 'ghost' END AS l_shipmode FROM lineitem) WHERE l_quantity >= 49)
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS d, upper(l_shipmode) AS s, 'Part' || (l_partkey % 7) AS t FROM (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 'air' WHEN 1 THEN 'ship' ELSE 'ghost' END AS l_shipmode FROM lineitem))
     SELECT DISTINCT 'e-' || lower(s) AS source_entity_id, 'e-' || lower(t) AS target_entity_id, 'USES' AS relation_type FROM r WHERE s <> 'GHOST' AND t <> 'Part6'""")
 def semantic_edges(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    li = load(spark, sf_dir, "lineitem")
     mode = F.when(F.col("l_linenumber") % 3 == 0, "AIR").when(F.col("l_linenumber") % 3 == 1, "SHIP").otherwise("GHOST")
     relations = li.select(F.col("l_orderkey").alias("document_id"), mode.alias("source"), F.concat(F.lit("Part"), (F.col("l_partkey") % 7).cast("string")).alias("target"), F.lit("USES").alias("type"))
     names = relations.select("document_id", F.col("source").alias("name")).unionByName(relations.select("document_id", F.col("target").alias("name"))).distinct().where("name NOT IN ('GHOST', 'Part6')")
