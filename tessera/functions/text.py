@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from .vocab import TUNING
 
+# Repeated groups are possessive: Java matches others by recursion, which a text of thousands of joined parts overflows.
 #: Patterns of search terms, rare tokens and references.
-TERM = r"[\p{L}\p{N}]+(?:[._'-][\p{L}\p{N}]+)*"
-NUMBER = r"\d+(?:[.,]\d+)*%?"
-NUMBER_TOKEN = r"\d+(?:[.,]\d+)?%?"
-IDENTIFIER_TOKEN = r"[A-Za-z][A-Za-z0-9]*(?:[-_./][A-Za-z0-9]+)+"
+TERM = r"[\p{L}\p{N}]++(?:[._'-][\p{L}\p{N}]++)*+"
+NUMBER_TOKEN = r"\d++(?:[.,]\d++)?+%?"
+IDENTIFIER_TOKEN = r"[A-Za-z][A-Za-z0-9]*+(?:[-_./][A-Za-z0-9]++)++"
 ANALYSIS_COMMIT = r"analysis-commit:\s*([0-9a-f]{6,40})"
 WIKILINK = r"\[\[([^\]|#]+)"
 PR_URL = r"(?i)https?://github\.com/[A-Za-z0-9_.-]+/([A-Za-z0-9_.-]+?)(?:\.git)?/pull/\d+"

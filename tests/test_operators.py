@@ -222,3 +222,31 @@ def test_components_of_random_graphs(spark):
         up[b] = a
     got = {r.node: r.comp for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
+
+
+def test_long_texts_of_joined_parts(spark):
+    from tessera.functions.text import rare_tokens, terms
+
+    text = "a" + "-b1" * 100_000 + " x.y_z " + "1,2" * 50_000
+    row = spark.createDataFrame([(text,)], "t string").select(terms(F.col("t")).alias("t"), rare_tokens(F.col("t")).alias("r")).first()
+    assert row.t[0] == "a" + "-b1" * 100_000 and row.t[1] == "x.y_z" and any(r.startswith("a-b1") for r in row.r)
+
+
+def test_nothing_is_cut_off(spark):
+    import pytest
+
+    assert len(search.parse_web_query(" ".join(f"a{i} OR b{i}" for i in range(7)))) == 128
+    with pytest.raises(ValueError):
+        search.parse_web_query(" ".join(f"a{i} OR b{i}" for i in range(20)))
+    edges = spark.createDataFrame([(f"k{i:03d}", t, "USES") for t in ("a", "b") for i in range(40)], "src string, dst string, type string")
+    known = spark.createDataFrame([(f"k{i:03d}", "Decision", "semantic", "n", None, None) for i in range(40)], "entity_id string, type string, kind string, name string, summary string, origin string")
+    got = graph.attached_knowledge(edges, known, spark.createDataFrame([("a",), ("b",)], "entity_id string"), cap=30)
+    assert {r.target: r["count"] for r in got.groupBy("target").count().collect()} == {"a": 30, "b": 30}
+
+
+def test_free_paths_differ(spark):
+    from tessera.operators import audit
+
+    notes = spark.createDataFrame([(i, "agents", t) for i, t in enumerate(["view", "view", "view 2", "View", "view", "other", "view 2", "view-4"])], "note_id int, folder string, title string")
+    got = {r.note_id: r.path for r in audit.free_paths(notes, spark.createDataFrame([("agents/other.md",), ("agents/other-2.md",), ("agents/view-5.md",)], "path string")).collect()}
+    assert got == {0: "agents/view.md", 1: "agents/view-3.md", 2: "agents/view-2.md", 3: "agents/view-6.md", 4: "agents/view-7.md", 5: "agents/other-3.md", 6: "agents/view-2-2.md", 7: "agents/view-4.md"}
