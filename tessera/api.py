@@ -106,8 +106,8 @@ class Knowledge:
 
     def link(self, links: DataFrame) -> Knowledge:
         """links (source, target, type, confidence) by names: resolved, then put in place of equal edges (SNK13)."""
-        kinds = [r[0] for r in links.select(F.upper("type")).distinct().limit(1000).collect()]
-        graph.safe_types(kinds)
+        bad = links.select(F.upper("type").alias("type")).where(~F.coalesce(F.col("type").rlike(f"^(?:{graph.SAFE_TYPE.pattern})$"), F.lit(False))).limit(1).collect()
+        graph.safe_types([str(r.type) for r in bad])
         names = links.select(F.col("source").alias("q")).unionByName(links.select(F.col("target").alias("q"))).distinct()
         ids = graph.resolve(self.entities, names).select("q", "entity_id")
         both = links.join(ids.select(F.col("q").alias("source"), F.col("entity_id").alias("src")), "source").join(ids.select(F.col("q").alias("target"), F.col("entity_id").alias("dst")), "target")

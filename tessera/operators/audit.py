@@ -32,16 +32,23 @@ def valid_notes(notes: DataFrame) -> DataFrame:
 
 
 def free_paths(notes: DataFrame, taken: DataFrame) -> DataFrame:
-    """Notes (note_id, folder, title) with a path of their own: slug.md, slug-2.md, ...; never one in taken (path).
+    """Notes (note_id, folder, title) with a path of their own: slug.md, or else slug-2.md, slug-3.md, ...: the first that is free.
 
-    Numbers go on after the largest one taken, so a batch needs no round trip for each note.
+    Not free is what is in taken (path), and the plain slug of another note of the batch: it goes to the
+    first note by id that has it. So all paths differ, and a batch needs no round trip for each note.
     """
     base = notes.withColumn("_stem", F.concat("folder", F.lit("/"), slug(F.col("title"))))
-    had = taken.select(F.regexp_replace("path", r"(?:-[0-9]+)?\.md$", "").alias("_stem"), F.coalesce(F.nullif(F.regexp_extract("path", r"-([0-9]+)\.md$", 1), F.lit("")).cast("int"), F.lit(1)).alias("n"))
-    whole = taken.select(F.regexp_replace("path", r"\.md$", "").alias("_stem"), F.lit(1).alias("n"))
-    last = had.unionByName(whole).groupBy("_stem").agg(F.max("n").alias("_last"))
-    turn = F.row_number().over(Window.partitionBy("_stem").orderBy("note_id")) + F.coalesce("_last", F.lit(0))
-    return base.join(last, "_stem", "left").withColumn("_t", turn).withColumn("path", F.concat("_stem", F.when(F.col("_t") > 1, F.concat(F.lit("-"), F.col("_t").cast("string"))).otherwise(""), F.lit(".md"))).drop("_stem", "_last", "_t")
+    had = taken.select(F.regexp_replace("path", r"\.md$", "").alias("_whole"))
+    numbered = had.unionByName(base.select(F.col("_stem").alias("_whole")))
+    cut = r"^(.*)-([1-9][0-9]{0,8})$"
+    numbered = numbered.select(F.regexp_extract("_whole", cut, 1).alias("_stem"), F.nullif(F.regexp_extract("_whole", cut, 2), F.lit("")).cast("int").alias("n")).where("n >= 2")
+    used = numbered.unionByName(had.select(F.col("_whole").alias("_stem"), F.lit(1).alias("n")))
+    used = used.join(base.select("_stem").distinct(), "_stem", "left_semi").groupBy("_stem").agg(F.sort_array(F.collect_set("n")).alias("_used"))
+    turn = F.row_number().over(Window.partitionBy("_stem").orderBy("note_id"))
+    # The i-th free number: a used one is passed if fewer than i free ones stand before it.
+    passed = "size(filter(transform(coalesce(_used, array()), (u, j) -> u - 1 - j), x -> x < _t))"
+    out = base.join(used, "_stem", "left").withColumn("_t", turn).withColumn("_t", F.expr(f"_t + {passed}"))
+    return out.withColumn("path", F.concat("_stem", F.when(F.col("_t") > 1, F.concat(F.lit("-"), F.col("_t").cast("string"))).otherwise(""), F.lit(".md"))).drop("_stem", "_used", "_t")
 
 
 def provenance_note(title: str, body: str, agent: str, kind: str, tags: list[str], created: str) -> str:

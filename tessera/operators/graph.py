@@ -22,6 +22,11 @@ def few(roots: DataFrame) -> DataFrame:
     return F.broadcast(roots)
 
 
+def listed(roots: DataFrame) -> DataFrame:
+    """Entities to be joined by their ids: sent to every task up to MOST_ROOTS, joined by a shuffle beyond."""
+    return F.broadcast(roots) if roots.limit(MOST_ROOTS + 1).count() <= MOST_ROOTS else roots
+
+
 def resolve(entities: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked (q) the entity that fits best: equal name, then a name that ends in -q, then one that has q.
 
@@ -56,7 +61,8 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 1, types: list
     frontier = seen
     for d in range(1, hops):
         step = frontier.join(both, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
-        frontier = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(d))
+        # Written: the next hops read it several times.
+        frontier = stage(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(d)), "frontier")
         seen = seen.unionByName(frontier)
     at = own.join(seen, (F.col("src") == F.col("node"))).select("root", "src", "dst", "type", "distance")
     to = own.join(seen, (F.col("dst") == F.col("node"))).select("root", "src", "dst", "type", "distance")
@@ -69,7 +75,7 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 1, types: list
 
 def publishes(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """For each root and topic it publishes to, the other nodes that subscribe to it, sorted."""
-    pubs = edges.where("type = 'PUBLISHES_TO'").join(few(roots.select(F.col("entity_id").alias("src"))), "src").select(F.col("src").alias("entity_id"), F.col("dst").alias("topic"))
+    pubs = edges.where("type = 'PUBLISHES_TO'").join(listed(roots.select(F.col("entity_id").alias("src"))), "src").select(F.col("src").alias("entity_id"), F.col("dst").alias("topic"))
     subs = edges.where("type = 'SUBSCRIBES_TO'").select(F.col("dst").alias("topic"), F.col("src").alias("consumer"))
     each = pubs.join(subs, "topic", "left").withColumn("consumer", F.when(F.col("consumer") != F.col("entity_id"), F.col("consumer")))
     grouped = each.groupBy("entity_id", "topic").agg(F.sort_array(F.collect_set("consumer")).alias("_c"))
@@ -79,18 +85,21 @@ def publishes(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def related(edges: DataFrame, roots: DataFrame, relation: str, inbound: bool = False) -> DataFrame:
     """For each root the distinct nodes at the other end of its edges of one type, sorted."""
     own, other = ("dst", "src") if inbound else ("src", "dst")
-    hit = edges.where(F.col("type") == relation).join(few(roots.select(F.col("entity_id").alias(own))), own)
+    hit = edges.where(F.col("type") == relation).join(listed(roots.select(F.col("entity_id").alias(own))), own)
     return hit.groupBy(F.col(own).alias("entity_id")).agg(F.array_join(F.sort_array(F.collect_set(other)), ",").alias("names"))
 
 
 def attached_knowledge(edges: DataFrame, entities: DataFrame, targets: DataFrame, cap: int | None = TUNING.knowledge_cap) -> DataFrame:
-    """Semantic constraints, decisions and problems next to the targets, in either direction; nearest ids first (K17: by id)."""
+    """Semantic constraints, decisions and problems next to the targets, in either direction; the first ``cap`` of each target by id."""
     use = edges.where(F.col("type").isin(*KNOWLEDGE_RELATIONS))
     both = use.select(F.col("src").alias("o"), F.col("dst").alias("target")).unionByName(use.select(F.col("dst").alias("o"), F.col("src").alias("target")))
     known = entities.where(F.col("type").isin(*KNOWLEDGE_TYPES) & (F.col("kind") == "semantic"))
-    hit = both.join(few(targets.select(F.col("entity_id").alias("target"))), "target").distinct().join(known, F.col("o") == F.col("entity_id"))
+    hit = both.join(listed(targets.select(F.col("entity_id").alias("target"))), "target").distinct().join(known, F.col("o") == F.col("entity_id"))
     out = hit.select("target", "entity_id", "type", "name", "summary", "origin")
-    return out.orderBy("target", "entity_id").limit(cap) if cap else out
+    if not cap:
+        return out
+    own = Window.partitionBy("target").orderBy("entity_id")
+    return out.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= cap).drop("_n")
 
 
 def project_nodes(entities: DataFrame, documents: DataFrame) -> DataFrame:

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ci, normalise_separators, rare_tokens, terms
+from ..functions.text import normalise_separators, rare_tokens, terms
 from ..functions.vectors import top_documents, top_similar
 from ..functions.vocab import TUNING
 
 MOST_QUERIES = 10_000
+#: Alternatives of one query in web syntax (products of its ORs): more are refused.
+MOST_ALTERNATIVES = 4096
 _TERM = re.compile(r"[^\W_]+(?:[._'-][^\W_]+)*")
 
 
@@ -37,8 +40,10 @@ def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Postings of the queries' terms: query_id, chunk_id, hit terms, hits, wanted terms. Only those terms are counted."""
     asked = queries.select("query_id", F.array_distinct(terms(F.col("q"))).alias("t")).where(F.size("t") > 0)
     asked = asked.select("query_id", F.size("t").alias("wanted"), F.explode("t").alias("term"))
-    posts = chunks.select("chunk_id", F.length("content").alias("len"), F.explode(terms(F.col("content"))).alias("term"))
-    posts = posts.join(checked(asked.select("term").distinct()), "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+    # Dealt by chunk once, before the terms meet the queries: the counts below need no further exchange, however many queries ask for a term.
+    posts = chunks.select("chunk_id", F.length("content").alias("len"), F.explode_outer(terms(F.col("content"))).alias("term"))
+    posts = posts.join(checked(asked.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
+    posts = posts.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
     return posts.join(F.broadcast(asked), "term").groupBy("query_id", "chunk_id", "len", "wanted").agg(F.count("*").alias("terms"), F.sum("tf").alias("hits"))
 
 
@@ -47,10 +52,11 @@ def text_channel(chunks: DataFrame, queries: DataFrame, k: int = TUNING.candidat
 
     Rank: more distinct terms, more hits, shorter, chunk_id.
     """
-    found = text_matches(chunks, queries)
+    # Chunks with all terms come first, so the first k of all matches tell whether there are any; tasks keep k rows for each query.
+    top = _ranked(text_matches(chunks, queries), k, F.desc("terms"), F.desc("hits"), "len")
     full = F.max((F.col("terms") == F.col("wanted")).cast("int")).over(Window.partitionBy("query_id"))
-    kept = found.withColumn("_full", full).where("_full = 0 OR terms = wanted")
-    return _ranked(kept, k, F.desc("terms"), F.desc("hits"), "len").select("query_id", "chunk_id", "rank", F.when(F.col("_full") == 1, "all").otherwise("any").alias("mode"))
+    kept = top.withColumn("_full", full).where("_full = 0 OR terms = wanted")
+    return kept.select("query_id", "chunk_id", "rank", F.when(F.col("_full") == 1, "all").otherwise("any").alias("mode"))
 
 
 def parse_web_query(q: str) -> list[dict]:
@@ -80,7 +86,9 @@ def parse_web_query(q: str) -> list[dict]:
         else:
             slots.append([item])
     out: list[dict] = []
-    for choice in itertools.islice(itertools.product(*slots), 64) if slots else []:
+    if math.prod(len(s) for s in slots) > MOST_ALTERNATIVES:
+        raise ValueError(f"a query with more than {MOST_ALTERNATIVES} alternatives")
+    for choice in itertools.product(*slots) if slots else []:
         one = {"must": [], "phrases": [], "without": []}
         for kind, found in choice:
             one["must"] += found if kind != "not" else []
@@ -124,19 +132,21 @@ def vector_channel(base: DataFrame, queries: DataFrame, k: int = TUNING.candidat
 def title_channel(chunks: DataFrame, documents: DataFrame, queries: DataFrame, k: int = TUNING.title_candidates) -> DataFrame:
     """H4: first chunks of documents whose title or path has the query (as it is, with dashes, or with separators made equal)."""
     first = chunks.where("chunk_index = 0").select("chunk_id", "document_id").join(documents.select("document_id", "path", "title"), "document_id")
-    q = queries.select("query_id", "q", F.replace("q", F.lit(" "), F.lit("-")).alias("dashed"), F.trim(normalise_separators(F.col("q"))).alias("loose"))
-    hit = contains_ci(F.col("title"), F.col("q")) | contains_ci(F.col("path"), F.col("dashed"))
-    loose = F.contains(normalise_separators(F.col("title")), F.col("loose")) | F.contains(normalise_separators(F.col("path")), F.col("loose"))
-    both = first.join(checked(q.where("q != ''")), hit | ((F.col("loose") != "") & loose))
+    # What is compared is made once for each side, not for each pair.
+    first = first.select("chunk_id", "title", F.lower("title").alias("lt"), F.lower("path").alias("lp"), normalise_separators(F.col("title")).alias("nt"), normalise_separators(F.col("path")).alias("np"))
+    q = queries.where("q != ''").select("query_id", F.lower("q").alias("low"), F.lower(F.replace("q", F.lit(" "), F.lit("-"))).alias("dashed"), F.trim(normalise_separators(F.col("q"))).alias("loose"))
+    hit = F.contains("lt", "low") | F.contains("lp", "dashed")
+    loose = F.contains("nt", "loose") | F.contains("np", "loose")
+    both = first.join(checked(q), hit | ((F.col("loose") != "") & loose))
     return _ranked(both, k, F.length("title")).select("query_id", "chunk_id", "rank")
 
 
 def exact_channel(chunks: DataFrame, documents: DataFrame, queries: DataFrame, k: int = TUNING.exact_candidates) -> DataFrame:
     """Chunks with a rare token of the query; those whose title or path names one come first."""
     q = queries.select("query_id", rare_tokens(F.col("q")).alias("rare")).where(F.size("rare") > 0)
-    tok = q.select("query_id", F.explode("rare").alias("tok"))
-    body = chunks.select("chunk_id", F.lower("content").alias("low")).join(checked(tok), F.contains("low", F.lower("tok"))).groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
-    names = documents.select("document_id", F.lower("title").alias("t"), F.lower("path").alias("p")).join(F.broadcast(tok), F.contains("t", F.lower("tok")) | F.contains("p", F.lower("tok")))
+    tok = q.select("query_id", F.explode(F.transform("rare", F.lower)).alias("tok"))
+    body = chunks.select("chunk_id", F.lower("content").alias("low")).join(checked(tok), F.contains("low", "tok")).groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
+    names = documents.select("document_id", F.lower("title").alias("t"), F.lower("path").alias("p")).join(F.broadcast(tok), F.contains("t", "tok") | F.contains("p", "tok"))
     names = names.select("query_id", "document_id").distinct().withColumn("named", F.lit(1))
     where = chunks.select("chunk_id", "document_id", "chunk_index", F.length("content").alias("len"))
     first = where.where("chunk_index = 0").join(names, "document_id").select("query_id", "chunk_id").withColumn("hits", F.lit(0).cast("long"))
@@ -179,7 +189,7 @@ def rank_documents(collapsed: DataFrame, factors: DataFrame, limit: int = 8) ->
 
 def attach_corrections(results: DataFrame, chunks: DataFrame, most: int = TUNING.correction_chars) -> DataFrame:
     """For superseded representatives the document's latest chunk that isn't, cut to 500 characters."""
-    latest = chunks.where(~F.coalesce("superseded", F.lit(False))).join(F.broadcast(results.where("superseded").select("document_id").distinct()), "document_id", "left_semi")
+    latest = chunks.where(~F.coalesce("superseded", F.lit(False))).join(results.where("superseded").select("document_id").distinct(), "document_id", "left_semi")
     latest = latest.groupBy("document_id").agg(F.max_by("content", "chunk_index").alias("_c"))
     cut = F.when(F.length("_c") > most, F.concat(F.substring("_c", 1, most), F.lit("…"))).otherwise(F.col("_c"))
     return results.join(latest, "document_id", "left").withColumn("correction", F.when(F.col("superseded"), cut)).drop("_c")
