@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -48,25 +49,45 @@ def safe_types(types: list[str]) -> list[str]:
     return types
 
 
+def numbered(roots: DataFrame) -> DataFrame:
+    """root, block, bit: the distinct roots in blocks of at most 64, numbered without one global order (hash buckets of some thousand, ordered inside)."""
+    own = roots.select(F.col("entity_id").alias("root")).where("root IS NOT NULL").distinct()
+    bucket = F.pmod(F.xxhash64("root"), F.lit(own.count() // 4096 + 1))
+    n = F.row_number().over(Window.partitionBy("bucket").orderBy("root")) - 1
+    return own.withColumn("bucket", bucket).withColumn("n", n).select("root", (F.col("bucket") * (1 << 26) + F.floor(F.col("n") / 64)).alias("block"), (F.col("n") % 64).alias("bit"))
+
+
 def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 1, types: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """Edges (root, src, dst, type, distance) with an endpoint within hops - 1 of a root, directions ignored.
 
-    Each round joins the frontier with the edges of both directions and drops nodes seen before, so no
-    path is walked twice; ``cap`` keeps the nearest edges in order (T10).
+    A search from many roots at once: 64 roots share a row of (node, block), one bit each, so a hop carries an
+    edge once for a block instead of once for a root, and bits are or-ed before they travel. Roots become rows
+    again at the end, without a further exchange. Each round drops the bits seen before, so no path is walked
+    twice; ``cap`` keeps the nearest edges in order (T10). Repeated edges and roots count once.
     """
     hops = min(max(int(hops), 1), TUNING.hops)
     own = edges.where(F.col("type").isin(*safe_types(types))) if types else edges
-    both = own.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(own.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    seen = roots.select(F.col("entity_id").alias("root"), F.col("entity_id").alias("node")).distinct().withColumn("distance", F.lit(0))
-    frontier = seen
-    for d in range(1, hops):
-        step = frontier.join(both, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
-        # Written: the next hops read it several times.
-        frontier = stage(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(d)), "frontier")
-        seen = seen.unionByName(frontier)
-    at = own.join(seen, (F.col("src") == F.col("node"))).select("root", "src", "dst", "type", "distance")
-    to = own.join(seen, (F.col("dst") == F.col("node"))).select("root", "src", "dst", "type", "distance")
-    out = at.unionByName(to).groupBy("root", "src", "dst", "type").agg(F.min("distance").alias("distance"))
+    # Written: every hop and both ends read them.
+    own = stage(own.select("src", "dst", "type").distinct(), "edges")
+    named = stage(numbered(roots), "roots")
+    both = own.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(own.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    frontier = named.select(F.col("root").alias("node"), "block", F.expr("shiftleft(1L, bit)").alias("m"))
+    levels = [frontier]
+    for _ in range(1, hops):
+        step = frontier.join(both, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node"), "block").agg(F.bit_or("m").alias("m"))
+        old = functools.reduce(DataFrame.unionByName, levels).groupBy("node", "block").agg(F.bit_or("m").alias("old"))
+        fresh = step.join(old, ["node", "block"], "left").select("node", "block", F.expr("m & ~coalesce(old, 0L)").alias("m"))
+        frontier = stage(fresh.where("m != 0"), "frontier")
+        levels.append(frontier)
+    names = [f"m{d}" for d in range(hops)]
+    apart = [level.select("node", "block", *(F.col("m").alias(n) if n == f"m{d}" else F.lit(0).cast("long").alias(n) for n in names)) for d, level in enumerate(levels)]
+    at = functools.reduce(DataFrame.unionByName, apart).groupBy("node", "block").agg(*(F.bit_or(n).alias(n) for n in names))
+    ends = own.join(at, F.col("src") == F.col("node")).unionByName(own.join(at, F.col("dst") == F.col("node"))).drop("node")
+    ends = ends.groupBy("src", "dst", "type", "block").agg(*(F.bit_or(n).alias(n) for n in names))
+    has = [F.expr(f"shiftrightunsigned({n}, bit) & 1L") == 1 for n in names]
+    distance = functools.reduce(lambda far, d: F.when(has[d], F.lit(d)).otherwise(far), reversed(range(hops)), F.lit(None).cast("int"))
+    hit = functools.reduce(lambda x, y: x | y, has)
+    out = ends.join(listed(named.withColumnRenamed("block", "_b")), (F.col("block") == F.col("_b")) & hit).select("root", "src", "dst", "type", distance.alias("distance"))
     if cap:
         order = Window.partitionBy("root").orderBy("distance", "src", "type", "dst")
         out = out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")

@@ -43,7 +43,7 @@ def _hop_sql(hops: int, types: str = "") -> str:
     steps = "".join(f", d{i} AS (SELECT * FROM d{i - 1} UNION SELECT root, both_.b FROM d{i - 1} JOIN both_ ON node = both_.a)" for i in range(1, hops))
     return f"""{catalog.ctes('vertices', 'edges')}, {ROOTS}, own AS (SELECT * FROM edges{where}),
         both_ AS (SELECT src AS a, dst AS b FROM own UNION SELECT dst, src FROM own), d0 AS (SELECT entity_id AS root, entity_id AS node FROM roots){steps},
-        near AS (SELECT DISTINCT root, src, dst, type FROM own JOIN d{hops - 1} ON src = node OR dst = node)
+        near AS (SELECT root, src, dst, type FROM own JOIN d{hops - 1} ON src = node UNION SELECT root, src, dst, type FROM own JOIN d{hops - 1} ON dst = node)
         SELECT root, type, count(*) AS n FROM near GROUP BY root, type"""
 
 

@@ -60,9 +60,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     belongs = s.select(key("s", "s_suppkey").alias("src"), key("n", "s_nationkey").alias("dst"), F.lit("BELONGS_TO").alias("type")).unionByName(
         n.select(key("n", "n_nationkey").alias("src"), key("r", "n_regionkey").alias("dst"), F.lit("BELONGS_TO").alias("type"))
     )
-    pubs = li.where("l_returnflag = 'R' AND l_quantity >= 45").select(key("s", "l_suppkey").alias("src"), key("p", "l_partkey").alias("dst"), F.lit("PUBLISHES_TO").alias("type")).distinct()
-    subs = li.where("l_returnflag = 'A' AND l_quantity >= 49").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    subs = subs.select(key("c", "o_custkey").alias("src"), key("p", "l_partkey").alias("dst"), F.lit("SUBSCRIBES_TO").alias("type")).distinct()
+    pubs = li.select(key("s", "l_suppkey").alias("src"), key("p", "l_partkey").alias("dst"), F.lit("PUBLISHES_TO").alias("type")).distinct()
+    subs = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(key("c", "o_custkey").alias("src"), key("p", "l_partkey").alias("dst"), F.lit("SUBSCRIBES_TO").alias("type")).distinct()
     calls = s.select(key("s", "s_suppkey").alias("src"), F.concat(F.lit("s"), (F.col("s_suppkey") % 50 + 1).cast("string")).alias("dst"), F.lit("CALLS_HTTP").alias("type")).where("src != dst")
     return belongs.unionByName(pubs).unionByName(subs).unionByName(calls)
 
@@ -82,8 +81,8 @@ CTE = {
         UNION ALL SELECT 'n' || n_nationkey, 'BoundedContext', n_name, n_nationkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'BoundedContext', r_name, r_regionkey FROM region)""",
     "edges": """edges AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst, 'BELONGS_TO' AS type FROM supplier
         UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'BELONGS_TO' FROM nation
-        UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'PUBLISHES_TO' FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45
-        UNION ALL SELECT DISTINCT 'c' || o_custkey, 'p' || l_partkey, 'SUBSCRIBES_TO' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A' AND l_quantity >= 49
+        UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'PUBLISHES_TO' FROM lineitem
+        UNION ALL SELECT DISTINCT 'c' || o_custkey, 'p' || l_partkey, 'SUBSCRIBES_TO' FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         UNION ALL SELECT 's' || s_suppkey, 's' || (s_suppkey % 50 + 1), 'CALLS_HTTP' FROM supplier WHERE s_suppkey <> s_suppkey % 50 + 1)""",
 }
 
