@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import datetime
 
 import numpy as np
@@ -206,7 +207,6 @@ def test_similar_notes_beside_a_long_document(spark):
 
 
 def test_components_of_random_graphs(spark):
-    import random
 
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400, 400 + i) for i in range(1, 90)] + [(1000 + i, 1001 + i) for i in range(120)] + [(7, 7), (2000, 2000)]
@@ -250,3 +250,23 @@ def test_free_paths_differ(spark):
     notes = spark.createDataFrame([(i, "agents", t) for i, t in enumerate(["view", "view", "view 2", "View", "view", "other", "view 2", "view-4"])], "note_id int, folder string, title string")
     got = {r.note_id: r.path for r in audit.free_paths(notes, spark.createDataFrame([("agents/other.md",), ("agents/other-2.md",), ("agents/view-5.md",)], "path string")).collect()}
     assert got == {0: "agents/view.md", 1: "agents/view-3.md", 2: "agents/view-2.md", 3: "agents/view-6.md", 4: "agents/view-7.md", 5: "agents/other-3.md", 6: "agents/view-2-2.md", 7: "agents/view-4.md"}
+
+
+def test_neighbourhood_of_many_roots(spark):
+    """Over 64 roots, hubs, loops, repeated edges and roots, against a search from each root alone."""
+    rng = random.Random(5)
+    rows = [(f"r{rng.randrange(150)}", f"t{rng.randrange(400)}", "USES") for _ in range(300)] + [("r1", "r1", "USES"), ("r2", "t1", "OWNS"), ("r2", "t1", "OWNS"), (None, "r3", "USES")]
+    rows += [(f"r{i}", "hub", "OWNS") for i in range(0, 150, 9)]
+    names = [f"r{i}" for i in range(150)] + ["r5", None, "alone"]
+    edges = spark.createDataFrame(rows, "src string, dst string, type string")
+    roots = spark.createDataFrame([(n,) for n in names], "entity_id string")
+    for hops in (1, 2, 3):
+        want = {}
+        for root in set(names) - {None}:
+            far, now = {root: 0}, [root]
+            for d in range(1, hops):
+                now = [n for n in {y for s, t, _ in rows for x, y in ((s, t), (t, s)) if x in now and y is not None} if n not in far]
+                far |= dict.fromkeys(now, d)
+            want |= {(root, s, t, k): min(far.get(s, 9), far.get(t, 9)) for s, t, k in rows if s in far or t in far}
+        got = graph.neighbourhood(edges, roots, hops).collect()
+        assert len(got) == len(want) and {(r.root, r.src, r.dst, r.type): r.distance for r in got} == want
