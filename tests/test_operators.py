@@ -207,7 +207,6 @@ def test_similar_notes_beside_a_long_document(spark):
 
 
 def test_components_of_random_graphs(spark):
-
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400, 400 + i) for i in range(1, 90)] + [(1000 + i, 1001 + i) for i in range(120)] + [(7, 7), (2000, 2000)]
     up = list(range(2100))
