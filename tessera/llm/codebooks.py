@@ -54,9 +54,12 @@ def usable(column: str) -> F.Column:
 
 def first_books(vectors: DataFrame, parts: int, entries: int, scale: int) -> list[np.ndarray]:
     """The parts of the usable vectors with the smallest (vec_id, vector), nulls last: ``entries`` rows come to the driver."""
-    first = vectors.where(usable("embedding")).orderBy(F.asc_nulls_last("vec_id"), "embedding").limit(entries).select("embedding").collect()
-    dims = len(first[0].embedding) if first else 0
-    rows = np.array([r.embedding for r in first if len(r.embedding) == dims], np.float64).reshape(-1, dims)
+    own = vectors.where(usable("embedding")).orderBy(F.asc_nulls_last("vec_id"), "embedding")
+    first = [r.embedding for r in own.limit(entries).select("embedding").collect()]
+    dims = len(first[0]) if first else 0
+    if any(len(v) != dims for v in first):
+        first = [r.embedding for r in own.where(F.size("embedding") == dims).limit(entries).select("embedding").collect()]
+    rows = np.array(first, np.float64).reshape(len(first), dims)
     cut = bounds(dims, parts)
     whole = quantised(rows, scale, parts)
     return [whole[:, a:b].copy() for a, b in zip(cut[:-1], cut[1:])]

@@ -71,6 +71,12 @@ def op11_integer_codebooks(spark, sf_dir):
     return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_noisy_channel(spark, sf_dir):
+    from .toxicity import toxicities
+
+    return toxicities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_spelling_groups(spark, sf_dir):
     from .spelling import spelling_variants
 
@@ -96,7 +102,7 @@ def _codebook_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
         SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM o JOIN v USING (vec_id), s"""
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_language_codes, op3_warc_split, op4_template_leaks, op5_attention_quality, op6_exact_dedup, op7_count_vector_join, op8_suffix_repeats, op9_token_records, op10_best_fit, op11_integer_codebooks, op13_spelling_groups)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_language_codes, op3_warc_split, op4_template_leaks, op5_attention_quality, op6_exact_dedup, op7_count_vector_join, op8_suffix_repeats, op9_token_records, op10_best_fit, op11_integer_codebooks, op12_noisy_channel, op13_spelling_groups)}
 
 ORACLE_SQL = {
     "op7_count_vector_join": r"""
