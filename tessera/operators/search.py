@@ -1,27 +1,28 @@
 """Hybrid search over chunks: four channels, rank fusion, one result for each document.
 
-A batch of queries is a DataFrame (query_id, q) of bounded size: MOST_QUERIES, which is checked. Chunks are
-(chunk_id, document_id, chunk_index, content[, superseded]); documents (document_id, path, title, ...).
+A batch of queries is a DataFrame (query_id, q) of bounded size: MOST_QUERIES, which is checked. The lexical channels
+read a SearchIndex, so no search scans texts. Chunks are (chunk_id, document_id, chunk_index, content[, superseded]); documents (document_id, path, title, ...).
 """
 
 from __future__ import annotations
 
-import functools
-import itertools
-import math
 import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise_separators, rare_tokens, terms
+from ..functions.english import positioned, with_lexemes
+from ..functions.text import normalise_separators, rare_tokens
 from ..functions.vectors import top_documents, top_similar
 from ..functions.vocab import TUNING
+from ..sources.io import stage
+from .contain import contained
+from .postings import SearchIndex, read_index
 
 MOST_QUERIES = 10_000
-#: Alternatives of one query in web syntax (products of its ORs): more are refused.
-MOST_ALTERNATIVES = 4096
-_TERM = re.compile(r"[^\W_]+(?:[._'-][^\W_]+)*")
+#: Rows (query, word) that are sent to every task at most; more are joined by a shuffle.
+MOST_TERMS = 200_000
+_TERM = re.compile(r"[^\W_]")
 
 
 def checked(queries: DataFrame) -> DataFrame:
@@ -36,122 +37,120 @@ def _ranked(df: DataFrame, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
-def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Postings of the queries' terms: query_id, chunk_id, hit terms, hits, wanted terms. Only those terms are counted."""
-    asked = queries.select("query_id", F.array_distinct(terms(F.col("q"))).alias("t")).where(F.size("t") > 0)
-    asked = asked.select("query_id", F.size("t").alias("wanted"), F.explode("t").alias("term"))
-    # Dealt by chunk once, before the terms meet the queries: the counts below need no further exchange, however many queries ask for a term.
-    posts = chunks.select("chunk_id", F.length("content").alias("len"), F.explode_outer(terms(F.col("content"))).alias("term"))
-    posts = posts.join(checked(asked.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
-    posts = posts.groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    return posts.join(F.broadcast(asked), "term").groupBy("query_id", "chunk_id", "len", "wanted").agg(F.count("*").alias("terms"), F.sum("tf").alias("hits"))
+def parse_web_query(q: str) -> list[dict]:
+    """Alternatives of a query in web syntax, each with must and without (lists of words, and of quoted word sequences).
+
+    Words must all occur; "quoted words" in that order; -word not at all. OR splits the query, it binds less than
+    the words around it. Alternatives with nothing but exclusions are left out.
+    """
+    out = [{"must": [], "without": []}]
+    for minus_quoted, quoted, minus, word in re.findall(r'(-?)"([^"]*)"|(-?)(\S+)', q):
+        if word.upper() == "OR" and not minus:
+            out.append({"must": [], "without": []})
+        elif _TERM.search(quoted or word):
+            out[-1]["without" if minus_quoted or minus else "must"].append((quoted or word).lower())
+    return [a for a in out if a["must"]]
 
 
-def text_channel(chunks: DataFrame, queries: DataFrame, k: int = TUNING.candidates) -> DataFrame:
-    """Chunks with all terms; for queries without any such chunk, chunks with some term.
+def _items(queries: DataFrame) -> DataFrame:
+    """query_id, alternatives: each must and without, arrays of items; an item is an array of (off, lexeme), its words without the stop words.
 
-    Rank: more distinct terms, more hits, shorter, chunk_id.
+    Queries are parsed on the driver, MOST_QUERIES at most.
     """
-    # Chunks with all terms come first, so the first k of all matches tell whether there are any; tasks keep k rows for each query.
-    top = _ranked(text_matches(chunks, queries), k, F.desc("terms"), F.desc("hits"), "len")
-    full = F.max((F.col("terms") == F.col("wanted")).cast("int")).over(Window.partitionBy("query_id"))
-    kept = top.withColumn("_full", full).where("_full = 0 OR terms = wanted")
-    return kept.select("query_id", "chunk_id", "rank", F.when(F.col("_full") == 1, "all").otherwise("any").alias("mode"))
+    spark = queries.sparkSession
+    rows = [(r.query_id, n, kind, i, words) for r in queries.select("query_id", "q").collect() for n, a in enumerate(parse_web_query(r.q or "")) for kind in ("must", "without") for i, words in enumerate(a[kind])]
+    said = spark.createDataFrame(rows, "query_id long, alt int, kind string, item int, words string")
+    each = said.select("query_id", "alt", "kind", "item", F.posexplode(positioned(F.col("words"))).alias("off", "term"))
+    each = with_lexemes(each)
+    items = each.groupBy("query_id", "alt", "kind", "item").agg(F.sort_array(F.collect_list(F.struct("off", "lexeme"))).alias("words"))
+    of = lambda kind: F.filter(F.collect_list(F.when(F.col("kind") == kind, F.col("words"))), lambda w: w.isNotNull()).alias(kind)
+    alternatives = items.groupBy("query_id", "alt").agg(of("must"), of("without")).where(F.size("must") > 0)
+    return alternatives.groupBy("query_id").agg(F.collect_list(F.struct("must", "without")).alias("alternatives"))
 
 
-def parse_web_query(q: str) -> list[dict]:
-    """Alternatives of a query in web syntax, each with must, phrases and without (lists of terms).
+def _matches(at, item):
+    """The words of an item stand at their places behind one another somewhere; ``at`` maps lexemes to positions."""
+    first = F.get(item, F.lit(0))
+    starts = F.coalesce(F.try_element_at(at, first["lexeme"]), F.array().cast("array<int>"))
+    follows = lambda s: F.forall(item, lambda w: F.coalesce(F.array_contains(F.try_element_at(at, w["lexeme"]), s - first["off"] + w["off"]), F.lit(False)))
+    return F.exists(starts, follows)
 
-    Words must all occur; "quoted words" in that order; -word not at all; OR between words starts another
-    alternative for its two neighbours. A query with nothing but exclusions has no alternative.
-    """
-    tokens = re.findall(r'(-?)"([^"]*)"|(-?)(\S+)', q)
-    items: list[tuple] = []
-    for minus_quoted, quoted, minus, word in tokens:
-        if word.upper() == "OR" and not minus:
-            items.append(("or", None))
-            continue
-        found = [t.lower() for t in _TERM.findall((quoted or word).lower())]
-        if found:
-            kind = "not" if (minus_quoted or minus) else "phrase" if quoted and len(found) > 1 else "must"
-            items.append((kind, found))
-    slots: list[list[tuple]] = []  # each slot holds the choices between OR
-    joined = False
-    for item in items:
-        if item[0] == "or":
-            joined = bool(slots)
-        elif joined:
-            slots[-1].append(item)
-            joined = False
-        else:
-            slots.append([item])
-    out: list[dict] = []
-    if math.prod(len(s) for s in slots) > MOST_ALTERNATIVES:
-        raise ValueError(f"a query with more than {MOST_ALTERNATIVES} alternatives")
-    for choice in itertools.product(*slots) if slots else []:
-        one = {"must": [], "phrases": [], "without": []}
-        for kind, found in choice:
-            one["must"] += found if kind != "not" else []
-            one["phrases"] += [" ".join(found)] if kind == "phrase" else []
-            one["without"] += found if kind == "not" else []
-        if one["must"]:
-            out.append({k: list(dict.fromkeys(v)) for k, v in one.items()})
-    return out
-
-
-def web_text_channel(chunks: DataFrame, queries: DataFrame, k: int = TUNING.candidates) -> DataFrame:
-    """H3 with web syntax: like text_channel, for queries with quotes, OR and minus; no fallback.
-
-    Queries are parsed on the driver, MOST_QUERIES at most. Candidates come from the postings of the words
-    that must occur; order and exclusions are tested on those only.
+
+def _near_rank(found):
+    """Rank of texts that have all of several words: 1 - product of (1 - weight), by the distances of all pairs of occurrences."""
+    pairs = F.flatten(F.transform(found, lambda a, i: F.flatten(F.transform(F.slice(found, i + 2, F.size(found)), lambda b: F.flatten(F.transform(a["positions"], lambda x: F.transform(b["positions"], lambda y: F.abs(x - y))))))))
+    weight = lambda d: F.when((d > 0) & (d <= 100), F.log(1 - 0.1 * F.sqrt(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))))).otherwise(F.lit(0.0))
+    return 1 - F.exp(F.aggregate(pairs, F.lit(0.0), lambda total, d: total + weight(d)))
+
+
+def _any_rank(found, asked):
+    """Rank of texts that have some of the words: the sum of 1 / j^2 over a word's occurrences, over the words asked for."""
+    one = lambda f: F.aggregate(F.sequence(F.lit(1), F.size(f["positions"])), F.lit(0.0), lambda total, j: total + 1.0 / (j * j))
+    return F.aggregate(found, F.lit(0.0), lambda total, f: total + one(f)) * 0.1 / 1.64493406685 / asked
+
+
+def text_channel(index: SearchIndex, queries: DataFrame, k: int = TUNING.candidates) -> DataFrame:
+    """Chunks that fit a query in web syntax; for queries without any such chunk, chunks with some of the words.
+
+    Words are stemmed and stop words left out. Rank: by nearness where several words must all occur, else by
+    occurrences (rounded to 7 places); then shorter, then chunk_id. Only the postings of the asked words are read.
     """
     checked(queries)
-    rows = [(r.query_id, n, a["must"], a["phrases"], a["without"]) for r in queries.collect() for n, a in enumerate(parse_web_query(r.q or ""))]
-    spark = chunks.sparkSession
-    asked = spark.createDataFrame(rows, "query_id long, alt int, must array<string>, phrases array<string>, without array<string>")
-    keyed = asked.withColumn("key", F.concat_ws("/", "query_id", "alt"))
-    need = keyed.select("key", F.size("must").alias("wanted"), F.explode("must").alias("term"))
-    posts = chunks.select("chunk_id", F.explode(terms(F.col("content"))).alias("term")).join(F.broadcast(need.select("term").distinct()), "term", "left_semi")
-    posts = posts.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    hits = posts.join(F.broadcast(need), "term").groupBy("key", "chunk_id", "wanted").agg(F.count("*").alias("n"), F.sum("tf").alias("hits")).where("n = wanted")
-    text = chunks.select("chunk_id", F.length("content").alias("len"), terms(F.col("content")).alias("t"))
-    rest = hits.join(F.broadcast(keyed.select("key", "query_id", "phrases", "without")), "key").join(text, "chunk_id")
-    line = F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" "))
-    fine = F.forall("phrases", lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" ")))) & ~F.arrays_overlap("t", "without")
-    best = rest.where(fine).groupBy("query_id", "chunk_id", "len").agg(F.max("hits").alias("hits"))
-    return _ranked(best, k, F.desc("hits"), "len").select("query_id", "chunk_id", "rank")
+    asked = queries.select("query_id", F.explode(F.array_distinct(positioned(F.col("q")))).alias("term"))
+    asked = stage(with_lexemes(asked).select("query_id", "lexeme").distinct(), "asked")
+    posts = read_index(asked.sparkSession, index.terms, asked)
+    # Sent to all tasks up to MOST_TERMS rows; beyond that both sides are dealt by lexeme.
+    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    hit = posts.join(F.broadcast(asked) if few else asked, "lexeme")
+    own = hit.groupBy("query_id", "chunk_id", "len").agg(F.sort_array(F.collect_list(F.struct("lexeme", "positions"))).alias("found"))
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
+    # One row for each of at most MOST_QUERIES queries.
+    own = own.join(F.broadcast(sizes.join(_items(queries), "query_id", "left")), "query_id")
+    at = F.map_from_entries(F.col("found"))
+    fits = F.exists("alternatives", lambda a: F.forall(a["must"], lambda i: _matches(at, i)) & ~F.exists(a["without"], lambda i: _matches(at, i)))
+    own = own.withColumn("full", F.coalesce(fits, F.lit(False)))
+    near = F.col("full") & (F.size("alternatives") == 1) & (F.col("asked") > 1)
+    own = own.withColumn("weight", F.round(F.when(near, _near_rank(F.col("found"))).otherwise(_any_rank(F.col("found"), F.col("asked"))), 7))
+    # Chunks that fit come first, so the first k of all tell whether there are any; tasks keep k rows for each query.
+    top = _ranked(own, k, F.desc("full"), F.desc("weight"), "len")
+    any_full = F.max("full").over(Window.partitionBy("query_id"))
+    kept = top.withColumn("_full", any_full).where("NOT _full OR full")
+    return kept.select("query_id", "chunk_id", "rank", F.when(F.col("_full"), "all").otherwise("any").alias("mode"))
 
 
 def vector_channel(base: DataFrame, queries: DataFrame, k: int = TUNING.candidates) -> DataFrame:
-    """H2: nearest chunks by cosine; base (chunk_id, vec), queries (query_id, vec). Queries go in blocks of MOST_QUERIES, all of them."""
-    vecs = [(r.query_id, list(r.vec)) for r in queries.where("vec IS NOT NULL").toLocalIterator()]
-    parts = [top_similar(base, vecs[i : i + MOST_QUERIES], k, "chunk_id") for i in range(0, max(len(vecs), 1), MOST_QUERIES)]
-    return functools.reduce(DataFrame.unionByName, parts).select("query_id", F.col("id").alias("chunk_id"), "rank", "sim")
+    """H2: nearest chunks by cosine; base (chunk_id, vec), queries (query_id, vec): MOST_QUERIES at most, as they come to the driver."""
+    checked(queries)
+    vecs = [(r.query_id, list(r.vec)) for r in queries.where("vec IS NOT NULL").collect()]
+    return top_similar(base, vecs, k, "chunk_id").select("query_id", F.col("id").alias("chunk_id"), "rank", "sim")
 
 
-def title_channel(chunks: DataFrame, documents: DataFrame, queries: DataFrame, k: int = TUNING.title_candidates) -> DataFrame:
+def title_channel(index: SearchIndex, chunks: DataFrame, documents: DataFrame, queries: DataFrame, k: int = TUNING.title_candidates) -> DataFrame:
     """H4: first chunks of documents whose title or path has the query (as it is, with dashes, or with separators made equal)."""
-    first = chunks.where("chunk_index = 0").select("chunk_id", "document_id").join(documents.select("document_id", "path", "title"), "document_id")
-    # What is compared is made once for each side, not for each pair.
-    first = first.select("chunk_id", "title", F.lower("title").alias("lt"), F.lower("path").alias("lp"), normalise_separators(F.col("title")).alias("nt"), normalise_separators(F.col("path")).alias("np"))
-    q = queries.where("q != ''").select("query_id", F.lower("q").alias("low"), F.lower(F.replace("q", F.lit(" "), F.lit("-"))).alias("dashed"), F.trim(normalise_separators(F.col("q"))).alias("loose"))
-    hit = F.contains("lt", "low") | F.contains("lp", "dashed")
-    loose = F.contains("nt", "loose") | F.contains("np", "loose")
-    both = first.join(checked(q), hit | ((F.col("loose") != "") & loose))
-    return _ranked(both, k, F.length("title")).select("query_id", "chunk_id", "rank")
+    loose = F.trim(normalise_separators(F.col("q")))
+    forms = {"title": F.lower("q"), "path": F.lower(F.replace("q", F.lit(" "), F.lit("-"))), "loose_title": loose, "loose_path": loose}
+    q = checked(queries.where("q != ''")).select("query_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), n.alias("needle")) for f, n in forms.items()])).alias("n")).select("query_id", "n.*").where("needle != ''")
+    hit = contained(index.grams, q).join(q, ["field", "needle"]).join(index.names, ["field", "text"])
+    named = hit.select("query_id", "document_id").distinct().join(documents.select("document_id", "title"), "document_id")
+    first = chunks.where("chunk_index = 0").select("chunk_id", "document_id")
+    return _ranked(named.join(first, "document_id"), k, F.length("title")).select("query_id", "chunk_id", "rank")
 
 
-def exact_channel(chunks: DataFrame, documents: DataFrame, queries: DataFrame, k: int = TUNING.exact_candidates) -> DataFrame:
+def exact_channel(index: SearchIndex, chunks: DataFrame, queries: DataFrame, k: int = TUNING.exact_candidates) -> DataFrame:
     """Chunks with a rare token of the query; those whose title or path names one come first."""
-    q = queries.select("query_id", rare_tokens(F.col("q")).alias("rare")).where(F.size("rare") > 0)
-    tok = q.select("query_id", F.explode(F.transform("rare", F.lower)).alias("tok"))
-    body = chunks.select("chunk_id", F.lower("content").alias("low")).join(checked(tok), F.contains("low", "tok")).groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
-    names = documents.select("document_id", F.lower("title").alias("t"), F.lower("path").alias("p")).join(F.broadcast(tok), F.contains("t", "tok") | F.contains("p", "tok"))
-    names = names.select("query_id", "document_id").distinct().withColumn("named", F.lit(1))
+    q = checked(queries).select("query_id", rare_tokens(F.col("q")).alias("rare")).where(F.size("rare") > 0)
+    tok = q.select("query_id", F.explode(F.array_distinct(F.transform("rare", F.lower))).alias("needle"))
+    needles = F.explode(F.array(*[F.lit(f) for f in ("run", "title", "path")])).alias("field")
+    hit = stage(contained(index.grams, tok.select("needle", needles)), "held")
+    in_run = hit.where("field = 'run'").select(F.col("text").alias("run"), "needle")
+    # A token counts once for a chunk, however many of its runs hold it.
+    body = index.runs.join(in_run, "run").select("chunk_id", "needle").distinct().join(F.broadcast(tok), "needle").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
+    named = hit.where("field != 'run'").join(index.names, ["field", "text"]).select("document_id", "needle").distinct().join(F.broadcast(tok), "needle")
+    named = named.select("query_id", "document_id").distinct().withColumn("named", F.lit(1))
     where = chunks.select("chunk_id", "document_id", "chunk_index", F.length("content").alias("len"))
-    first = where.where("chunk_index = 0").join(names, "document_id").select("query_id", "chunk_id").withColumn("hits", F.lit(0).cast("long"))
+    first = where.where("chunk_index = 0").join(named, "document_id").select("query_id", "chunk_id").withColumn("hits", F.lit(0).cast("long"))
     all_hits = body.unionByName(first).groupBy("query_id", "chunk_id").agg(F.max("hits").alias("hits"))
-    ranked = all_hits.join(where, "chunk_id").join(names, ["query_id", "document_id"], "left").withColumn("named", F.coalesce("named", F.lit(0)))
+    ranked = all_hits.join(where, "chunk_id").join(named, ["query_id", "document_id"], "left").withColumn("named", F.coalesce("named", F.lit(0)))
     return _ranked(ranked, k, F.desc("named"), F.desc("hits"), "len").select("query_id", "chunk_id", "rank", "named", "hits")
 
 

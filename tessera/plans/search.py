@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.english import lexemes_sql
 from ..functions.text import authority, rare_tokens
 from ..functions.vocab import TUNING
 from ..operators import search
@@ -12,7 +13,6 @@ from ..sources.io import load
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-TERM = r"[\p{L}\p{N}]+(?:[._''-][\p{L}\p{N}]+)*"
 
 
 def query(sql: str | None = None):
@@ -25,25 +25,45 @@ def query(sql: str | None = None):
     return add
 
 
+_MORE = [(100001, "licence CC BY-NC-SA 4.0 today"), (100002, "src3 7"), (100003, '"released under the mit license" -clown'), (100004, "idiot clown OR scum -trash")]
+
+
 def _queries(spark, sf_dir):
-    """The first four words of every benchmark item, and two literals."""
+    """The first four words of every benchmark item, and four literals, two of them in web syntax."""
     words = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
     own = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("q"))
-    more = spark.createDataFrame([(100001, "licence CC BY-NC-SA 4.0 today"), (100002, "src3 7")], "query_id long, q string")
+    more = spark.createDataFrame(_MORE, "query_id long, q string")
     return own.unionByName(more)
 
 
-Q = """queries AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS q FROM benchmark
-    UNION ALL SELECT 100001, 'licence CC BY-NC-SA 4.0 today' UNION ALL SELECT 100002, 'src3 7')"""
+Q = f"""queries AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS q FROM benchmark
+    UNION ALL SELECT * FROM (VALUES {', '.join(map(str, _MORE))}))"""
 VECTOR = f"""vector AS (SELECT query_id, chunk_id, sim, rank FROM (SELECT a.item_id AS query_id, e.vec_id * 100000 AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS sim,
     row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
     FROM benchmark a JOIN embeddings q ON q.vec_id = a.item_id JOIN embeddings e ON e.vec_id IN (SELECT doc_id FROM documents)) WHERE rank <= {TUNING.candidates})"""
-TEXT = rf"""terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(q), '{TERM}')) AS term FROM queries), wanted AS (SELECT query_id, count(*) AS wanted FROM terms GROUP BY query_id),
-    posts AS (SELECT chunk_id, len, term, count(*) AS tf FROM (SELECT chunk_id, length(content) AS len, unnest(regexp_extract_all(lower(content), '{TERM}')) AS term FROM chunks) GROUP BY ALL),
-    found AS (SELECT query_id, chunk_id, len, count(*) AS terms, sum(tf) AS hits FROM posts JOIN terms USING (term) GROUP BY query_id, chunk_id, len),
-    best AS (SELECT *, max(CASE WHEN terms = wanted THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS whole FROM found JOIN wanted USING (query_id)),
-    text_ AS (SELECT query_id, chunk_id, rank, CASE whole WHEN 1 THEN 'all' ELSE 'any' END AS mode FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY terms DESC, hits DESC, len, chunk_id) AS rank
-        FROM best WHERE whole = 0 OR terms = wanted) WHERE rank <= {TUNING.candidates})"""
+ENGLISH = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
+_POSITIONED = f"flatten(list_transform(regexp_extract_all(lower(@), '{ENGLISH}'), lambda t: CASE WHEN contains(t, '-') THEN list_prepend(t, string_split(t, '-')) ELSE [t] END))"
+#: What the web syntax of two of the queries means; in the others every word is a part of its own.
+_PARTS = [(100003, 0, False, 0, "released under the mit license"), (100003, 0, True, 0, "clown"), (100004, 0, False, 0, "idiot"), (100004, 0, False, 1, "clown"), (100004, 1, False, 0, "scum"), (100004, 1, True, 0, "trash")]
+TEXT = f"""spoken AS (SELECT chunk_id, len, unnest(p) AS term, unnest(range(len(p))) AS pos FROM (SELECT chunk_id, length(content) AS len, {_POSITIONED.replace("@", "content")} AS p FROM chunks)),
+    parts AS (SELECT query_id, 0 AS alt, false AS neg, unnest(range(len(w))) AS item, unnest(w) AS words FROM (SELECT query_id, string_split_regex(q, '\\s+') AS w FROM queries WHERE query_id NOT IN (100003, 100004))
+        UNION ALL SELECT * FROM (VALUES {', '.join(map(str, _PARTS))})),
+    part_terms AS (SELECT query_id, alt, neg, item, unnest(p) AS term, unnest(range(len(p))) AS pos FROM (SELECT *, {_POSITIONED.replace("@", "words")} AS p FROM parts)),
+    known AS (SELECT DISTINCT term FROM part_terms UNION SELECT DISTINCT term FROM spoken), stems AS MATERIALIZED ({lexemes_sql("known", "term")}),
+    part_words AS (SELECT query_id, alt, neg, item, pos AS off, lexeme FROM part_terms JOIN stems USING (term) WHERE lexeme IS NOT NULL),
+    asked_words AS (SELECT query_id, lexeme, count(*) OVER (PARTITION BY query_id) AS asked FROM (SELECT DISTINCT query_id, lexeme FROM part_words)),
+    hits AS MATERIALIZED (SELECT query_id, asked, chunk_id, len, lexeme, pos FROM spoken JOIN stems USING (term) JOIN asked_words USING (lexeme)),
+    part_hits AS (SELECT DISTINCT query_id, alt, neg, item, chunk_id FROM part_words JOIN hits USING (query_id, lexeme) JOIN (SELECT query_id, alt, neg, item, count(*) AS n FROM part_words GROUP BY ALL) USING (query_id, alt, neg, item)
+        GROUP BY query_id, alt, neg, item, chunk_id, pos - off, n HAVING count(DISTINCT off) = n),
+    alts AS (SELECT query_id, alt, count(DISTINCT item) AS must FROM part_words WHERE NOT neg GROUP BY ALL),
+    fits AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, alt, chunk_id, count(*) FILTER (NOT neg) AS n, count(*) FILTER (neg) AS out FROM part_hits GROUP BY ALL) JOIN alts USING (query_id, alt) WHERE n = must AND out = 0),
+    near_ AS (SELECT a.query_id, a.chunk_id, 1 - exp(sum(ln(1 - 0.1::DOUBLE * sqrt(1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(a.pos - b.pos) / 1.5::DOUBLE - 2)))))) AS w FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND a.lexeme < b.lexeme
+        AND abs(a.pos - b.pos) BETWEEN 1 AND 100 GROUP BY a.query_id, a.chunk_id),
+    any_ AS (SELECT query_id, chunk_id, len, asked, sum(list_sum(list_transform(range(1, tf + 1), lambda j: 1.0::DOUBLE / (j * j)))) * 0.1::DOUBLE / 1.64493406685::DOUBLE / asked AS w
+        FROM (SELECT query_id, asked, chunk_id, len, lexeme, count(*) AS tf FROM hits GROUP BY ALL) GROUP BY query_id, chunk_id, len, asked),
+    weighed AS (SELECT *, max(whole::INT) OVER (PARTITION BY query_id) AS has_fit FROM (SELECT query_id, chunk_id, len, f.chunk_id IS NOT NULL AS whole,
+        round(CASE WHEN f.chunk_id IS NOT NULL AND asked > 1 AND (SELECT count(*) FROM alts WHERE alts.query_id = any_.query_id) = 1 THEN coalesce(near_.w, 0) ELSE any_.w END, 7) AS w FROM any_ LEFT JOIN fits f USING (query_id, chunk_id) LEFT JOIN near_ USING (query_id, chunk_id))),
+    text_ AS (SELECT query_id, chunk_id, rank, CASE has_fit WHEN 1 THEN 'all' ELSE 'any' END AS mode FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, len, chunk_id) AS rank FROM weighed WHERE has_fit = 0 OR whole) WHERE rank <= {TUNING.candidates})"""
 LOOSE = r"regexp_replace(lower({}), '[-_./\s]+', ' ', 'g')"
 TITLE = f"""title_ AS (SELECT query_id, chunk_id, rank FROM (SELECT query_id, document_id * 100000 AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY length(title), document_id) AS rank
     FROM docs JOIN queries ON q <> '' AND (contains(lower(title), lower(q)) OR contains(lower(path), lower(replace(q, ' ', '-'))) OR (trim({LOOSE.format('q')}) <> '' AND
@@ -56,9 +76,9 @@ EXACT = f"""{RARE}, tok AS (SELECT query_id, unnest(toks) AS tok FROM rare), bod
     exact_ AS (SELECT query_id, chunk_id, rank, named, hits FROM (SELECT h.*, CASE WHEN n.document_id IS NULL THEN 0 ELSE 1 END AS named,
         row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n.document_id IS NULL THEN 0 ELSE 1 END DESC, hits DESC, length(content), chunk_id) AS rank
         FROM hit h JOIN chunks USING (chunk_id) LEFT JOIN named n USING (query_id, document_id)) WHERE rank <= {TUNING.exact_candidates})"""
-FUSED = f"""parts AS (SELECT query_id, chunk_id, 'vector' AS channel, 1.0::DOUBLE / ({TUNING.rrf_k} + rank) AS part, sim FROM vector UNION ALL SELECT query_id, chunk_id, 'text', 1.0::DOUBLE / ({TUNING.rrf_k} + rank), NULL FROM text_
+FUSED = f"""fused_parts AS (SELECT query_id, chunk_id, 'vector' AS channel, 1.0::DOUBLE / ({TUNING.rrf_k} + rank) AS part, sim FROM vector UNION ALL SELECT query_id, chunk_id, 'text', 1.0::DOUBLE / ({TUNING.rrf_k} + rank), NULL FROM text_
     UNION ALL SELECT query_id, chunk_id, 'title', 3.0::DOUBLE / ({TUNING.rrf_k} + rank), NULL FROM title_ UNION ALL SELECT query_id, chunk_id, 'exact', 3.0::DOUBLE / ({TUNING.rrf_k} + rank), NULL FROM exact_),
-    fused AS (SELECT query_id, chunk_id, round(sum(part), 7) AS score, string_agg(DISTINCT channel, ',' ORDER BY channel) AS matched_by, max(sim) AS similarity FROM parts GROUP BY query_id, chunk_id)"""
+    fused AS (SELECT query_id, chunk_id, round(sum(part), 7) AS score, string_agg(DISTINCT channel, ',' ORDER BY channel) AS matched_by, max(sim) AS similarity FROM fused_parts GROUP BY query_id, chunk_id)"""
 GONE = "flagged AS (SELECT *, chunk_index = 0 AND document_id % 7 = 0 AS superseded FROM chunks)"
 COLLAPSED = f"""{GONE}, collapsed AS (SELECT query_id, document_id, chunk_id, best, chunks_matched, superseded, matched_by, similarity FROM (SELECT f.*, document_id, superseded, max(score) OVER d AS best, count(*) OVER d AS chunks_matched,
     row_number() OVER (PARTITION BY query_id, document_id ORDER BY superseded, score DESC, chunk_id) AS n FROM fused f JOIN flagged USING (chunk_id) WINDOW d AS (PARTITION BY query_id, document_id)) WHERE n = 1)"""
@@ -84,17 +104,17 @@ def search_vector_topk(spark, sf_dir):
 
 @query(f"{catalog.ctes('docs', 'chunks')}, {Q}, {TEXT} SELECT query_id, chunk_id, rank FROM text_ WHERE mode = 'all'")
 def search_text_all(spark, sf_dir):
-    return search.text_channel(catalog.chunks(spark, sf_dir), _queries(spark, sf_dir)).where("mode = 'all'").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    return search.text_channel(catalog.search_index(spark, sf_dir), _queries(spark, sf_dir)).where("mode = 'all'").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{catalog.ctes('docs', 'chunks')}, {Q}, {TEXT} SELECT query_id, chunk_id, rank, mode FROM text_")
 def search_text_any_fallback(spark, sf_dir):
-    return search.text_channel(catalog.chunks(spark, sf_dir), _queries(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+    return search.text_channel(catalog.search_index(spark, sf_dir), _queries(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"{catalog.ctes('docs')}, {Q}, {TITLE} SELECT query_id, chunk_id, rank FROM title_")
 def search_title(spark, sf_dir):
-    return search.title_channel(catalog.chunks(spark, sf_dir), catalog.documents(spark, sf_dir), _queries(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+    return search.title_channel(catalog.search_index(spark, sf_dir), catalog.chunks(spark, sf_dir), catalog.documents(spark, sf_dir), _queries(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {Q}, {RARE} SELECT query_id, array_to_string(toks, '|') AS tokens FROM rare")
@@ -104,12 +124,12 @@ def rare_query_tokens(spark, sf_dir):
 
 @query(f"{catalog.ctes('docs', 'chunks')}, {Q}, {EXACT} SELECT query_id, chunk_id, rank, named, hits FROM exact_")
 def search_exact_tokens(spark, sf_dir):
-    return search.exact_channel(catalog.chunks(spark, sf_dir), catalog.documents(spark, sf_dir), _queries(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+    return search.exact_channel(catalog.search_index(spark, sf_dir), catalog.chunks(spark, sf_dir), _queries(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _fused(spark, sf_dir):
-    c, d, q = catalog.chunks(spark, sf_dir), catalog.documents(spark, sf_dir), _queries(spark, sf_dir)
-    return search.fuse({"vector": _vector(spark, sf_dir), "text": search.text_channel(c, q), "title": search.title_channel(c, d, q), "exact": search.exact_channel(c, d, q)})
+    i, c, d, q = catalog.search_index(spark, sf_dir), catalog.chunks(spark, sf_dir), catalog.documents(spark, sf_dir), _queries(spark, sf_dir)
+    return search.fuse({"vector": _vector(spark, sf_dir), "text": search.text_channel(i, q), "title": search.title_channel(i, c, d, q), "exact": search.exact_channel(i, c, q)})
 
 
 @query(f"{ALL} SELECT query_id, chunk_id, score, matched_by, similarity FROM fused")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .io import load
+from .io import load, new_path
 
 #: No query reads the clock: this is "now".
 AS_OF = "2024-01-31 00:00:00"
@@ -31,6 +31,19 @@ def chunks(spark: SparkSession, sf_dir: str, chars: int = 1500) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], object] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str):
+    """The search index of the tables, made at the first search of a session over them."""
+    from ..operators import postings
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.search_index(chunks(spark, sf_dir), documents(spark, sf_dir), new_path(spark, "index"))
+    return _INDEXES[key]
+
+
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ts, endpoint, method, status, duration_ms, agent from the events."""
     k = F.get_json_object("props", "$.k").cast("int")

@@ -39,14 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and it outlives executors. It goes with the session's JVM."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the shared one; it goes with the session's JVM."""
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and it outlives executors. It goes with the session's JVM."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
