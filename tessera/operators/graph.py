@@ -8,9 +8,10 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import entity_key
+from ..functions.text import analysis_commit, entity_key
 from ..functions.vocab import KNOWLEDGE_RELATIONS, KNOWLEDGE_TYPES, TUNING
 from ..sources.io import stage
+from .contain import clean, contained, gram_index
 
 #: Entities asked about in one call: they are sent to every task.
 MOST_ROOTS = 10_000
@@ -32,11 +33,13 @@ def resolve(entities: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked (q) the entity that fits best: equal name, then a name that ends in -q, then one that has q.
 
     Among these a document-backed one, then the shortest name, then the id. Slash and dash are equal;
-    wildcards are taken literally (K7). No row if nothing fits.
+    wildcards are taken literally (K7). No row if nothing fits. Names and queries meet by trigrams.
     """
-    q = few(asked.select("q", entity_key(F.col("q")).alias("qk")).where("q != ''"))
-    named = entities.withColumn("nk", entity_key(F.col("name")))
-    hit = named.join(q, F.contains("nk", "qk"))
+    q = few(asked.select("q", clean(entity_key(F.col("q"))).alias("qk")).where("qk != ''").distinct())
+    named = entities.withColumn("nk", clean(entity_key(F.col("name"))))
+    field = F.lit("name").alias("field")
+    hit = contained(gram_index(named.select(field, F.col("nk").alias("text"))), q.select(field, F.col("qk").alias("needle")))
+    hit = hit.select(F.col("text").alias("nk"), F.col("needle").alias("qk")).join(q, "qk").join(named, "nk")
     order = Window.partitionBy("q").orderBy(F.desc(F.col("nk") == F.col("qk")), F.desc(F.endswith("nk", F.concat(F.lit("-"), "qk"))), F.desc(F.col("document_id").isNotNull()), F.length("name"), "entity_id")
     return hit.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("q", "entity_id", "type", "name")
 
@@ -57,21 +60,19 @@ def numbered(roots: DataFrame) -> DataFrame:
     return own.withColumn("bucket", bucket).withColumn("n", n).select("root", (F.col("bucket") * (1 << 26) + F.floor(F.col("n") / 64)).alias("block"), (F.col("n") % 64).alias("bit"))
 
 
-def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 1, types: list[str] | None = None, cap: int | None = None) -> DataFrame:
-    """Edges (root, src, dst, type, distance) with an endpoint within hops - 1 of a root, directions ignored.
+def _reached(edges: DataFrame, roots: DataFrame, hops: int, types: list[str] | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Edges by block of roots with a mask for each distance, the numbered roots, and the masks' names.
 
     A search from many roots at once: 64 roots share a row of (node, block), one bit each, so a hop carries an
-    edge once for a block instead of once for a root, and bits are or-ed before they travel. Roots become rows
-    again at the end, without a further exchange. Each round drops the bits seen before, so no path is walked
-    twice; ``cap`` keeps the nearest edges in order (T10). Repeated edges and roots count once.
+    edge once for a block instead of once for a root, and bits are or-ed before they travel. Each round drops the
+    bits seen before, so no path is walked twice. A mask holds the roots of which the edge is that far, and not nearer.
     """
-    hops = min(max(int(hops), 1), TUNING.hops)
     own = edges.where(F.col("type").isin(*safe_types(types))) if types else edges
     # Written: every hop and both ends read them.
     own = stage(own.select("src", "dst", "type").distinct(), "edges")
     named = stage(numbered(roots), "roots")
     both = own.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(own.select(F.col("dst").alias("a"), F.col("src").alias("b")))
-    frontier = named.select(F.col("root").alias("node"), "block", F.expr("shiftleft(1L, bit)").alias("m"))
+    frontier = named.groupBy(F.col("root").alias("node"), "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("m"))
     levels = [frontier]
     for _ in range(1, hops):
         step = frontier.join(both, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node"), "block").agg(F.bit_or("m").alias("m"))
@@ -84,8 +85,19 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 1, types: list
     at = functools.reduce(DataFrame.unionByName, apart).groupBy("node", "block").agg(*(F.bit_or(n).alias(n) for n in names))
     ends = own.join(at, F.col("src") == F.col("node")).unionByName(own.join(at, F.col("dst") == F.col("node"))).drop("node")
     ends = ends.groupBy("src", "dst", "type", "block").agg(*(F.bit_or(n).alias(n) for n in names))
+    nearer = lambda d: " | ".join(names[:d]) or "0L"
+    return ends.select("src", "dst", "type", "block", *[F.expr(f"{n} & ~({nearer(d)})").alias(n) for d, n in enumerate(names)]), named, names
+
+
+def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 1, types: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """Edges (root, src, dst, type, distance) with an endpoint within hops - 1 of a root, directions ignored.
+
+    Roots become rows again at the end, without a further exchange; so there are as many rows as roots reach edges.
+    ``cap`` keeps the nearest edges of each root in order (T10). Repeated edges and roots count once.
+    """
+    ends, named, names = _reached(edges, roots, min(max(int(hops), 1), TUNING.hops), types)
     has = [F.expr(f"shiftrightunsigned({n}, bit) & 1L") == 1 for n in names]
-    distance = functools.reduce(lambda far, d: F.when(has[d], F.lit(d)).otherwise(far), reversed(range(hops)), F.lit(None).cast("int"))
+    distance = functools.reduce(lambda far, d: F.when(has[d], F.lit(d)).otherwise(far), reversed(range(len(names))), F.lit(None).cast("int"))
     hit = functools.reduce(lambda x, y: x | y, has)
     out = ends.join(listed(named.withColumnRenamed("block", "_b")), (F.col("block") == F.col("_b")) & hit).select("root", "src", "dst", "type", distance.alias("distance"))
     if cap:
@@ -94,13 +106,55 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 1, types: list
     return out
 
 
+def neighbourhood_counts(edges: DataFrame, roots: DataFrame, hops: int = 1, types: list[str] | None = None) -> DataFrame:
+    """(root, type, n): how many edges of each type a root's neighbourhood has, counted from the masks.
+
+    An edge adds 64 numbers to its block's sums; no row is made for a root and an edge.
+    """
+    ends, named, names = _reached(edges, roots, min(max(int(hops), 1), TUNING.hops), types)
+    masks = ends.select("type", "block", F.expr(" | ".join(names)).alias("m"))
+    # Equal masks are counted once: many edges are reached by the same roots.
+    masks = masks.groupBy("type", "block", "m").agg(F.count("*").alias("c"))
+    sums = masks.groupBy("type", "block").agg(*[F.sum(F.expr(f"(shiftrightunsigned(m, {b}) & 1L) * c")).alias(f"b{b}") for b in range(64)])
+    each = sums.select("type", "block", F.posexplode(F.array(*[f"b{b}" for b in range(64)])).alias("bit", "n")).where("n > 0")
+    return each.join(named, ["block", "bit"]).select("root", "type", "n")
+
+
 def publishes(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """For each root and topic it publishes to, the other nodes that subscribe to it, sorted."""
+    pubs = edges.where("type = 'PUBLISHES_TO'").join(listed(roots.select(F.col("entity_id").alias("src"))), "src").select(F.col("src").alias("entity_id"), F.col("dst").alias("topic")).distinct()
+    # A topic's subscribers are collected once, not for each of its publishers.
+    subs = edges.where("type = 'SUBSCRIBES_TO'").join(pubs.select(F.col("topic").alias("dst")).distinct(), "dst", "left_semi").groupBy(F.col("dst").alias("topic")).agg(F.sort_array(F.collect_set("src")).alias("all"))
+    each = pubs.join(subs, "topic", "left").withColumn("_c", F.coalesce(F.array_remove("all", F.col("entity_id")), F.array().cast("array<string>")))
+    return each.select("entity_id", "topic", F.array_join("_c", ",").alias("consumers"), F.size("_c").cast("long").alias("n_consumers"))
+
+
+def consumers(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(entity_id, consumer): the other nodes that subscribe to a topic of the root."""
     pubs = edges.where("type = 'PUBLISHES_TO'").join(listed(roots.select(F.col("entity_id").alias("src"))), "src").select(F.col("src").alias("entity_id"), F.col("dst").alias("topic"))
     subs = edges.where("type = 'SUBSCRIBES_TO'").select(F.col("dst").alias("topic"), F.col("src").alias("consumer"))
-    each = pubs.join(subs, "topic", "left").withColumn("consumer", F.when(F.col("consumer") != F.col("entity_id"), F.col("consumer")))
-    grouped = each.groupBy("entity_id", "topic").agg(F.sort_array(F.collect_set("consumer")).alias("_c"))
-    return grouped.select("entity_id", "topic", F.array_join("_c", ",").alias("consumers"), F.size("_c").cast("long").alias("n_consumers"))
+    return pubs.join(subs, "topic").where("consumer != entity_id").select("entity_id", "consumer").distinct()
+
+
+def impact_knowledge(edges: DataFrame, entities: DataFrame, roots: DataFrame, cap: int | None = TUNING.knowledge_cap) -> DataFrame:
+    """(root, source, type, name, summary, origin): what is known about the root and about the direct consumers of its topics.
+
+    The first ``cap`` of each root go by id, the root's own before its consumers'.
+    """
+    own = roots.select(F.col("entity_id").alias("root"), F.col("entity_id").alias("target"), F.lit(0).alias("far"))
+    targets = stage(own.unionByName(consumers(edges, roots).select(F.col("entity_id").alias("root"), F.col("consumer").alias("target"), F.lit(1).alias("far"))).distinct(), "targets")
+    known = attached_knowledge(edges, entities, targets.select(F.col("target").alias("entity_id")).distinct(), cap=None)
+    out = targets.join(known, "target").select("root", F.col("target").alias("source"), "far", "entity_id", "type", "name", "summary", "origin")
+    if cap:
+        first = Window.partitionBy("root").orderBy("far", "entity_id", "source")
+        out = out.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap).drop("_n")
+    return out.drop("far")
+
+
+def freshness(entities: DataFrame, documents: DataFrame, roots: DataFrame) -> DataFrame:
+    """When a root's document was last indexed, and the commit it was reconciled with; nulls without a document."""
+    d = documents.select("document_id", "updated_at", analysis_commit(F.col("content")).alias("analysis_commit"))
+    return entities.join(listed(roots.select("entity_id").distinct()), "entity_id", "left_semi").select("entity_id", "document_id").join(d, "document_id", "left").select("entity_id", "updated_at", "analysis_commit")
 
 
 def related(edges: DataFrame, roots: DataFrame, relation: str, inbound: bool = False) -> DataFrame:
@@ -131,6 +185,41 @@ def project_nodes(entities: DataFrame, documents: DataFrame) -> DataFrame:
     return entities.join(d, "document_id", "left").select("entity_id", "type", "name", kind.alias("kind"), origin.alias("origin"), F.col("metadata.summary").alias("summary"))
 
 
+def project_edges(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """G4, SNK7: distinct (src, dst, type) whose two ends are entities; types are checked before they are stored."""
+    ids = entities.select("entity_id").distinct()
+    bad = relations.where(~F.coalesce(F.col("type").rlike(f"^(?:{SAFE_TYPE.pattern})$"), F.lit(False))).select(F.col("type").cast("string").alias("type")).limit(1).collect()
+    safe_types([str(r.type) for r in bad])
+    own = relations.select("src", "dst", "type").distinct()
+    return own.join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")
+
+
+def changed_rows(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """S4, SNK7: what turns the snapshot old into new: change (insert, update, delete) and the row, the old one for deletes. Equal rows aren't listed."""
+    values = [c for c in new.columns if c not in key]
+    o = old.select(*key, F.struct(F.lit(True).alias("here"), *values).alias("_old"))
+    n = new.select(*key, F.struct(F.lit(True).alias("here"), *values).alias("_new"))
+    both = o.join(n, key, "full")
+    change = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(~F.col("_old").eqNullSafe(F.col("_new")), "update")
+    row = F.coalesce("_new", "_old")
+    return both.withColumn("change", change).where("change IS NOT NULL").select("change", *key, *[row[c].alias(c) for c in values])
+
+
+def apply_changes(old: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """The next snapshot: changed and deleted rows go, inserted and changed ones come. Applying a change set again changes nothing."""
+    kept = old.join(changes.select(*key), key, "left_anti")
+    return kept.select(*old.columns).unionByName(changes.where("change != 'delete'").select(*old.columns))
+
+
+def project(nodes: DataFrame, edges: DataFrame, entities: DataFrame, documents: DataFrame, relations: DataFrame) -> dict[str, DataFrame]:
+    """G4, S4, SNK7: change sets that turn a projection (nodes, edges) into that of the entities and relations.
+
+    Nodes of entities that went are deleted, with their edges (an edge stays only while both ends are entities).
+    """
+    fresh = project_nodes(entities, documents)
+    return {"nodes": changed_rows(nodes, fresh, ["entity_id"]), "edges": changed_rows(edges, project_edges(relations, entities), ["src", "dst", "type"])}
+
+
 def components(edges: DataFrame, write=stage, rounds: int = 60) -> DataFrame:
     """(node, comp) with comp the smallest node that can be reached over edges (a, b); nodes without another node are left out.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
+from .contain import clean, contained, gram_index
 from .graph import few
 
 
@@ -14,15 +17,13 @@ def find_note(documents: DataFrame, entities: DataFrame, asked: DataFrame) -> Da
 
     Case doesn't matter and wildcards are taken literally; ties go by the shorter path, then the path.
     """
-    q = few(asked.select("q").where("q != ''"))
-    named = entities.where("document_id IS NOT NULL").groupBy("document_id").agg(F.array_join(F.collect_set(F.lower("name")), "\n").alias("names"))
-    d = documents.select("document_id", "path", "title").join(named, "document_id", "left")
-    low = F.lower("q")
-    order = (
-        F.when(F.lower("path") == low, 1).when(F.contains(F.lower("path"), low), 2).when(F.lower("title") == low, 3)
-        .when(F.contains(F.lower("title"), low), 4).when(F.contains(F.coalesce("names", F.lit("")), low), 5)
-    )
-    hit = d.join(q, contains_ci(F.col("path"), F.col("q")) | contains_ci(F.col("title"), F.col("q")) | contains_ci(F.coalesce("names", F.lit("")), F.col("q")))
+    q = few(asked.select("q", clean(F.lower("q")).alias("needle")).where("q != ''").distinct())
+    said = {"path": documents.select("document_id", F.col("path").alias("text")), "title": documents.select("document_id", F.col("title").alias("text")), "name": entities.where("document_id IS NOT NULL").select("document_id", F.col("name").alias("text"))}
+    texts = functools.reduce(DataFrame.unionByName, [t.select("document_id", F.lit(f).alias("field"), clean(F.lower("text")).alias("text")) for f, t in said.items()])
+    fields = F.explode(F.array(*[F.lit(f) for f in said])).alias("field")
+    hit = contained(gram_index(texts.select("field", "text")), q.select("needle", fields)).join(texts, ["field", "text"]).join(q, "needle").join(documents.select("document_id", "path"), "document_id")
+    same = F.col("text") == F.col("needle")
+    order = F.when(F.col("field") == "path", F.when(same, 1).otherwise(2)).when(F.col("field") == "title", F.when(same, 3).otherwise(4)).otherwise(5)
     first = Window.partitionBy("q").orderBy(order, F.length("path"), "path")
     return hit.withColumn("how", order).withColumn("_n", F.row_number().over(first)).where("_n = 1").select("q", "document_id", "path", "how")
 

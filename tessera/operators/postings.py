@@ -26,14 +26,18 @@ MOST_STEMS = 1_000_000
 
 def stems(chunks: DataFrame) -> DataFrame:
     """term, lexeme of the distinct terms of all chunks: a term is stemmed once, however often it occurs."""
-    terms = stage(chunks.select(F.explode(positioned(F.col("content"))).alias("term")).distinct(), "terms")
+    terms = chunks.select(F.explode(positioned(F.col("content"))).alias("term")).distinct()
+    # Short rows with much work each: they are dealt to all cores, however few bytes they are.
+    terms = stage(terms.repartition(chunks.sparkSession.sparkContext.defaultParallelism), "terms")
     return stage(with_lexemes(terms), "stems")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """lexeme, chunk_id, len (characters of the chunk), positions (ascending): stop words take a position but have no posting."""
     known = stems(chunks)
-    each = chunks.select("chunk_id", F.length("content").alias("len"), F.posexplode(positioned(F.col("content"))).alias("pos", "term"))
+    # The length is taken before the terms become rows; beside the generator it would be counted anew for every term.
+    whole = chunks.select("chunk_id", F.length("content").alias("len"), positioned(F.col("content")).alias("terms"))
+    each = whole.select("chunk_id", "len", F.posexplode("terms").alias("pos", "term"))
     few = known.limit(MOST_STEMS + 1).count() <= MOST_STEMS
     own = each.join(F.broadcast(known) if few else known, "term")
     return own.groupBy("lexeme", "chunk_id", "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))

@@ -48,7 +48,7 @@ def _hop_sql(hops: int, types: str = "") -> str:
 
 
 def _near(spark, sf_dir, hops, types=None):
-    return graph.neighbourhood(catalog.edges(spark, sf_dir), _roots(spark, sf_dir), hops, types).groupBy("root", "type").agg(F.count("*").alias("n"))
+    return graph.neighbourhood_counts(catalog.edges(spark, sf_dir), _roots(spark, sf_dir), hops, types)
 
 
 @query(_hop_sql(1))
@@ -66,6 +66,11 @@ def neighborhood_3(spark, sf_dir):
     return _near(spark, sf_dir, 3, ["PUBLISHES_TO", "BELONGS_TO"])
 
 
+@query(_hop_sql(3))
+def neighborhood_3_all(spark, sf_dir):
+    return _near(spark, sf_dir, 3)
+
+
 @query(_hop_sql(2, "'PUBLISHES_TO', 'SUBSCRIBES_TO'"))
 def neighborhood_typed(spark, sf_dir):
     return _near(spark, sf_dir, 2, ["PUBLISHES_TO", "SUBSCRIBES_TO"])
@@ -102,6 +107,45 @@ def impact_attached(spark, sf_dir):
     return graph.attached_knowledge(edges, entities, _roots(spark, sf_dir), cap=None).select("target", "entity_id", "type")
 
 
+KNOWN = """sem AS (SELECT 'k' || l_orderkey || '-' || l_linenumber AS entity_id, CASE l_linenumber % 4 WHEN 0 THEN 'Decision' WHEN 1 THEN 'Problem' WHEN 2 THEN 'Constraint' ELSE 'Claim' END AS type,
+    'c' || o_custkey AS target, CASE l_linenumber % 2 WHEN 0 THEN 'USES' ELSE 'MENTIONS' END AS rel FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(f"""{catalog.ctes('vertices', 'edges')}, {ROOTS}, {KNOWN},
+    near AS (SELECT entity_id AS root, entity_id AS source, 0 AS far FROM roots UNION SELECT p.src, s.src, 1 FROM edges p JOIN edges s ON p.type = 'PUBLISHES_TO' AND s.type = 'SUBSCRIBES_TO' AND p.dst = s.dst AND p.src <> s.src JOIN roots ON p.src = entity_id)
+    SELECT root, source, entity_id, type FROM (SELECT root, source, sem.entity_id, type, row_number() OVER (PARTITION BY root ORDER BY far, sem.entity_id, source) AS n
+        FROM near JOIN (SELECT DISTINCT entity_id, type, target FROM sem WHERE rel = 'USES' AND type <> 'Claim') sem ON target = source) WHERE n <= 30""")
+def impact_knowledge(spark, sf_dir):
+    li, o = catalog.load(spark, sf_dir, "lineitem"), catalog.load(spark, sf_dir, "orders")
+    k = F.col("l_linenumber") % 4
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat(F.lit("k"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("src"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"),
+        F.when(F.col("l_linenumber") % 2 == 0, "USES").otherwise("MENTIONS").alias("type"), F.when(k == 0, "Decision").when(k == 1, "Problem").when(k == 2, "Constraint").otherwise("Claim").alias("kind"),
+    )
+    entities = rows.select(F.col("src").alias("entity_id"), F.col("kind").alias("type"), F.lit("semantic").alias("kind"), F.col("src").alias("name"), F.lit(None).cast("string").alias("summary"), F.lit("human").alias("origin")).distinct()
+    edges = catalog.edges(spark, sf_dir).unionByName(rows.select("src", "dst", "type"))
+    return graph.impact_knowledge(edges, entities, _roots(spark, sf_dir)).select("root", "source", "entity_id", "type")
+
+
+@query(f"""{catalog.ctes('vertices', 'edges')}, old_nodes AS (SELECT entity_id, CASE WHEN document_id % 5 = 0 THEN name || ' (old)' ELSE name END AS name FROM vertices WHERE type <> 'Topic' OR document_id % 7 <> 0),
+    now_nodes AS (SELECT entity_id, name FROM vertices WHERE NOT (type = 'Project' AND document_id % 11 = 0)), now_edges AS (SELECT DISTINCT e.* FROM edges e JOIN now_nodes a ON src = a.entity_id JOIN now_nodes b ON dst = b.entity_id),
+    old_edges AS (SELECT * FROM edges WHERE type <> 'CALLS_HTTP')
+    SELECT 'nodes' AS what, change, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT coalesce(o.entity_id, f.entity_id) AS id, CASE WHEN o.entity_id IS NULL THEN 'insert' WHEN f.entity_id IS NULL THEN 'delete' WHEN o.name <> f.name THEN 'update' END AS change
+        FROM old_nodes o FULL JOIN now_nodes f ON o.entity_id = f.entity_id) WHERE change IS NOT NULL GROUP BY change
+    UNION ALL SELECT 'edges', change, count(*), count(DISTINCT src) FROM (SELECT coalesce(o.src, f.src) AS src, CASE WHEN o.src IS NULL THEN 'insert' WHEN f.src IS NULL THEN 'delete' END AS change
+        FROM old_edges o FULL JOIN now_edges f ON o.src = f.src AND o.dst = f.dst AND o.type = f.type) WHERE change IS NOT NULL GROUP BY change""")
+def graph_projection(spark, sf_dir):
+    v, e = catalog.vertices(spark, sf_dir), catalog.edges(spark, sf_dir)
+    meta = F.lit(None).cast("struct<kind:string,origin:string,summary:string>").alias("metadata")
+    docs = v.limit(0).select("document_id", F.col("name").alias("path"))
+    shown = lambda rows: graph.project_nodes(rows.withColumn("metadata", meta), docs)
+    stale = v.where("type != 'Topic' OR document_id % 7 != 0").withColumn("name", F.when(F.col("document_id") % 5 == 0, F.concat("name", F.lit(" (old)"))).otherwise(F.col("name")))
+    now = v.where("NOT (type = 'Project' AND document_id % 11 = 0)").withColumn("metadata", meta)
+    out = graph.project(shown(stale), e.where("type != 'CALLS_HTTP'"), now, docs, e)
+    count = lambda k, i: out[k].groupBy("change").agg(F.count("*").alias("n"), F.countDistinct(i).alias("ids")).select(F.lit(k).alias("what"), "change", "n", "ids")
+    return count("nodes", "entity_id").unionByName(count("edges", "src"))
+
+
 _ASKED = ["supplier#000000007", "red", "supplier#000000001", "asia", "no such name", "ring"]
 
 
