@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import authority
 from .functions.vectors import Embedder, HashingEmbedder, embed
-from .operators import audit, extract, graph, index, lookup, search, usage
+from .operators import audit, extract, graph, index, lookup, postings, search, usage
 
 
 @dataclass(frozen=True)
@@ -30,33 +30,42 @@ class Knowledge:
     edits: DataFrame | None = None
     events: DataFrame | None = None
     embedder: Embedder = HashingEmbedder()
+    index: postings.SearchIndex | None = None
 
     def embed(self, texts: DataFrame, column: str = "text") -> DataFrame:
         return embed(texts, column, self.embedder)
 
-    def search(self, queries: DataFrame, limit: int = 8) -> DataFrame:
-        """queries (query_id, q[, vec]): the first documents of each, with superseded texts corrected."""
+    def indexed(self, path: str | None = None) -> Knowledge:
+        """The same with a search index, written below ``path`` or for this session; searches of one without it write their own."""
+        return replace(self, index=postings.search_index(self.chunks, self.documents, path))
+
+    def search(self, queries: DataFrame, limit: int = 8, agent: str | None = None, as_of: str | None = None) -> DataFrame:
+        """queries (query_id, q[, vec]) in web syntax: the first documents of each, described, with superseded texts corrected.
+
+        ``agent`` and ``as_of`` mark the caller's own recent notes.
+        """
         asked = queries if "vec" in queries.columns else embed(queries, "q", self.embedder, "vec")
+        own = self if self.index else self.indexed()
         channels = {
-            "text": search.text_channel(self.chunks, queries),
-            "title": search.title_channel(self.chunks, self.documents, queries),
-            "exact": search.exact_channel(self.chunks, self.documents, queries),
+            "text": search.text_channel(own.index, queries),
+            "title": search.title_channel(own.index, self.chunks, self.documents, queries),
+            "exact": search.exact_channel(own.index, self.chunks, queries),
         }
         if "embedding" in self.chunks.columns:
-            channels["vector"] = search.vector_channel(self.chunks.select("chunk_id", F.col("embedding").alias("vec")), asked)
-        kinds = self.entities.where("document_id IS NOT NULL").groupBy("document_id").agg(F.min("type").alias("entity_type"))
-        d = self.documents.join(kinds, "document_id", "left")
+            channels["vector"] = search.vector_channel(self.chunks.where("embedding IS NOT NULL").select("chunk_id", F.col("embedding").alias("vec")), asked)
+        d = self.documents.join(search.document_types(self.entities, self.documents), "document_id", "left")
         column = lambda c: F.col(c) if c in d.columns else F.lit(None).cast("string")
-        factors = d.select("document_id", "path", "title", authority(F.col("path"), column("kind"), column("status"), F.col("entity_type"), column("superseded_by")).alias("authority"))
+        factors = d.select("document_id", "path", "entity_type", authority(F.col("path"), column("kind"), column("status"), F.col("entity_type"), column("superseded_by")).alias("authority"))
         found = search.rank_documents(search.collapse(search.fuse(channels), self.chunks), factors, limit)
-        return search.attach_corrections(found, self.chunks)
+        return search.describe(search.attach_corrections(found, self.chunks), self.chunks, self.documents, agent, as_of)
 
     def context(self, queries: DataFrame, limit: int = 6) -> DataFrame:
-        """Search results with their entities' edges as markdown."""
+        """Search results with the edges of all their entities as markdown."""
         found = self.search(queries, min(limit, 20))
         lines = search.context_markdown(self.relations, self.entities)
         own = self.entities.where("document_id IS NOT NULL").select("entity_id", "document_id").join(lines, "entity_id")
-        return found.join(own.groupBy("document_id").agg(F.min("markdown").alias("markdown")), "document_id", "left")
+        each = own.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("entity_id", "markdown"))), lambda m: m["markdown"]).alias("_m"))
+        return found.join(each.select("document_id", F.array_join("_m", "\n\n").alias("markdown")), "document_id", "left")
 
     def note(self, asked: DataFrame) -> DataFrame:
         return lookup.find_note(self.documents, self.entities, asked)
@@ -74,7 +83,11 @@ class Knowledge:
     def impact(self, asked: DataFrame) -> dict[str, DataFrame]:
         roots = graph.resolve(self.entities, asked)
         out = {k: graph.related(self.relations, roots, t, inbound) for k, t, inbound in (("belongs_to", "BELONGS_TO", False), ("subscribes", "SUBSCRIBES_TO", False), ("calls_http", "CALLS_HTTP", False), ("called_by_http", "CALLS_HTTP", True))}
-        return out | {"publishes": graph.publishes(self.relations, roots), "attached_knowledge": graph.attached_knowledge(self.relations, self.entities, roots)}
+        return out | {
+            "publishes": graph.publishes(self.relations, roots),
+            "attached_knowledge": graph.impact_knowledge(self.relations, self.entities, roots),
+            "freshness": graph.freshness(self.entities, self.documents, roots),
+        }
 
     def remember(self, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(note_id, folder, title, kind, content): accepted notes with a path each, and the refused with their problem."""

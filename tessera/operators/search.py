@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.english import positioned, with_lexemes
-from ..functions.text import normalise_separators, rare_tokens
+from ..functions.text import analysis_commit, author, normalise_separators, rare_tokens
 from ..functions.vectors import top_documents, top_similar
 from ..functions.vocab import TUNING
 from ..sources.io import stage
@@ -186,6 +186,28 @@ def rank_documents(collapsed: DataFrame, factors: DataFrame, limit: int = 8) ->
     return scored.withColumn("position", F.row_number().over(top)).where(F.col("position") <= min(max(limit, 1), 50))
 
 
+def document_types(entities: DataFrame, documents: DataFrame) -> DataFrame:
+    """document_id, entity_type: of a document's entities the one whose name is the title, else the first by id."""
+    own = entities.where("document_id IS NOT NULL").select("document_id", "entity_id", "type", "name").join(documents.select("document_id", "title"), "document_id")
+    first = F.min_by("type", F.struct((~F.coalesce(F.col("name") == F.col("title"), F.lit(False))).alias("other"), "entity_id"))
+    return own.groupBy("document_id").agg(first.alias("entity_type"))
+
+
+def describe(results: DataFrame, chunks: DataFrame, documents: DataFrame, agent: str | None = None, as_of: str | None = None) -> DataFrame:
+    """Results with content, title, kind, tags, author, updated_at, analysis_commit and own_recent.
+
+    own_recent: the caller ``agent`` wrote the note and it changed less than own_hours before ``as_of``. Columns that
+    the documents don't have are null.
+    """
+    have = lambda c, kind="string": F.col(c) if c in documents.columns else F.lit(None).cast(kind)
+    tags = F.array("tags") if dict(documents.dtypes).get("tags") == "string" else have("tags", "array<string>")
+    d = documents.select("document_id", "title", have("kind").alias("kind"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"), author(have("source"), have("created_by")).alias("author"), have("updated_at", "timestamp").alias("updated_at"), analysis_commit(have("content")).alias("analysis_commit"))
+    out = results.join(chunks.select("chunk_id", "content"), "chunk_id").join(d, "document_id")
+    recent = F.col("updated_at") > F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {TUNING.own_hours} HOURS")
+    own = F.coalesce((F.col("author") == agent) & recent, F.lit(False)) if agent and as_of else F.lit(False)
+    return out.withColumn("own_recent", own)
+
+
 def attach_corrections(results: DataFrame, chunks: DataFrame, most: int = TUNING.correction_chars) -> DataFrame:
     """For superseded representatives the document's latest chunk that isn't, cut to 500 characters."""
     latest = chunks.where(~F.coalesce("superseded", F.lit(False))).join(results.where("superseded").select("document_id").distinct(), "document_id", "left_semi")

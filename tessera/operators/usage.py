@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import stage
+from .spread import before_ranges, in_ranges
+
 
 def since(ts: Column, as_of: str, days: int) -> Column:
     """P10: after as_of minus days (strictly)."""
@@ -54,22 +57,25 @@ def latest_edits(edits: DataFrame, key="path", ts="created_at", tie="edit_id") -
 def floor_percentile(values: DataFrame, column: str, percents: list[int]) -> DataFrame:
     """The value at index min(n - 1, floor(p / 100 * n)) of the sorted values, for each p.
 
-    Counts of each distinct value are summed along the order in ranges, so no task sorts all rows.
+    Counts of each distinct value are summed along the order in ranges split at quantiles, so no task sorts all rows.
     """
     counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    # Distinct values are dealt to 256 equal steps between the least and the largest; steps are summed first.
-    ends = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    step = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(255), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 256))).otherwise(F.lit(0))
-    placed = counts.join(F.broadcast(ends), how="cross").withColumn("s", step)  # ends is one row
-    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    steps = placed.groupBy("s").agg(F.sum("c").alias("sc")).withColumn("s_at", F.coalesce(F.sum("sc").over(before), F.lit(0)))
-    inside = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    reach = placed.join(F.broadcast(steps.select("s", "s_at")), "s").withColumn("to", F.col("s_at") + F.sum("c").over(inside))  # 256 rows
+    placed = stage(in_ranges(counts, "v"), "placed")
+    # One row for each of at most 256 ranges.
+    ranges = before_ranges(placed.groupBy("_range").agg(F.sum("c").alias("sc")), "sc").withColumn("n", F.sum("sc").over(Window.partitionBy()))
+    inside = Window.partitionBy("_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    reach = placed.join(F.broadcast(ranges.select("_range", "n", F.coalesce("_before", F.lit(0)).alias("at"))), "_range").withColumn("to", F.col("at") + F.sum("c").over(inside))
     wanted = F.explode(F.array(*[F.lit(int(p)) for p in percents])).alias("p")
     asked = reach.select("v", "c", "to", "n", wanted).withColumn("k", F.least(F.col("n") - 1, F.floor(F.col("p") * F.col("n") / 100)))
     return asked.where("k < to AND k >= to - c").select("p", F.col("v").alias("value"))
 
 
+def mean_latency(events: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Calls and mean duration (rounded to 0.1 ms) over the events that have a duration, of all or by the columns given."""
+    own = events.where("duration_ms IS NOT NULL")
+    return own.groupBy(*by).agg(F.count("*").alias("calls"), F.round(F.avg("duration_ms"), 1).alias("mean_ms"))
+
+
 def coverage(indexed: DataFrame, total: DataFrame) -> DataFrame:
     """Indexed, total and what is left (never negative)."""
     a, b = indexed.agg(F.count("*").alias("indexed")), total.agg(F.count("*").alias("total"))

@@ -8,7 +8,7 @@ from ..functions import text
 from ..functions.vectors import centroids
 from ..operators import dedup, extract, hygiene, index, notes
 from ..sources import catalog
-from ..sources.io import load
+from ..sources.io import load, new_path
 from ..streaming import freshness
 
 QUERIES: dict = {}
@@ -247,6 +247,33 @@ def stream_quiet_period(spark, sf_dir):
     return freshness.quiet_periods(load(spark, sf_dir, "events").select("ts"))
 
 
+_ISSUES = """issues AS (SELECT user_id AS issue_id, ts, CASE WHEN event_type = 'purchase' THEN 'svc-' || (event_id % 12) END AS repo FROM events),
+    first AS (SELECT issue_id, arg_min(repo, ts) AS repo, min(ts) AS ts FROM issues WHERE repo IS NOT NULL GROUP BY issue_id)"""
+
+
+@query(f"""WITH {_ISSUES}, judged AS (SELECT *, CASE CAST(substr(repo, 5) AS INT) % 3 WHEN 0 THEN 'skipped' WHEN 1 THEN 'empty' ELSE 'posted' END AS status FROM first)
+    SELECT issue_id, status, repo, CASE status WHEN 'posted' THEN 'impact of ' || repo END AS comment, ts FROM judged""")
+def stream_announce(spark, sf_dir):
+    """Runs a real stream over the events' files to its end."""
+    plain = load(spark, sf_dir, "events")
+    live = spark.readStream.schema(plain.schema).parquet(f"{sf_dir}/events.parquet*")
+    url = F.concat(F.lit("see https://github.com/acme/svc-"), (F.col("event_id") % 12).cast("string"), F.lit("/pull/7"))
+    issues = live.select(F.col("user_id").alias("issue_id"), F.when(F.col("event_type") == "purchase", url).otherwise("nothing to link").alias("body"), F.col("ts").cast("timestamp").alias("ts"))
+    repos = plain.select((F.col("event_id") % 12).alias("r")).distinct().where("r % 3 != 0").withColumn("repo", F.concat(F.lit("svc-"), F.col("r").cast("string")))
+    comments = repos.select("repo", F.when(F.col("r") % 3 == 2, F.concat(F.lit("impact of "), "repo")).alias("comment"))
+    done = freshness.run_through(freshness.announce(issues, comments), new_path(spark, "announce"))
+    return done.withColumn("ts", F.col("ts").cast("timestamp_ntz")) if dict(plain.dtypes)["ts"] == "timestamp_ntz" else done
+
+
+@query()
+def stream_single_flight(spark, sf_dir):
+    """Runs a real stream: every user's clicks trigger, views end the run; one row for each run."""
+    plain = load(spark, sf_dir, "events")
+    live = spark.readStream.schema(plain.schema).parquet(f"{sf_dir}/events.parquet*").where("event_type IN ('click', 'view')")
+    events = live.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "view", "done").otherwise("trigger").alias("kind"))
+    return freshness.run_through(freshness.single_flight(events), new_path(spark, "flight"))
+
+
 @query("SELECT conv_id, CASE WHEN position('pull' IN text) > 0 THEN 1 ELSE 0 END AS has, CASE WHEN conv_id % 2 = 0 THEN 'repo-' || turn END AS repo FROM conversations")
 def pull_request_repo(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")

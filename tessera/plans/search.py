@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..api import Knowledge
 from ..functions.english import lexemes_sql
 from ..functions.text import authority, rare_tokens
 from ..functions.vocab import TUNING
@@ -168,6 +169,24 @@ def search_hybrid(spark, sf_dir):
     return _hybrid(spark, sf_dir).select("query_id", "document_id", "path", F.col("position").cast("long").alias("position"), "score", "chunk_id", "chunks_matched", "matched_by", "superseded")
 
 
+@query(f"""{ALL.replace(FACTORS, FACTORS.replace("kind IN ('doctrine', 'decision')", "kind = 'doctrine' OR (document_id % 3 = 0 AND title IS NOT NULL)").replace("SELECT document_id, path, CASE max", "SELECT document_id, path, title, CASE max"))}
+    SELECT query_id, document_id, position, score, CASE WHEN document_id % 3 = 0 AND title IS NOT NULL THEN 'Decision' ELSE 'Note' END AS entity_type, CASE document_id % 4 WHEN 0 THEN 'bot' WHEN 1 THEN 'ann' END AS author,
+    document_id % 4 = 0 AND document_id % 100 < 48 AS own_recent FROM ranked JOIN (SELECT document_id, title FROM docs) USING (document_id)""")
+def knowledge_search(spark, sf_dir):
+    labels = load(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("document_id")).agg(F.max("quality").alias("quality"))
+    i, vecs = F.col("document_id"), load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    d = catalog.documents(spark, sf_dir).join(labels, "document_id", "left").withColumns({
+        "kind": F.when(F.col("quality") == 1, "doctrine").when(F.col("quality") == 0, "archive"), "source": F.when(i % 4 == 0, "agent:bot"), "created_by": F.when(i % 4 == 1, "ann"),
+        "updated_at": F.lit(catalog.AS_OF).cast("timestamp") - F.make_interval(hours=(i % 100).cast("int")),
+    })
+    named = d.select(F.concat(F.lit("b"), i).alias("entity_id"), F.lit("Decision").alias("type"), F.col("title").alias("name"), "document_id").where("document_id % 3 = 0")
+    entities = d.select(F.concat(F.lit("a"), i).alias("entity_id"), F.lit("Note").alias("type"), F.concat(F.lit("x"), i).alias("name"), "document_id").unionByName(named)
+    chunks = _flagged(spark, sf_dir).join(vecs, (F.col("chunk_index") == 0) & (i == F.col("vec_id")), "left").drop("vec_id")
+    asked = _queries(spark, sf_dir).join(vecs.withColumnRenamed("embedding", "vec"), F.col("query_id") == F.col("vec_id"), "left").drop("vec_id")
+    base = Knowledge(d, chunks, entities, relations=None, index=catalog.search_index(spark, sf_dir))
+    return base.search(asked, agent="bot", as_of=catalog.AS_OF).select("query_id", "document_id", F.col("position").cast("long").alias("position"), "score", "entity_type", "author", "own_recent")
+
+
 @query(f"""{ALL}, latest AS (SELECT document_id, arg_max(content, chunk_index) AS c FROM flagged WHERE NOT superseded GROUP BY document_id)
     SELECT query_id, document_id, CASE WHEN superseded THEN CASE WHEN length(c) > 500 THEN substr(c, 1, 500) || '…' ELSE c END END AS correction FROM ranked LEFT JOIN latest USING (document_id)""")
 def search_correction(spark, sf_dir):

@@ -90,3 +90,8 @@ def percentile_floor(spark, sf_dir):
 @query("SELECT (SELECT count(*) FROM labels) AS indexed, (SELECT count(*) FROM documents) AS total, greatest(0, (SELECT count(*) FROM documents) - (SELECT count(*) FROM labels)) AS pending")
 def index_coverage(spark, sf_dir):
     return usage.coverage(load(spark, sf_dir, "labels"), load(spark, sf_dir, "documents"))
+
+
+@query(f"""{catalog.ctes('usage')} SELECT endpoint, count(*) AS calls, round(avg(duration_ms), 1) AS mean_ms FROM usage WHERE duration_ms IS NOT NULL GROUP BY endpoint""")
+def mean_latency(spark, sf_dir):
+    return usage.mean_latency(catalog.usage_events(spark, sf_dir), ["endpoint"])

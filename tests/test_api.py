@@ -31,6 +31,9 @@ def test_search_and_context(spark, base):
     by = {(r.query_id, r.position): r for r in rows}
     assert by[1, 1].document_id == 1 and by[1, 1].superseded is False and by[2, 1].document_id == 3
     assert len({(r.query_id, r.document_id) for r in rows}) == len(rows) and not [r for r in rows if r.query_id == 3]
+    described = {r.document_id: r for r in base.search(q, agent="bot", as_of="2024-01-31").collect()}
+    assert described[3].kind == "task" and described[1].entity_type == "Service" and described[1].tags == [] and described[1].own_recent is False and described[3].content == "use order-events 4.5%"
+    assert rows and sorted((r.query_id, r.document_id) for r in base.indexed().search(q).collect()) == sorted((r.query_id, r.document_id) for r in rows)
     context = {r.document_id: r.markdown for r in base.context(q).collect()}
     assert "- PUBLISHES_TO -> order-events" in context[1] and "- RELATES_TO <- Keep it" in context[1]
 
@@ -41,7 +44,8 @@ def test_graph_and_impact(spark, base):
     assert ("a", "b", "t") in edges and ("a", "k", "a") in edges
     impact = {k: v.collect() for k, v in base.impact(spark.createDataFrame([("order-service",)], "q string")).items()}
     assert [(r.topic, r.consumers) for r in impact["publishes"]] == [("t", "b")]
-    assert [r.name for r in impact["attached_knowledge"]] == ["Keep it"]
+    assert [(r.name, r.source) for r in impact["attached_knowledge"]] == [("Keep it", "a")]
+    assert [(r.updated_at, r.analysis_commit) for r in impact["freshness"]] == [(T, None)]
 
 
 def test_notes_and_writes(spark, base):
