@@ -7,40 +7,68 @@ chunks' postings and the list of chunks that went; it counts once its commit, wr
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.english import positioned, with_lexemes
+from ..functions.english import STOP_WORDS, with_lexemes
 from ..functions.text import normalise_separators
-from ..sources.io import new_path, stage
+from ..sources.io import new_path, ship, stage
 from .contain import Grams, clean, gram_index
 
 BUCKETS = 64
 
 
+#: english.TERM, for small letters.
+_TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_STOP = frozenset(STOP_WORDS)
 #: Terms whose stems are sent to every task at most; more are joined by a shuffle.
 MOST_STEMS = 1_000_000
 
 
-def stems(chunks: DataFrame) -> DataFrame:
-    """term, lexeme of the distinct terms of all chunks: a term is stemmed once, however often it occurs."""
-    terms = chunks.select(F.explode(positioned(F.col("content"))).alias("term")).distinct()
-    # Short rows with much work each: they are dealt to all cores, however few bytes they are.
-    terms = stage(terms.repartition(chunks.sparkSession.sparkContext.defaultParallelism), "terms")
-    return stage(with_lexemes(terms), "stems")
+def spoken(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, len (characters of the chunk), positions (ascending) of the lower-cased terms of each chunk.
+
+    Terms and positions are those of english.positioned(). A chunk is settled where it stands, without a shuffle:
+    an Arrow batch at a time, each chunk's positions are put under its terms.
+    """
+    ship(chunks.sparkSession)
+
+    def each(batches):
+        for batch in batches:
+            terms, ids, size, at = [], [], [], []
+            for i, (text, n) in enumerate(zip(batch.column("low").to_pylist(), batch.column("len").to_pylist())):
+                found, pos = {}, 0
+                for t in _TERM.findall(text or ""):
+                    for part in (t, *t.split("-")) if "-" in t else (t,):
+                        if part not in _STOP:
+                            found.setdefault(part, []).append(pos)
+                        pos += 1
+                terms += found.keys()
+                at += found.values()
+                ids += [i] * len(found)
+                size += [n] * len(found)
+            cols = [pa.array(terms, pa.string()), batch.column("chunk_id").take(pa.array(ids, pa.int64())), pa.array(size, pa.int32()), pa.array(at, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["term", "chunk_id", "len", "positions"])
+
+    own = chunks.select("chunk_id", F.length("content").alias("len"), F.lower("content").alias("low"))
+    return own.mapInArrow(each, f"term string, chunk_id {dict(chunks.dtypes)['chunk_id']}, len int, positions array<int>")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """lexeme, chunk_id, len (characters of the chunk), positions (ascending): stop words take a position but have no posting."""
-    known = stems(chunks)
-    # The length is taken before the terms become rows; beside the generator it would be counted anew for every term.
-    whole = chunks.select("chunk_id", F.length("content").alias("len"), positioned(F.col("content")).alias("terms"))
-    each = whole.select("chunk_id", "len", F.posexplode("terms").alias("pos", "term"))
+    """lexeme, chunk_id, len, positions: stop words take a position but have no posting; terms of one stem have one each.
+
+    A term is stemmed once, however often it occurs.
+    """
+    said = stage(spoken(chunks), "spoken")
+    # Short rows with much work each: they are dealt to all cores, however few bytes they are.
+    terms = stage(said.select("term").distinct().repartition(chunks.sparkSession.sparkContext.defaultParallelism), "terms")
+    known = stage(with_lexemes(terms), "stems")
     few = known.limit(MOST_STEMS + 1).count() <= MOST_STEMS
-    own = each.join(F.broadcast(known) if few else known, "term")
-    return own.groupBy("lexeme", "chunk_id", "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return said.join(F.broadcast(known) if few else known, "term").select("lexeme", "chunk_id", "len", "positions")
 
 
 def bucket_of(lexeme: Column, buckets: int) -> Column:

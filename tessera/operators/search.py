@@ -6,6 +6,7 @@ read a SearchIndex, so no search scans texts. Chunks are (chunk_id, document_id,
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -102,6 +103,8 @@ def text_channel(index: SearchIndex, queries: DataFrame, k: int = TUNING.candida
     # Sent to all tasks up to MOST_TERMS rows; beyond that both sides are dealt by lexeme.
     few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
     hit = posts.join(F.broadcast(asked) if few else asked, "lexeme")
+    # Terms of one stem have postings of their own; here they become one.
+    hit = hit.groupBy("query_id", "chunk_id", "len", "lexeme").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     own = hit.groupBy("query_id", "chunk_id", "len").agg(F.sort_array(F.collect_list(F.struct("lexeme", "positions"))).alias("found"))
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
     # One row for each of at most MOST_QUERIES queries.
@@ -119,10 +122,10 @@ def text_channel(index: SearchIndex, queries: DataFrame, k: int = TUNING.candida
 
 
 def vector_channel(base: DataFrame, queries: DataFrame, k: int = TUNING.candidates) -> DataFrame:
-    """H2: nearest chunks by cosine; base (chunk_id, vec), queries (query_id, vec): MOST_QUERIES at most, as they come to the driver."""
-    checked(queries)
-    vecs = [(r.query_id, list(r.vec)) for r in queries.where("vec IS NOT NULL").collect()]
-    return top_similar(base, vecs, k, "chunk_id").select("query_id", F.col("id").alias("chunk_id"), "rank", "sim")
+    """H2: nearest chunks by cosine; base (chunk_id, vec), queries (query_id, vec). Queries go in blocks of MOST_QUERIES, all of them."""
+    vecs = [(r.query_id, list(r.vec)) for r in queries.where("vec IS NOT NULL").toLocalIterator()]
+    parts = [top_similar(base, vecs[i : i + MOST_QUERIES], k, "chunk_id") for i in range(0, max(len(vecs), 1), MOST_QUERIES)]
+    return functools.reduce(DataFrame.unionByName, parts).select("query_id", F.col("id").alias("chunk_id"), "rank", "sim")
 
 
 def title_channel(index: SearchIndex, chunks: DataFrame, documents: DataFrame, queries: DataFrame, k: int = TUNING.title_candidates) -> DataFrame:
