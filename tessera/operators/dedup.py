@@ -53,6 +53,16 @@ def clusters(pairs: DataFrame, updated: DataFrame, write=stage) -> DataFrame:
     return member.join(direct, ["id", "canonical"], "left").select(F.col("comp").alias("cluster"), "id", "canonical", label.alias("label"))
 
 
+def ordered_clusters(members: DataFrame, documents: DataFrame) -> DataFrame:
+    """Cluster, folders, size of each cluster of members (cluster, id), in the report's order: by the folders, the largest first.
+
+    folders: the distinct folder keys (N1) of the members' paths (documents: id, path), sorted, with " ↔ " in between.
+    """
+    own = members.join(documents.select("id", folder_key(F.col("path")).alias("folder")), "id")
+    folders = F.array_join(F.sort_array(F.collect_set("folder")), " ↔ ").alias("folders")
+    return own.groupBy("cluster").agg(folders, F.count("*").alias("size")).orderBy("folders", F.desc("size"), "cluster")
+
+
 def suffix_suspects(paths: DataFrame, column: str = "path") -> DataFrame:
     """Paths that end in a dash and a number, and the path without that, where it exists."""
     copy = paths.where(F.col(column).rlike(r"-[0-9]+\.md$")).select(F.col(column).alias("copy"), F.regexp_replace(column, r"-[0-9]+\.md$", ".md").alias("original"))

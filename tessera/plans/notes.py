@@ -201,6 +201,14 @@ def dedup_clusters(spark, sf_dir):
     return _clusters(spark, sf_dir).groupBy("cluster").agg(F.count("*").alias("members"), F.max("canonical").alias("canonical"))
 
 
+@query(f"""WITH RECURSIVE {CLUSTERS} SELECT cluster, string_agg(DISTINCT CASE id % 3 WHEN 0 THEN 'technologies' WHEN 1 THEN 'projects/solution_designs' ELSE 'ideas' END, ' ↔ '
+    ORDER BY CASE id % 3 WHEN 0 THEN 'technologies' WHEN 1 THEN 'projects/solution_designs' ELSE 'ideas' END) AS folders, count(*) AS size FROM m GROUP BY cluster""")
+def dedup_order(spark, sf_dir):
+    path = F.when(F.col("id") % 3 == 0, "technologies/x.md").when(F.col("id") % 3 == 1, "projects/solution_designs/y.md").otherwise("ideas/z.md")
+    members = _clusters(spark, sf_dir)
+    return dedup.ordered_clusters(members, members.select("id", path.alias("path")).distinct())
+
+
 @query(f"WITH RECURSIVE {CLUSTERS} SELECT m.id, m.cluster, m.canonical, CASE WHEN m.id = m.canonical THEN 'canon' WHEN e.sim IS NOT NULL THEN 'direct' ELSE 'trans' END AS label FROM m LEFT JOIN e ON e.a = m.id AND e.b = m.canonical")
 def dedup_members(spark, sf_dir):
     label = F.when(F.col("label").isin("canon", "trans"), F.col("label")).otherwise("direct")

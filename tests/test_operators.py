@@ -371,3 +371,21 @@ def test_neighbourhood_of_many_roots(spark):
             want |= {(root, s, t, k): min(far.get(s, 9), far.get(t, 9)) for s, t, k in rows if s in far or t in far}
         got = graph.neighbourhood(edges, roots, hops).collect()
         assert len(got) == len(want) and {(r.root, r.src, r.dst, r.type): r.distance for r in got} == want
+
+
+def test_cluster_order(spark):
+    members = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (2, 21), (2, 22), (3, 30), (3, 31), (4, 40), (4, 41)], "cluster long, id long")
+    paths = {10: "b/x", 11: "a/x", 20: "a/x", 21: "b/y", 22: "b/z", 30: "a/q", 31: "a/r", 40: "projects/solution_designs/p", 41: "projects/other"}
+    got = dedup.ordered_clusters(members, spark.createDataFrame(list(paths.items()), "id long, path string")).collect()
+    assert [(r.cluster, r.folders, r.size) for r in got] == [(3, "a", 2), (2, "a ↔ b", 3), (1, "a ↔ b", 2), (4, "projects ↔ projects/solution_designs", 2)]
+
+
+def test_consumers_knowledge(spark):
+    edges = [("s", "t", "PUBLISHES_TO"), ("c", "t", "SUBSCRIBES_TO"), ("s", "t", "SUBSCRIBES_TO"), ("k1", "c", "USES"), ("s", "k2", "RELATES_TO"), ("k3", "other", "USES"), ("k4", "c", "MENTIONS")]
+    known = [(k, "Decision", "semantic", k, None, None) for k in ("k1", "k2", "k3", "k4")]
+    e = spark.createDataFrame(edges, "src string, dst string, type string")
+    k = spark.createDataFrame(known, "entity_id string, type string, kind string, name string, summary string, origin string")
+    roots = spark.createDataFrame([("s",), ("alone",)], "entity_id string")
+    assert {(r.root, r.source, r.name) for r in graph.impact_knowledge(e, k, roots).collect()} == {("s", "s", "k2"), ("s", "c", "k1")}
+    assert [r.name for r in graph.impact_knowledge(e, k, roots, cap=1).collect()] == ["k2"]  # its own comes first
+    assert [(r.topic, r.consumers, r.n_consumers) for r in graph.publishes(e, roots).collect()] == [("t", "c", 1)]
