@@ -17,7 +17,7 @@ KNOWLEDGE_TYPES = ["Constraint", "Decision", "Problem"]
 KNOWLEDGE_RELATIONS = ["RELATES_TO", "ADDRESSES", "SUPPORTS", "CONTRADICTS", "USES", "EXTRACTED_FROM"]
 CORRECTION_WORDS = ["correction", "corrected", "correcting", "retraction", "retracted", "retracts", "superseded", "supersedes", "invalidated", "wrong"]
 STRICT_FOLDERS = {"technologies": 0.92, "projects/solution_designs": 0.92}
-TRACKED_ROUTES = ["/search", "/context", "/note", "/graph", "/impact", "/entity", "/remember", "/proposal", "/proposals", "/promote", "/changes", "/note/update", "/note/undo", "/note/history", "/link"]
+TRACKED_ROUTES = ["/search", "/context", "/note", "/entity", "/graph", "/impact", "/remember", "/proposal", "/proposals", "/promote", "/changes", "/note/update", "/note/undo", "/note/history", "/link"]
 SKIPPED_FOLDERS = ["node_modules"]
 
 
