@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import ship
+from .cells import similar_pairs as similar_pairs
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -123,37 +124,6 @@ def top_documents(base: DataFrame, queries: list[tuple], above: float, k: int) -
     return own.mapInArrow(part, "query_id long, document_id long, sim double")
 
 
-def similar_pairs(vectors: DataFrame, above: float, blocks: int | None = None, id_col: str = "id", vector: str = "vec") -> DataFrame:
-    """All pairs a < b with cosine > above: a, b, sim.
-
-    Vectors are dealt to hash blocks; each pair of blocks is multiplied in a task of its own, so the work
-    is spread evenly and a task holds two blocks. The number of blocks grows with the rows (4,096 a block).
-    """
-    n = blocks or max(1, -(-vectors.count() // 4096))
-    own = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vec"))
-    own = own.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    dealt = own.withColumn("other", F.explode(others)).select(
-        "id", "vec", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") <= F.col("other")).alias("left")
-    )
-
-    def multiply(table: pa.Table) -> pa.Table:
-        ids, left = table["id"].to_numpy(), table["left"].to_numpy(zero_copy_only=False)
-        rows = np.array(table["vec"].to_pylist(), np.float64)
-        size = np.linalg.norm(rows, axis=1)
-        rows = rows / np.where(size == 0, np.nan, size)[:, None]
-        same = table["i"][0].as_py() == table["j"][0].as_py()
-        one, two = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-        x, y = np.nonzero(np.nan_to_num(rows[one] @ rows[two].T, nan=-2) > above)
-        a, b = ids[one[x]], ids[two[y]]
-        sim = (rows[one[x]] * rows[two[y]]).sum(1)
-        if same:
-            a, b, sim = a[a < b], b[a < b], sim[a < b]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim})
-
-    return dealt.groupBy("i", "j").applyInArrow(multiply, "a long, b long, sim double")
-
-
 class Embedder(Protocol):
     """V1: texts to vectors. A model is loaded once in each worker by whoever implements this."""
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.english import positioned, with_lexemes
 from ..functions.text import analysis_commit, author, normalise_separators, rare_tokens
+from ..functions.cells import VectorIndex
 from ..functions.vectors import top_documents, top_similar
 from ..functions.vocab import TUNING
 from ..sources.io import stage
@@ -128,6 +129,13 @@ def vector_channel(base: DataFrame, queries: DataFrame, k: int = TUNING.candidat
     return functools.reduce(DataFrame.unionByName, parts).select("query_id", F.col("id").alias("chunk_id"), "rank", "sim")
 
 
+def indexed_vector_channel(index: VectorIndex, queries: DataFrame, k: int = TUNING.candidates, exact: bool = False) -> DataFrame:
+    """H2 over an index: the nearest of the cells that it probes, or of all rows with ``exact``."""
+    vecs = [(r.query_id, list(r.vec)) for r in queries.where("vec IS NOT NULL").toLocalIterator()]
+    parts = [index.search(vecs[i : i + MOST_QUERIES], k, exact=exact) for i in range(0, max(len(vecs), 1), MOST_QUERIES)]
+    return functools.reduce(DataFrame.unionByName, parts).select("query_id", F.col("id").alias("chunk_id"), "rank", "sim")
+
+
 def title_channel(index: SearchIndex, chunks: DataFrame, documents: DataFrame, queries: DataFrame, k: int = TUNING.title_candidates) -> DataFrame:
     """H4: first chunks of documents whose title or path has the query (as it is, with dashes, or with separators made equal)."""
     loose = F.trim(normalise_separators(F.col("q")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..api import Knowledge
+from ..functions.cells import vector_index
 from ..functions.english import lexemes_sql
 from ..functions.text import authority, rare_tokens
 from ..functions.vocab import TUNING
@@ -90,12 +91,17 @@ HYBRID = f"""ranked AS (SELECT query_id, document_id, path, position, round(best
 ALL = f"{catalog.ctes('docs', 'chunks')}, {Q}, {VECTOR}, {TEXT}, {TITLE}, {EXACT}, {FUSED}, {COLLAPSED}, {FACTORS}, {HYBRID}"
 
 
-def _vector(spark, sf_dir):
+def _vectors(spark, sf_dir):
+    """(base, asked): the documents' vectors by chunk, and those of the benchmark's items."""
     vecs = load(spark, sf_dir, "embeddings")
     ids = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
     base = vecs.join(ids, "vec_id", "left_semi").select((F.col("vec_id") * 100000).alias("chunk_id"), F.col("embedding").alias("vec"))
     asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(vecs, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("vec"))
-    return search.vector_channel(base, asked)
+    return base, asked
+
+
+def _vector(spark, sf_dir):
+    return search.vector_channel(*_vectors(spark, sf_dir))
 
 
 @query(f"WITH {VECTOR} SELECT query_id, chunk_id, sim, rank FROM vector")
@@ -103,6 +109,13 @@ def search_vector_topk(spark, sf_dir):
     return _vector(spark, sf_dir).select("query_id", "chunk_id", "sim", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {VECTOR} SELECT query_id, chunk_id, sim, rank FROM vector")
+def search_vector_index(spark, sf_dir):
+    base, asked = _vectors(spark, sf_dir)
+    found = search.indexed_vector_channel(vector_index(base, k=TUNING.candidates, id_col="chunk_id"), asked, exact=True)
+    return found.select("query_id", "chunk_id", "sim", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"{catalog.ctes('docs', 'chunks')}, {Q}, {TEXT} SELECT query_id, chunk_id, rank FROM text_ WHERE mode = 'all'")
 def search_text_all(spark, sf_dir):
     return search.text_channel(catalog.search_index(spark, sf_dir), _queries(spark, sf_dir)).where("mode = 'all'").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
