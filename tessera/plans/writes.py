@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, extract, index, lookup
+from ..operators import audit, extract, index, lookup, store
 from ..sources import catalog
-from ..sources.io import load
+from ..sources.io import load, new_path
+from ..sources.tables import Tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,6 +94,34 @@ def semantic_edges(spark, sf_dir):
     return extract.semantic_edges(relations, names.withColumn("entity_id", F.concat(F.lit("e-"), F.lower("name"))))
 
 
+@query("""WITH said AS (SELECT DISTINCT l_suppkey AS d, l_partkey % 50 AS k FROM lineitem),
+    ent AS (SELECT d, k, CASE WHEN k < 25 THEN 'e' || k ELSE sha256('entity:Topic:topic/' || k) END AS e FROM said),
+    edge AS (SELECT e AS source_entity_id, 's' || d AS target_entity_id, 'EXTRACTED_FROM' AS relation_type, d FROM ent WHERE d % 2 = 0
+        UNION ALL SELECT e, 's' || d, 'USES', d FROM ent WHERE d % 2 = 0
+        UNION ALL SELECT a.e, b.e, 'RELATES_TO', a.d FROM ent a JOIN ent b ON a.d = b.d AND b.k = (a.k + 1) % 50)
+    SELECT source_entity_id, target_entity_id, relation_type, arg_min(d::VARCHAR, CASE WHEN d % 4 = 0 THEN 'agents/' ELSE 'notes/' END || d) AS origin FROM edge GROUP BY ALL
+    UNION ALL SELECT 's1', 's' || s_suppkey, 'MENTIONS', NULL FROM supplier""")
+def store_extraction(spark, sf_dir):
+    """Suppliers as documents, the parts of their lines as what was extracted; edges that came from them before go, others stay."""
+    s, text = load(spark, sf_dir, "supplier"), lambda c: F.col(c).cast("string")
+    docs = s.select(text("s_suppkey").alias("document_id"), F.concat(F.when(F.col("s_suppkey") % 4 == 0, "agents/").otherwise("notes/"), text("s_suppkey")).alias("path"), F.col("s_name").alias("title"), F.sha2("s_name", 256).alias("content_hash"))
+    note = s.select(F.concat(F.lit("s"), text("s_suppkey")).alias("entity_id"), F.lit("Service").alias("type"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, text("s_suppkey")).alias("document_id"))
+    old = load(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("k")).distinct().select(F.concat(F.lit("e"), text("k")).alias("entity_id"), F.lit("Topic").alias("type"), F.concat(F.lit("topic-"), text("k")).alias("name"), F.lit(None).cast("string").alias("document_id"))
+    rest = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("summary", "string"), ("confidence", "double"), ("sources", "array<string>"), ("origin", "string"))]
+    edge = lambda kind, made: s.select(F.lit("s1").alias("source_entity_id"), F.concat(F.lit("s"), text("s_suppkey")).alias("target_entity_id"), F.lit(kind).alias("relation_type"), F.lit(1.0).alias("confidence"), made.cast("string").alias("origin_document_id"))
+    tables = Tables(spark, new_path(spark, "tables"))
+    none = spark.createDataFrame([], store.STATE)
+    tables.commit({"entities": note.unionByName(old).select("*", *rest), "relations": edge("MENTIONS", F.lit(None)).unionByName(edge("CALLS_HTTP", F.col("s_suppkey"))), "extraction_state": none})
+    topic = lambda k: F.concat(F.lit("topic/"), k.cast("string"))
+    said = load(spark, sf_dir, "lineitem").select(text("l_suppkey").alias("document_id"), (F.col("l_partkey") % 50).alias("k")).distinct().join(docs, "document_id")
+    thing = F.struct(F.lit("Topic").alias("type"), topic(F.col("k")).alias("name"), F.lit("a part").alias("summary"), F.lit(0.5).alias("confidence"))
+    to = lambda name, kind: F.struct(topic(F.col("k")).alias("source"), name.alias("target"), F.lit(kind).alias("type"), F.lit(0.5).alias("confidence"))
+    links = F.array(to(F.upper("title"), "USES"), to(topic((F.col("k") + 1) % 50), "RELATES_TO"), to(F.lit("nobody"), "USES"))
+    got = said.groupBy("document_id").agg(F.sort_array(F.collect_list(thing)).alias("objects"), F.flatten(F.collect_list(links)).alias("relations"))
+    store.store_extraction(tables, docs, got, "model", catalog.AS_OF)
+    return tables.read("relations").select("source_entity_id", "target_entity_id", "relation_type", F.col("origin_document_id").alias("origin"))
+
+
 _ASKED = ["src3/7.md", "src1/1", "SRC0/", "no such note"]
 
 
