@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import new_path, stage
+from ..sources.io import new_path, ship, stage
 
 #: Rows that centres are learned from, centres, and rounds of learning, at most.
 SAMPLE, MOST_CELLS, ROUNDS = 8192, 1024, 8
@@ -28,7 +28,7 @@ MOST_QUERIES, JUDGES = 10_000, 64
 def unit_rows(column, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, rows): the vectors of an Arrow list column to unit length, without a Python object for each.
 
-    Null, zero, empty and non-finite vectors are left out, as are those of another length than ``dims`` (of the first, where it is None).
+    Null, zero, empty and non-finite vectors, and those whose squares overflow, are left out, as are those of another length than ``dims`` (of the first, where it is None).
     """
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -82,6 +82,7 @@ def learn(vectors: DataFrame, rows: int, cells: int, id_col: str = "id", vector:
 def assign(vectors: DataFrame, centres: np.ndarray, id_col: str = "id", vector: str = "vec") -> DataFrame:
     """id, vec, cell (of the nearest centre), dist (to it)."""
     spark = vectors.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(centres)  # MOST_CELLS rows at most
     dims = centres.shape[1]
 
@@ -166,8 +167,8 @@ def similar_pairs(vectors: DataFrame, above: float, blocks: int | None = None, i
 
     Exact: cells that can't hold a similar pair never meet (see ``meeting``). A cell's rows and its guests are cut into
     blocks of about 4,096 rows, and two blocks are multiplied in a task of their own, so a cell with a third
-    of all rows is spread out as well. Null, zero and non-finite vectors, and null identifiers, are in no pair; nor are vectors of
-    another length than the first. Repeated rows of one identifier pair with others each, but not with each other.
+    of all rows is spread out as well. Vectors that ``unit_rows`` leaves out, and null identifiers, are in no pair; nor are vectors of
+    another length than the first of the sample. Repeated rows of one identifier pair with others each, but not with each other.
     """
     m = meeting(vectors, above, blocks, id_col, vector)
     spark = vectors.sparkSession
@@ -224,6 +225,7 @@ class VectorIndex:
 
     def _compare(self, names, units: np.ndarray, wanted: np.ndarray, k: int) -> DataFrame:
         """Up to k of each task for each query, of the cells that it wants (queries x cells)."""
+        ship(self.spark)
         cells = np.flatnonzero(wanted.any(0)).tolist()
         dims = self.centres.shape[1]
 

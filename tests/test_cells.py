@@ -51,7 +51,7 @@ def test_rows_that_are_in_no_pair(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [1e200, 0.0])]
     df = spark.createDataFrame(rows, "id long, vec array<double>").withColumn("cell", F.lit("mine")).repartition(1).sortWithinPartitions("id")
     got = cells.similar_pairs(df.where("id != 9 OR id IS NULL"), 0.9).collect()
-    assert sorted((r.a, r.b) for r in got) == [(1, 2), (1, 2)] + ([(1, 10), (2, 10), (2, 10)] if (1, 10) in {(r.a, r.b) for r in got} else [])
+    assert sorted((r.a, r.b) for r in got) == [(1, 2), (1, 2)]
     assert cells.similar_pairs(df.limit(0), 0.9).collect() == [] == cells.similar_pairs(df.where("vec IS NULL"), 0.9).collect()
     assert cells.vector_index(df.limit(0)).search([(1, [1.0, 0.0])], 3).collect() == []
 
