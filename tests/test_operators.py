@@ -389,3 +389,29 @@ def test_consumers_knowledge(spark):
     assert {(r.root, r.source, r.name) for r in graph.impact_knowledge(e, k, roots).collect()} == {("s", "s", "k2"), ("s", "c", "k1")}
     assert [r.name for r in graph.impact_knowledge(e, k, roots, cap=1).collect()] == ["k2"]  # its own comes first
     assert [(r.topic, r.consumers, r.n_consumers) for r in graph.publishes(e, roots).collect()] == [("t", "c", 1)]
+
+
+def test_neighbourhood_counts_by_degrees(spark, monkeypatch):
+    """Odd cycles, loops, null ends, several types and over 512 roots; no plan brings a row for each edge and block to an exchange."""
+    rng = random.Random(12)
+    rows = [(f"r{rng.randrange(40)}", f"r{rng.randrange(40)}", rng.choice(["USES", "OWNS"])) for _ in range(70)]
+    rows += [("r1", "r1", "USES"), ("r9", "r9", "OWNS"), (None, "r3", "USES"), ("r4", None, "OWNS"), *[(f"q{i}", f"q{(i + 1) % 5}", "USES") for i in range(5)], *[(f"x{i}", "hub", "OWNS") for i in range(700)]]
+    edges = spark.createDataFrame(rows, "src string, dst string, type string")
+    roots = spark.createDataFrame([(f"{k}{i}",) for k, n in (("r", 40), ("q", 5), ("x", 700)) for i in range(n)] + [(None,), ("alone",)], "entity_id string")
+    made = graph.stage
+    sizes = []
+    monkeypatch.setattr(graph, "stage", lambda df, name="stage": sizes.append((name, df.columns)) or made(df, name))
+    for hops in (1, 2, 3):
+        want = {}
+        for root in {r.entity_id for r in roots.collect()} - {None}:
+            near, now = {root}, {root}
+            for _ in range(1, hops):
+                now = {y for s, t, _ in rows for x, y in ((s, t), (t, s)) if x in now and y is not None} - near
+                near |= now
+            for s, t, k in set(rows):
+                if s in near or t in near:
+                    want[root, k] = want.get((root, k), 0) + 1
+        got = graph.neighbourhood_counts(edges, roots, hops)
+        assert {(r.root, r.type): r.n for r in got.collect()} == want
+    # Blocks are kept for nodes alone, 512 roots a row.
+    assert all(set(c) == {"node", "block", *[f"m{w}" for w in range(8)]} for name, c in sizes if name == "frontier")
