@@ -177,12 +177,34 @@ def consumers(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def impact_knowledge(edges: DataFrame, entities: DataFrame, roots: DataFrame, cap: int | None = TUNING.knowledge_cap) -> DataFrame:
     """(root, source, type, name, summary, origin): what is known about the root and about the direct consumers of its topics.
 
-    The first ``cap`` of each root go by id, the root's own before its consumers'.
+    The first ``cap`` of each root go by id, the root's own before its consumers'. With a cap no row is made for a root and each
+    of its consumers: what each topic's subscribers know first bounds the ids that can be among a root's first, and only what is
+    within the bounds is carried to the topics and on to the roots.
     """
-    own = roots.select(F.col("entity_id").alias("root"), F.col("entity_id").alias("target"), F.lit(0).alias("far"))
-    targets = stage(own.unionByName(consumers(edges, roots).select(F.col("entity_id").alias("root"), F.col("consumer").alias("target"), F.lit(1).alias("far"))).distinct(), "targets")
-    known = attached_knowledge(edges, entities, targets.select(F.col("target").alias("entity_id")).distinct(), cap=None)
-    out = targets.join(known, "target").select("root", F.col("target").alias("source"), "far", "entity_id", "type", "name", "summary", "origin")
+    own = roots.select(F.col("entity_id").alias("root")).distinct()
+    pubs = edges.where("type = 'PUBLISHES_TO'").join(listed(own.select(F.col("root").alias("src"))), "src").select(F.col("src").alias("root"), F.col("dst").alias("topic"))
+    pubs = stage(pubs.distinct(), "publishers")
+    subs = edges.where("type = 'SUBSCRIBES_TO'").select(F.col("dst").alias("topic"), F.col("src").alias("source"))
+    subs = stage(subs.join(pubs.select("topic").distinct(), "topic", "left_semi").distinct(), "subscribers")
+    asked = own.select(F.col("root").alias("entity_id")).unionByName(subs.select(F.col("source").alias("entity_id"))).distinct()
+    known = stage(attached_knowledge(edges, entities, asked, cap).withColumnRenamed("target", "source"), "known")  # no root takes more of one
+    ids = known.select("source", "entity_id").distinct()
+    if cap:
+        least = ids.groupBy("source").agg(F.min("entity_id").alias("entity_id"))
+        heads = subs.join(least, "source").groupBy("topic").agg(F.min(F.struct("entity_id", "source")).alias("head")).select("topic", "head.*")
+        rank = F.dense_rank().over(Window.partitionBy("root").orderBy("entity_id", "source"))
+        firsts = pubs.join(heads, "topic").where("source != root").select("root", "entity_id", "source").withColumn("_n", rank).where(F.col("_n") <= cap)
+        # A root with fewer than cap heads has no bound, nor have its topics.
+        bounds = firsts.groupBy("root").agg(F.max("_n").alias("_n"), F.max("entity_id").alias("bound")).where(F.col("_n") == cap).select("root", "bound")
+        pubs = stage(pubs.join(bounds, "root", "left"), "bounds")
+        tops = pubs.groupBy("topic").agg(F.when(F.count("bound") == F.count("*"), F.max("bound")).alias("bound"))
+        within = subs.join(tops, "topic").join(ids, "source").where("bound IS NULL OR entity_id <= bound").select("topic", "source", "entity_id")
+        far = pubs.join(within, "topic").where("source != root AND (bound IS NULL OR entity_id <= bound)")
+    else:
+        far = pubs.join(subs, "topic").where("source != root").select("root", "source").distinct().join(ids, "source")
+    near = own.join(ids, F.col("root") == F.col("source")).select("root", "source", "entity_id", F.lit(0).alias("far"))
+    targets = near.unionByName(far.select("root", "source", "entity_id", F.lit(1).alias("far")).distinct())
+    out = targets.join(known, ["source", "entity_id"]).select("root", "source", "far", "entity_id", "type", "name", "summary", "origin")
     if cap:
         first = Window.partitionBy("root").orderBy("far", "entity_id", "source")
         out = out.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap).drop("_n")

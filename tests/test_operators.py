@@ -415,3 +415,27 @@ def test_neighbourhood_counts_by_degrees(spark, monkeypatch):
         assert {(r.root, r.type): r.n for r in got.collect()} == want
     # Blocks are kept for nodes alone, 512 roots a row.
     assert all(set(c) == {"node", "block", *[f"m{w}" for w in range(8)]} for name, c in sizes if name == "frontier")
+
+
+def test_first_knowledge_of_many_consumers(spark, monkeypatch):
+    """Caps against all rows, with roots that subscribe to their own topics; what is out of bounds doesn't reach the roots."""
+    rng = random.Random(3)
+    pubs = {(f"s{rng.randrange(12)}", f"t{rng.randrange(60)}") for _ in range(300)} | {("s12", "t1")}
+    subs = {(f"c{rng.randrange(80)}", f"t{rng.randrange(60)}") for _ in range(500)} | {(f"s{i}", f"t{rng.randrange(60)}") for i in range(12) for _ in range(9)}
+    uses = {(f"k{rng.randrange(900):03d}", rng.choice([f"c{rng.randrange(80)}", f"s{rng.randrange(13)}"])) for _ in range(1500)}
+    edges = spark.createDataFrame([(s, t, "PUBLISHES_TO") for s, t in pubs] + [(c, t, "SUBSCRIBES_TO") for c, t in subs] + [(k, c, "USES") for k, c in uses], "src string, dst string, type string")
+    known = spark.createDataFrame([(f"k{i:03d}", "Decision", "semantic", "n", None, None) for i in range(900)], "entity_id string, type string, kind string, name string, summary string, origin string")
+    roots = spark.createDataFrame([(f"s{i}",) for i in range(13)], "entity_id string")
+    made, sizes = graph.stage, {}
+    monkeypatch.setattr(graph, "stage", lambda df, name="stage": sizes.setdefault(name, made(df, name)))
+    want = {}
+    for r in {f"s{i}" for i in range(13)}:
+        near = {(0, k, r) for k, c in uses if c == r}
+        far = {c for s, t in pubs if s == r for c, u in subs if u == t and c != r}
+        want[r] = sorted(near | {(1, k, c) for k, c in uses if c in far})
+    for cap in (1, 5, 30, None):
+        sizes.clear()
+        got = graph.impact_knowledge(edges, known, roots, cap).select("root", "source", "entity_id").collect()
+        assert sorted(map(tuple, got)) == sorted((r, c, k) for r, rows in want.items() for _, k, c in rows[:cap])
+        if cap == 5:
+            assert sizes["bounds"].where("bound IS NOT NULL").count() > 200 and "targets" not in sizes
