@@ -439,3 +439,21 @@ def test_first_knowledge_of_many_consumers(spark, monkeypatch):
         assert sorted(map(tuple, got)) == sorted((r, c, k) for r, rows in want.items() for _, k, c in rows[:cap])
         if cap == 5:
             assert sizes["bounds"].where("bound IS NOT NULL").count() > 200 and "targets" not in sizes
+
+
+def test_candidates_of_text_searches(spark, monkeypatch):
+    """First k of each query among many ties, as by the way without candidates; few rows leave a task where many chunks share a word."""
+    rng = random.Random(6)
+    words = [f"w{i}a" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for i in range(900)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    index = postings.search_index(chunks, chunks.select(F.col("chunk_id").alias("document_id"), F.lit("t").alias("title"), F.lit("p").alias("path")))
+    asked = [(i, " ".join(rng.sample(words, 3))) for i in range(20)] + [(50, '"w1a w2a"'), (51, "w1a OR w2a -w3a"), (52, "w1a nothing"), (53, "w4a"), (54, "-w5a"), (55, '"w1a w2a w3a w4a w5a w6a"')]
+    queries = spark.createDataFrame(asked, "query_id long, q string")
+    monkeypatch.setattr(search, "WEIGHED", 16)
+    made, seen = search._candidates, []
+    monkeypatch.setattr(search, "_candidates", lambda *a: seen.append(made(*a)) or seen[-1])
+    got = sorted(map(tuple, search.text_channel(index, queries, 5).collect()))
+    assert seen[0].where("query_id IN (52, 54)").count() <= 2 * 5 * 4 and seen[0].where("query_id = 53 AND found IS NULL").count() == 0
+    monkeypatch.setattr(search, "MOST_TERMS", 3)
+    assert got == sorted(map(tuple, search.text_channel(index, queries, 5).collect())) and len(seen) == 1 and len(got) > 110
