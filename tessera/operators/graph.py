@@ -291,18 +291,18 @@ def components(edges: DataFrame, write=stage, rounds: int = 60) -> DataFrame:
     lineage stays short, a lost executor costs no round, and joins with a hub can be split. Only a yes or
     no comes to the driver. Self-loops and repeated edges do no harm.
     """
-    own = edges.select("a", "b").where("a != b")
-    own = write(own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    once = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    own = write(edges.where("a != b").select(*once("a", "b")))  # an edge is kept in one direction
     labels, hashed = None, False
     for r in range(rounds):
         hashed |= r % 2 == 1
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(r)) if r % 2 else F.lit(0), F.col(c).alias("v"))
         least = F.least(F.min(rank("b")), rank("a"))["v"]
-        chosen = own.groupBy("a").agg(least.alias("p")).withColumnRenamed("a", "node")
+        chosen = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(least.alias("p")).withColumnRenamed("a", "node")
         hung = write(chosen.join(chosen.select(F.col("node").alias("p"), F.col("p").alias("q")), "p").select("node", F.col("q").alias("p")))
         labels = hung.withColumnRenamed("p", "comp") if labels is None else labels.join(hung.select(F.col("node").alias("comp"), "p"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
         up = lambda c: hung.select(F.col("node").alias(c), F.col("p").alias(f"p{c}"))
-        own = write(own.join(up("a"), "a").join(up("b"), "b").where("pa != pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        own = write(own.join(up("a"), "a").join(up("b"), "b").where("pa != pb").select(*once("pa", "pb")).distinct())
         if not own.limit(1).count():
             break
     else:

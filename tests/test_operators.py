@@ -457,3 +457,11 @@ def test_candidates_of_text_searches(spark, monkeypatch):
     assert seen[0].where("query_id IN (52, 54)").count() <= 2 * 5 * 4 and seen[0].where("query_id = 53 AND found IS NULL").count() == 0
     monkeypatch.setattr(search, "MOST_TERMS", 3)
     assert got == sorted(map(tuple, search.text_channel(index, queries, 5).collect())) and len(seen) == 1 and len(got) > 110
+
+
+def test_components_carry_an_edge_once(spark):
+    sizes = []
+    made = graph.stage
+    pairs = [(i, i + 1) for i in range(50)] + [(9, 3), (60, 61), (5, 5)]
+    got = graph.components(spark.createDataFrame(pairs, "a long, b long"), lambda df: sizes.append(made(df)) or sizes[-1])
+    assert sizes[0].count() == 52 and {r.node: r.comp for r in got.collect()} == {**dict.fromkeys(range(51), 0), 60: 60, 61: 60}
