@@ -12,8 +12,8 @@ from .common import fold, map_arrow, mix, pieces, prefix_hash, raw, release, spa
 
 #: Coordinates of a point: tokens are hashed into so many groups.
 GROUPS = 128
-#: Groups of the finer points that sets of FINE_FROM n-grams or more have besides: on 128 coordinates long texts look alike.
-FINE_GROUPS, FINE_FROM = 2048, 512
+#: Bits of an odd sketch: at least 4 for each n-gram, within these bounds.
+LEAST_BITS, MOST_BITS = 512, 1 << 14
 #: Points of an R-tree leaf, children of an inner node, and rows of a tile (the part of a bucket that one task holds) on average.
 LEAF, FAN, TILE = 32, 8, 512
 #: Frequent n-grams that are kept at most, and documents that are sampled to find them.
@@ -64,16 +64,34 @@ def points(sets: np.ndarray) -> np.ndarray:
     return np.bincount((sets & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
 
 
-def fine_points(sets: np.ndarray) -> bytes | None:
-    """Count vector of a large set, a byte for each coordinate; None for small sets and where a count is over 255."""
-    if len(sets) < FINE_FROM:
-        return None
-    count = np.bincount((sets & np.uint64(FINE_GROUPS - 1)).astype(np.int64), minlength=FINE_GROUPS)
-    return None if count.max() > 255 else count.astype(np.uint8).tobytes()
+def odd_sketch(sets: np.ndarray) -> bytes:
+    """A bit for each group of n-grams: whether the set has an odd number of them. The number of bits is a power of two."""
+    bits = LEAST_BITS
+    while bits < min(4 * len(sets), MOST_BITS):
+        bits *= 2
+    count = np.bincount((sets & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
+def differing(p: bytes, q: bytes) -> int:
+    """N-grams that are in one of two sets only, at least: a bit differs only where their number in its group is odd. Two halves of a sketch make the shorter one."""
+    x, y, n, m = int.from_bytes(p), int.from_bytes(q), len(p), len(q)
+    while n > m:
+        n //= 2
+        x = (x >> 8 * n) ^ (x & ((1 << 8 * n) - 1))
+    while m > n:
+        m //= 2
+        y = (y >> 8 * m) ^ (y & ((1 << 8 * m) - 1))
+    return (x ^ y).bit_count()
+
+
+def close(odd, x, odd2, y, spare) -> np.ndarray:
+    """Which pairs (places x of odd, y of odd2) differ in no more n-grams than ``spare`` allows, as far as the sketches tell."""
+    return np.fromiter((differing(odd[i], odd2[j]) <= s for i, j, s in zip(x.tolist(), y.tolist(), spare.tolist())), bool, len(x))
 
 
 def survivors(one: "Tree", lo: slice, two: "Tree", hi: slice, same: bool, percent: int):
-    """Pairs of points from two leaves that the summed minima of their coordinates can't rule out."""
+    """Pairs of points from two leaves that neither the summed minima of their coordinates nor their odd sketches, where there are any, can rule out."""
     v, w, n, m = one.vec[lo], two.vec[hi], one.n[lo], two.n[hi]
     need = least_overlap(n[:, None], m[None, :], percent)
     able = (one.comp[lo][:, None] != two.comp[hi][None, :]) & (np.minimum(n[:, None], m[None, :]) >= need)
@@ -83,6 +101,9 @@ def survivors(one: "Tree", lo: slice, two: "Tree", hi: slice, same: bool, percen
     if len(x):
         ok = np.minimum(v[x], w[y]).sum(1) >= need[x, y]
         x, y = x[ok], y[ok]
+        if one.odd is not None:
+            ok = close(one.odd[lo], x, two.odd[hi], y, n[x] + m[y] - 2 * need[x, y])
+            x, y = x[ok], y[ok]
     return one.ids[lo][x], two.ids[hi][y]
 
 
@@ -92,9 +113,10 @@ class Tree:
     A node has the largest value of each coordinate below it, and its ranges of sizes and components.
     """
 
-    def __init__(self, ids, n, comp, vec):
+    def __init__(self, ids, n, comp, vec, odd=None):
         order = np.lexsort((vec[:, 0], n, comp))
         self.ids, self.n, self.comp, self.vec = ids[order], n[order], comp[order], vec[order]
+        self.odd = None if odd is None else odd[order]
         self.levels = [self._above((self.vec, self.n, self.n, self.comp, self.comp), LEAF)]
         while len(self.levels[-1][0]) > 1:
             self.levels.append(self._above(self.levels[-1], FAN))
@@ -170,16 +192,20 @@ def _pair_batch(a, b):
     return pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["a", "b"])
 
 
+def _sketches(column) -> np.ndarray:
+    return np.array([*column.to_pylist(), None], object)[:-1]
+
+
 def _vectors(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, GROUPS)
 
 
-INFO = ("n", "vec", "fine", "rep_id", "rep_hash")
+INFO = ("n", "vec", "odd", "rep_id", "rep_hash")
 NEAR = "a long, b long, a_id long, a_hash long, b_id long, b_hash long"
 
 
 def bounded(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) that sizes and summed minima, of the points and the finer ones, can't rule out, with where their texts are (NEAR)."""
+    """pairs (a, b) that sizes, summed minima and odd sketches can't rule out, with where their texts are (NEAR)."""
     side = lambda k: info.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in INFO])
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     joined = joined.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
@@ -191,10 +217,8 @@ def bounded(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
             na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("a_n", "b_n"))
             need = least_overlap(na, nb, percent)
             ok = np.minimum(_vectors(batch.column("a_vec")), _vectors(batch.column("b_vec"))).sum(1) >= need
-            for k in np.flatnonzero(ok).tolist():
-                p, q = batch.column("a_fine")[k].as_py(), batch.column("b_fine")[k].as_py()
-                if p is not None and q is not None:
-                    ok[k] = int(np.minimum(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)).sum()) >= need[k]
+            at = np.flatnonzero(ok)
+            ok[at] = close(_sketches(batch.column("a_odd")), at, _sketches(batch.column("b_odd")), at, (na + nb - 2 * need)[at])
             names = ["a", "b", "a_rep_id", "a_rep_hash", "b_rep_id", "b_rep_hash"]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in names], names=["a", "b", "a_id", "a_hash", "b_id", "b_hash"])
 
@@ -202,7 +226,10 @@ def bounded(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
 
 def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs of different components inside each tile; rows (token, tile, id, n, comp, vec) come sorted by tile."""
+    """Surviving pairs of different components inside each tile; rows (token, tile, id, n, comp, vec, odd) come sorted by tile.
+
+    Pairs that the count vectors let through are held against the odd sketches before they leave the task: near misses of a large group stay here.
+    """
 
     def join(batches):
         seen: set = set()  # long texts meet in hundreds of buckets; a task passes a pair on once
@@ -234,7 +261,7 @@ def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     def work(table, cut):
         ids, n, comp = table["id"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["comp"].to_numpy()
-        vec = _vectors(table["vec"])  # of the tiles in one batch
+        vec, odd = _vectors(table["vec"]), _sketches(table["odd"])  # of the tiles in one batch
         mark = np.concatenate([[0], cut, [len(ids)]]).astype(np.int64)
         size = np.diff(mark)
         for m in np.unique(size[(size > 1) & (size <= 8)]):  # small tiles of one size at once
@@ -248,14 +275,16 @@ def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
             for k in range(0, len(i), AT_ONCE):
                 s = slice(k, k + AT_ONCE)
                 ok[s] = np.minimum(vec[i[s]], vec[j[s]]).sum(1) >= need[s]
+            i, j, need = i[ok], j[ok], need[ok]
+            ok = close(odd, i, odd, j, n[i] + n[j] - 2 * need)
             if ok.any():
                 yield _pair_batch(ids[i[ok]], ids[j[ok]])
         for a, b in zip(mark[:-1][size > 8], mark[1:][size > 8]):
-            x, y = tree_join(Tree(ids[a:b], n[a:b], comp[a:b], vec[a:b]), percent)
+            x, y = tree_join(Tree(ids[a:b], n[a:b], comp[a:b], vec[a:b], odd[a:b]), percent)
             if len(x):
                 yield _pair_batch(x, y)
 
-    return map_arrow(rows.select("token", "tile", "id", "n", "comp", "vec"), join, PAIRS)
+    return map_arrow(rows.select("token", "tile", "id", "n", "comp", "vec", "odd"), join, PAIRS)
 
 
 DIRECTORY = "token long, tile long, top binary, least int, most int, comp_lo long, comp_hi long"
@@ -268,10 +297,10 @@ def cross_tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     only where the directory's bound lets a pair of them through, and tiles that are all of one component
     never meet another of it. Two tiles are then descended together.
     """
-    packed = stage(rows.groupBy("token", "tile").agg(F.collect_list(F.struct("id", "n", "comp", "vec")).alias("of")), "tiles")
+    packed = stage(rows.groupBy("token", "tile").agg(F.collect_list(F.struct("id", "n", "comp", "vec", "odd")).alias("of")), "tiles")
 
     def tree(of) -> Tree:
-        return Tree(of.field("id").to_numpy(), of.field("n").to_numpy().astype(np.int64), of.field("comp").to_numpy(), _vectors(of.field("vec")))
+        return Tree(of.field("id").to_numpy(), of.field("n").to_numpy().astype(np.int64), of.field("comp").to_numpy(), _vectors(of.field("vec")), _sketches(of.field("odd")))
 
     def roots(batches):
         for batch in batches:
@@ -388,7 +417,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     2. Buckets that still hold several components are searched by R-tree for pairs of different
        components: buckets in tiles of about 512 points (a component that fills a tile has its own), a tree
        for each tile and a directory of the trees' roots; summed minima of coordinates rule out
-       nodes, then points; what is left is verified on the sets. Nothing is done where no such bucket is left.
+       nodes, then points, and odd sketches pairs of points; what is left is verified on the sets. Nothing is done where no such bucket is left.
     """
     rows = docs.count()
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(docs, n, rows))  # MOST_FREQUENT numbers at most
@@ -398,7 +427,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         for batch in batches:
             known: set[tuple[int, int]] = set()  # of this batch: copies need their buckets once
             for part in pieces(batch, "text"):
-                count, key, key2, first, vec, fine = [], [], [], [], [], []
+                count, key, key2, first, vec, odd = [], [], [], [], [], []
                 for grams, seq, seq2 in shingle_sets(part.column("text"), n):
                     count.append(len(grams))
                     key.append(seq if len(grams) else None)
@@ -406,7 +435,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                     if not len(grams) or (seq, seq2) in known:
                         first.append(None)
                         vec.append(None)
-                        fine.append(None)
+                        odd.append(None)
                         continue
                     known.add((seq, seq2))
                     if len(often):
@@ -417,15 +446,15 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                     take = len(grams) - -(-percent * len(grams) // 100) + 1
                     first.append(ordered[:take].astype(np.int64))
                     vec.append(points(grams).tobytes())
-                    fine.append(fine_points(grams))
-                cols = [pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.array(count, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(vec, pa.binary()), pa.array(fine, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *cols], names=["doc_id", "text_hash", "id", "id2", "n", "first", "vec", "fine"])
+                    odd.append(odd_sketch(grams))
+                cols = [pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.array(count, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(vec, pa.binary()), pa.array(odd, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *cols], names=["doc_id", "text_hash", "id", "id2", "n", "first", "vec", "odd"])
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    whole = stage(map_arrow(keyed, describe, "doc_id long, text_hash long, id long, id2 long, n int, first array<long>, vec binary, fine binary"), "described")
+    whole = stage(map_arrow(keyed, describe, "doc_id long, text_hash long, id long, id2 long, n int, first array<long>, vec binary, odd binary"), "described")
 
     def classes(described):
-        point = F.first(F.when(F.col("vec").isNotNull(), F.struct("n", "vec", "fine", "first")), ignorenulls=True)
+        point = F.first(F.when(F.col("vec").isNotNull(), F.struct("n", "vec", "odd", "first")), ignorenulls=True)
         rep = F.min(F.struct(F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")))
         each = described.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"), rep.alias("rep"), point.alias("point"), F.min("id2").alias("lo2"), F.max("id2").alias("hi2"))
         return stage(each.select("id", "doc_id", "rep.*", "point.*", "lo2", "hi2"), "classes")
@@ -483,7 +512,7 @@ def between(rows: DataFrame, info: DataFrame, largest: int, percent: int) -> Dat
         full = rows.where(F.col("m") > TILE).groupBy("token", "comp").agg(F.count("*").alias("own")).where(F.col("own") > TILE)
         rows = rows.join(stage(full, "full"), ["token", "comp"], "left")
         tile = F.when(F.col("own").isNotNull(), F.xxhash64("comp", F.pmod(F.xxhash64("id"), parts("own")))).when(F.col("m") > TILE, F.pmod(F.xxhash64("comp"), parts("m"))).otherwise(tile)
-    tiled = rows.withColumn("tile", tile).join(info.select("id", "n", "vec"), "id").select("token", "tile", "m", "id", "n", "comp", "vec")
+    tiled = rows.withColumn("tile", tile).join(info.select("id", "n", "vec", "odd"), "id").select("token", "tile", "m", "id", "n", "comp", "vec", "odd")
     tiled = stage(tiled, "tiled")
     pairs = tile_pairs(tiled.repartition("token", "tile").sortWithinPartitions("token", "tile"), percent)
     if largest > TILE:

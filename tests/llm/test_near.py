@@ -282,3 +282,27 @@ def test_repeats_of_one_identifier(make):
     got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(make(rows), 100).collect())
     want = sorted(x[:2] for x in covered_by(rows, 100))
     assert got == want
+
+
+def test_odd_sketches_lose_no_pair():
+    rng = np.random.default_rng(5)
+    for n, m, both in [(0, 5, 0), (40, 40, 40), (300, 320, 290), (700, 2500, 600), (5000, 4800, 4700), (30_000, 29_000, 28_000)]:
+        h = rng.integers(0, 1 << 63, n + m - both).astype(np.uint64)
+        a, b = ngram_join.odd_sketch(h[:n]), ngram_join.odd_sketch(h[n - both :])
+        assert ngram_join.differing(a, b) == ngram_join.differing(b, a) <= n + m - 2 * both
+
+
+@pytest.mark.parametrize("tile", [512, 16])
+def test_near_misses_stay_in_their_tile(make, monkeypatch, tile):
+    # Every two have a Jaccard index of 0.75 by their n-grams.
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(400)]
+    rows = [(i, " ".join(base + [f"x{i}y{k}" for k in range(62)])) for i in range(60)]
+    rows.append((60, rows[0][1] + " more"))
+    made = []
+    pairs = ngram_join.between
+    monkeypatch.setattr(ngram_join, "between", lambda *a: made.append(pairs(*a)) or made[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_classes(make(rows), 5, 80).collect()}
+    assert got == brute(rows, 5, 80) and got[60][1] == 0
+    assert sum(m.count() for m in made) < 60
