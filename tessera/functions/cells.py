@@ -8,6 +8,7 @@ changes how much work there is, never a result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,8 @@ from ..sources.io import new_path, ship, stage
 SAMPLE, MOST_CELLS, ROUNDS = 8192, 1024, 8
 #: Rows of a block (half of what one task multiplies) and of a file of the index.
 BLOCK, FILE_ROWS = 4096, 100_000
+#: Rows that a task holds against all centres, or all rows of another block, at a time.
+STRIP = 256
 #: Queries that an index answers in one batch; vectors that choose the number of probes.
 MOST_QUERIES, JUDGES = 10_000, 64
 
@@ -89,10 +92,11 @@ def assign(vectors: DataFrame, centres: np.ndarray, id_col: str = "id", vector:
     def run(batches):
         for batch in batches:
             at, rows = unit_rows(batch.column("vec"), dims)
-            d = distances(rows, shared.value)
-            cell = d.argmin(1) if len(d) else np.zeros(0, np.int64)
-            kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell], pa.float64())], names=["id", "vec", "cell", "dist"])
+            for k in range(0, len(at), STRIP):
+                d = distances(rows[k : k + STRIP], shared.value)
+                cell = d.argmin(1)
+                kept = batch.take(pa.array(at[k : k + STRIP], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell], pa.float64())], names=["id", "vec", "cell", "dist"])
 
     own = vectors.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     if not len(centres):
@@ -146,16 +150,18 @@ def meeting(vectors: DataFrame, above: float, cells: int | None = None, id_col:
         centre, far = shared.value
         number, between = np.arange(len(centre)), distances(centre, centre)
         for batch in batches:
-            at, rows = unit_rows(batch.column("vec"), dims)
-            home = batch.column("cell").to_numpy()[at]
-            d = distances(rows, centre)
-            ok = (d <= far[None, :] + reach) & (d**2 - d[np.arange(len(d)), home][:, None] ** 2 <= 2 * between[home] * reach + 1e-6)
-            ok &= (home[:, None] < number[None, :]) == ((home[:, None] + number[None, :]) % 2 == 0)
-            ok[np.arange(len(d)), home] = False
-            x, y = np.nonzero(ok)
-            for k in range(0, len(x), BLOCK):  # a batch can make many guests
-                part = batch.take(pa.array(at[x[k : k + BLOCK]], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), pa.array(y[k : k + BLOCK], pa.int32())], names=["id", "vec", "cell"])
+            own, units = unit_rows(batch.column("vec"), dims)
+            for s in range(0, len(own), STRIP):
+                at = own[s : s + STRIP]
+                home = batch.column("cell").to_numpy()[at]
+                d = distances(units[s : s + STRIP], centre)
+                ok = (d <= far[None, :] + reach) & (d**2 - d[np.arange(len(d)), home][:, None] ** 2 <= 2 * between[home] * reach + 1e-6)
+                ok &= (home[:, None] < number[None, :]) == ((home[:, None] + number[None, :]) % 2 == 0)
+                ok[np.arange(len(d)), home] = False
+                x, y = np.nonzero(ok)
+                for k in range(0, len(x), BLOCK):  # a strip can make many guests
+                    part = batch.take(pa.array(at[x[k : k + BLOCK]], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), pa.array(y[k : k + BLOCK], pa.int32())], names=["id", "vec", "cell"])
 
     guests = own.select("id", "vec", "cell").mapInArrow(invite, "id long, vec array<double>, cell int")
     visits = guests.groupBy("cell").count().collect()
@@ -183,17 +189,22 @@ def similar_pairs(vectors: DataFrame, above: float, blocks: int | None = None, i
     guests = m.guests.join(size, "cell").withColumn("i", nth("g")).withColumn("j", F.explode(upto("h"))).select("id", "vec", "cell", F.lit(1).alias("kind"), "i", "j", F.lit(True).alias("left"))
     dealt = inside.unionByName(hosts).unionByName(guests)
 
-    def multiply(table: pa.Table) -> pa.Table:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         at, rows = unit_rows(table["vec"])
         ids, left = table["id"].to_numpy()[at], table["left"].to_numpy()[at]
         same = table["kind"][0].as_py() == 0 and table["i"][0].as_py() == table["j"][0].as_py()
         one, two = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-        x, y = np.nonzero(rows[one] @ rows[two].T > above)
-        a, b = ids[one[x]], ids[two[y]]
-        sim = (rows[one[x]] * rows[two[y]]).sum(1)
-        ok = a < b if same else a != b
-        a, b, sim = a[ok], b[ok], sim[ok]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim})
+        other = rows[two].T
+        for s in range(0, len(one), STRIP):  # pairs leave as they are found, so a task holds no more than a strip's
+            x, y = np.nonzero(rows[one[s : s + STRIP]] @ other > above)
+            a, b = ids[one[s + x]], ids[two[y]]
+            ok = a < b if same else a != b
+            x, y, a, b = one[s + x[ok]], two[y[ok]], a[ok], b[ok]
+            for k in range(0, len(a), 1 << 14):
+                p = slice(k, k + (1 << 14))
+                sim = (rows[x[p]] * rows[y[p]]).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[p], b[p]), pa.int64()), pa.array(np.maximum(a[p], b[p]), pa.int64()), pa.array(sim)], names=["a", "b", "sim"])
 
     return dealt.groupBy("cell", "kind", "i", "j").applyInArrow(multiply, "a long, b long, sim double")
 

@@ -1,6 +1,7 @@
 """Exact similarity join and vector index, against brute force."""
 
 import math
+import os
 import re
 
 import numpy as np
@@ -94,3 +95,21 @@ def test_a_search_opens_only_its_cells(spark):
     assert files <= {str(c) for c in order}
     assert re.search(r"PartitionFilters: \[cell#\d+ IN", made.read(order)._jdf.queryExecution().toString())
     assert made.share(order) < 0.5
+
+
+def test_tasks_hold_few_rows_against_all_centres(spark, monkeypatch):
+    driver, real = os.getpid(), cells.distances
+
+    def strips(rows, centres):
+        assert os.getpid() == driver or rows is centres or len(rows) <= 256
+        return real(rows, centres)
+
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 4)))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>").coalesce(1)
+    monkeypatch.setattr(cells, "distances", strips)
+    got = {(r.a, r.b) for r in cells.similar_pairs(df, 0.9).collect()}
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    x, y = np.nonzero(np.triu(unit @ unit.T > 0.9, 1))
+    assert got == set(zip(x.tolist(), y.tolist()))
