@@ -465,3 +465,14 @@ def test_components_carry_an_edge_once(spark):
     pairs = [(i, i + 1) for i in range(50)] + [(9, 3), (60, 61), (5, 5)]
     got = graph.components(spark.createDataFrame(pairs, "a long, b long"), lambda df: sizes.append(made(df)) or sizes[-1])
     assert sizes[0].count() == 52 and {r.node: r.comp for r in got.collect()} == {**dict.fromkeys(range(51), 0), 60: 60, 61: 60}
+
+
+def test_a_search_makes_the_parts_it_reads(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 1, 0, "built with v1.2.3 here"), (2, 2, 0, "nothing")], "chunk_id long, document_id long, chunk_index int, content string")
+    docs = chunks.select("document_id", F.lit("t").alias("title"), F.lit("p").alias("path"))
+    index = postings.search_index(chunks, docs)
+    got = search.exact_channel(index, chunks, spark.createDataFrame([(7, "about v1.2.3")], "query_id long, q string")).collect()
+    assert [(r.query_id, r.chunk_id) for r in got] == [(7, 1)] and "terms" not in vars(index)
+    assert postings.read_index(spark, index.terms).where("lexeme = 'noth'").count() == 1
+    whole = postings.search_index(chunks, docs, str(tmp_path / "index"))
+    assert {"terms", "names", "runs", "grams"} <= set(vars(whole))
