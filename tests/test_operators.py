@@ -476,3 +476,11 @@ def test_a_search_makes_the_parts_it_reads(spark, tmp_path):
     assert postings.read_index(spark, index.terms).where("lexeme = 'noth'").count() == 1
     whole = postings.search_index(chunks, docs, str(tmp_path / "index"))
     assert {"terms", "names", "runs", "grams"} <= set(vars(whole))
+
+
+def test_edges_are_made_distinct_by_numbers(spark, sf):
+    from tessera.sources import catalog
+
+    plan = catalog.edges(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(keys) == 2 and all("partkey" in line and "src" not in line for line in keys)
