@@ -484,3 +484,10 @@ def test_edges_are_made_distinct_by_numbers(spark, sf):
     plan = catalog.edges(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
     assert len(keys) == 2 and all("partkey" in line and "src" not in line for line in keys)
+
+
+def test_terms_of_few_chunks_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(postings, "TOGETHER", 2)
+    chunks = spark.createDataFrame([(i, f"red{i} well-known red{i}") for i in range(5)], "chunk_id long, content string").coalesce(1)
+    got = {(r.chunk_id, r.term): r.positions for r in postings.spoken(chunks).collect()}
+    assert got == {k: v for i in range(5) for k, v in {(i, f"red{i}"): [0, 4], (i, "well-known"): [1], (i, "well"): [2], (i, "known"): [3]}.items()}
