@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import ngram_join, suffix_dedup
+from tessera.llm import ngram_join, queries, suffix_dedup
 from tessera.llm.decontaminate import leaks, slot_values, template
 
 
@@ -276,6 +276,25 @@ def test_first_copy_stays(make, monkeypatch, contexts):
     assert got == first_kept(rows, 60) and sum(got.values()) > 1000
 
 
+def test_planted_passages(spark, sf, tmp_path):
+    # Passages of over 50 words: of 400 bytes or more they go from every document, shorter ones stay. n_bytes tells neither, as it is the input's size.
+    rng = random.Random(8)
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    alone = [k for k, got in enumerate(covered_by(rows, 400)) if not got[1]]
+    long, short = (" ".join("".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(55)) for size in (8, 5))
+    assert len(short) < 400 < len(long) and len(alone) > 100
+    for passage, where in ((long, alone[:30]), (short, alone[30:60])):
+        for k in where:
+            i, text = rows[k]
+            rows[k] = (i, f"{text[: len(text) // 2]} {passage} {text[len(text) // 2 :]}")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op8_suffix_repeats(spark, str(tmp_path)).collect()}
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (got[i] for i, _ in rows)] == covered_by(rows, 400)
+    assert all(got[i].n_bytes == len(t.encode()) for i, t in rows)
+    assert all(got[rows[k][0]].n_spans == 1 and len(long) + 2 <= got[rows[k][0]].n_removed < len(long) + 20 for k in alone[:30])
+    assert all(got[rows[k][0]].n_removed == 0 for k in alone[30:])
+
+
 def test_repeats_of_one_identifier(make):
     words = [f"w{i}" for i in range(200)]
     rows = [(1, " ".join(words)), (1, " ".join(words[100:]) + " tail"), (None, " ".join(words[:120])), (None, "short"), (1, "short")]
