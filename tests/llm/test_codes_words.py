@@ -4,11 +4,12 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import codebooks, spelling, toxicity
+from tessera.llm import codebooks, queries, spelling, toxicity
 
 VECTORS = "vec_id long, embedding array<float>, label int, part int, code string, error int"
 
@@ -54,6 +55,15 @@ def test_codebooks_against_plain_integers(spark):
     assert {r.codebooks_sha256 for r in got} == {codebooks.digest([np.array(b) for b in books])}
 
 
+def test_codebooks_match_sql(spark, sf):
+    cols = "vec_id, code, error, label_error, codebooks_sha256"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = con.execute(f"SELECT {cols} FROM ({queries.ORACLE_SQL['op11_integer_codebooks']})").fetchall()
+    got = [tuple(r) for r in queries.op11_integer_codebooks(spark, sf).select(*cols.split(", ")).collect()]
+    assert sorted(got) == sorted(want) and len(got) == con.execute("SELECT count(*) FROM embeddings").fetchone()[0]
+
+
 def test_codebooks_few_none_and_other_lengths(spark):
     rows = [(1, [1.0] * 8, None), (2, [1.0] * 8, 7), (3, [1.0] * 9, 7)]
     got = {r.vec_id: r for r in codebooks.vector_codes(vectors(spark, rows)).collect()}
