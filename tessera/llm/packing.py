@@ -32,7 +32,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = 4
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_arrow(docs.select("doc_id", "text"), cut, PIECES)
+    return map_arrow(docs.select("doc_id", "text"), cut, PIECES, keep=True)
 
 
 def lower_bound(length: np.ndarray, capacity: int) -> int:

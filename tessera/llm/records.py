@@ -93,7 +93,7 @@ def write_records(
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("ids", pa.int64()), ("width", pa.int32())]))
 
     ordered = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
-    return stage(map_arrow(ordered, write, MANIFEST), "manifest")
+    return stage(map_arrow(ordered, write, MANIFEST, keep=True), "manifest")
 
 
 def read_records(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import pieces
+from .common import kept, pieces
 
 #: Words kept with their ids in each worker. More words are encoded when they turn up again.
 MOST_WORDS = 500_000
@@ -90,12 +90,12 @@ class Encoder:
                 known.update(zip(other, self._whole([w.decode() for w in other])))
             known.update((w, known[a] + known[b]) for w, a, b in two)
         out = [b"".join(map(known.__getitem__, r)) for r in runs]
-        if len(known) > MOST_WORDS:
-            for w in fresh[: len(known) - MOST_WORDS]:
-                del known[w]
+        for _ in range(len(known) - MOST_WORDS):  # the newest go, with the parts of words that came along
+            known.popitem()
         return out
 
 
+@kept
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -106,7 +106,7 @@ def encoded(batches, path: str, end_id: int, id_col: str = "doc_id", text_col: s
     last = int(end_id).to_bytes(4, "little")
     coder = encoder(path)
     for batch in batches:
-        for part in pieces(batch, text_col, 1 << 21):
+        for part in pieces(batch, text_col, 1 << 20):
             texts = [t or b"" for t in part.column(text_col).cast("binary").to_pylist()]
             yield part.column(id_col), [x + last for x in coder.encode(texts)]
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import packing, records, tokens, warc
-from tessera.llm.common import new_path
+from tessera.llm.common import new_path, trimmed
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +31,21 @@ def test_encoder_special_cases(coder):
         assert np.frombuffer(coder.encode([t])[0], "<u4").tolist() == plain(coder, t)
 
 
+def test_encoder_keeps_a_bounded_number_of_words(coder, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 50)
+    own = tokens.Encoder(tokens.default_vocabulary())
+    name = lambda k: "".join(chr(97 + k // 26**p % 26) for p in range(4))
+    for texts in ([" ".join(f"{name(k)}!{'?' * (k % 5)}" for k in range(i, i + 300)) for i in (0, 100)], ["x1y2 aaaa aaaa!"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [plain(coder, t) for t in texts]
+        assert len(own.known) <= 50
+
+
+def test_a_task_without_tokens_gives_the_encoder_up():
+    tokens.encoder(tokens.default_vocabulary())
+    assert list(trimmed(iter, keep=True)([1])) == [1] and tokens.encoder.cache_info().currsize == 1
+    assert list(trimmed(iter)([1])) == [1] and tokens.encoder.cache_info().currsize == 0
+
+
 def test_records_round_trip(spark, odd, coder):
     folder = new_path(spark, "records")
     manifest = records.write_records(odd, folder)
