@@ -491,3 +491,49 @@ def test_terms_of_few_chunks_at_a_time(spark, monkeypatch):
     chunks = spark.createDataFrame([(i, f"red{i} well-known red{i}") for i in range(5)], "chunk_id long, content string").coalesce(1)
     got = {(r.chunk_id, r.term): r.positions for r in postings.spoken(chunks).collect()}
     assert got == {k: v for i in range(5) for k, v in {(i, f"red{i}"): [0, 4], (i, "well-known"): [1], (i, "well"): [2], (i, "known"): [3]}.items()}
+
+
+def test_neighbourhood_counts_with_hubs(spark, monkeypatch):
+    """What hubs reach is counted by class: against a search from each root, with hubs among the roots, loops at hubs, hubs beside hubs, null ends; no rows for a hub's blocks times its neighbours."""
+    monkeypatch.setattr(graph, "HUB", 20)
+    monkeypatch.setattr(graph, "OPENED", 16)
+    made, sizes = graph.stage, {}
+    monkeypatch.setattr(graph, "stage", lambda df, name="stage": sizes.setdefault(name, []).append(made(df, name)) or sizes[name][-1])
+    rng = random.Random(21)
+    kinds = ["USES", "OWNS"]
+    rows = [(f"x{i}", f"h{rng.randrange(4)}", rng.choice(kinds)) for i in range(1200) if i % 5] + [(f"h{rng.randrange(4)}", f"x{i}", "OWNS") for i in range(0, 1200, 3)]
+    rows += [(f"x{rng.randrange(1200)}", f"x{rng.randrange(1200)}", rng.choice(kinds)) for _ in range(700)] + [(f"x{i}", f"y{rng.randrange(90)}", "USES") for i in range(0, 1200, 2)]
+    rows += [("h1", "h2", "USES"), ("h0", "h0", "OWNS"), ("x7", "x7", "USES"), ("x7", "x7", "USES"), ("h3", "h0", "USES"), (None, "h1", "USES"), ("x3", None, "OWNS"), (None, "x3", "OWNS"), (None, None, "USES"), ("y1", "h2", "OWNS")]
+    edges = spark.createDataFrame(rows, "src string, dst string, type string")
+    names = [f"x{i}" for i in range(1200)] + ["h0", "h1", "h3", "y1", "alone", None]
+    beside = {}
+    for s, t, _ in rows:
+        for x, y in ((s, t), (t, s)):
+            if x is not None:
+                beside.setdefault(x, set()).add(y)
+    every = set(rows)
+    at = {}
+    for e in every:
+        for x in e[:2]:
+            at.setdefault(x, set()).add(e)
+    want = {}
+    for root in set(names) - {None}:
+        near = {root}
+        for _ in range(2):
+            near |= {y for x in near for y in beside.get(x, ()) if y is not None}
+        for e in set().union(*(at.get(x, set()) for x in near)):
+            want[root, e[2]] = want.get((root, e[2]), 0) + 1
+    roots = spark.createDataFrame([(n,) for n in names], "entity_id string")
+    for most in (256, 2):
+        sizes.clear()
+        monkeypatch.setattr(graph, "MOST_HUBS", most)
+        got = graph.neighbourhood_counts(edges, roots, 3).collect()
+        assert len(got) == len(want) and {(r.root, r.type): r.n for r in got} == want
+        assert sizes["hubs"][0].count() >= 2
+    monkeypatch.setattr(graph, "MOST_HUBS", 256)
+    star = spark.createDataFrame([(f"x{i}", "hub", "USES") for i in range(3000)], "src string, dst string, type string")
+    sizes.clear()
+    got = graph.neighbourhood_counts(star, star.select(F.col("src").alias("entity_id")), 3).collect()
+    assert {r.root: r.n for r in got} == dict.fromkeys((f"x{i}" for i in range(3000)), 3000)
+    # 3,000 nodes in 6 blocks of roots or more: a row each is for themselves, not for all blocks.
+    assert sum(t.count() for t in sizes["far"]) <= 2 * 3100
