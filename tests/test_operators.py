@@ -537,3 +537,33 @@ def test_neighbourhood_counts_with_hubs(spark, monkeypatch):
     assert {r.root: r.n for r in got} == dict.fromkeys((f"x{i}" for i in range(3000)), 3000)
     # 3,000 nodes in 6 blocks of roots or more: a row each is for themselves, not for all blocks.
     assert sum(t.count() for t in sizes["far"]) <= 2 * 3100
+
+
+def test_edges_by_numbers(spark, sf):
+    """The numbers of the edges' ends stand for the same edges as the texts."""
+    from tessera.sources import catalog
+
+    text = lambda c: F.concat(F.element_at(F.array(*[F.lit(k) for k in catalog.LETTERS]), F.pmod(c, F.lit(8)).cast("int") + 1), F.shiftright(c, 3).cast("string")).alias(c)
+    got = catalog.edge_numbers(spark, sf).distinct().select(text("src"), text("dst"), "type")
+    want = catalog.edges(spark, sf)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.count()
+
+
+def test_neighbourhood_counts_without_odd_cycles(spark, monkeypatch):
+    """Roots, topics and contexts: no edge is looked at for equally far ends, and contexts with many members give no row for a member and each block of roots."""
+    monkeypatch.setattr(graph, "HUB", 100)
+    made, sizes = graph.stage, {}
+    monkeypatch.setattr(graph, "stage", lambda df, name="stage": sizes.setdefault(name, []).append(made(df, name)) or sizes[name][-1])
+    rows = [(f"s{i}", f"n{i % 3}", "BELONGS_TO") for i in range(2400)] + [(f"n{i}", "r0", "BELONGS_TO") for i in range(3)] + [(f"s{i}", f"p{j}", "PUBLISHES_TO") for i in range(2400) for j in (i // 8, i // 8 + 1)]
+    edges = spark.createDataFrame(rows + [("c1", "p1", "SUBSCRIBES_TO")], "src string, dst string, type string")
+    got = graph.neighbourhood_counts(edges, spark.createDataFrame([(f"s{i}",) for i in range(2400)], "entity_id string"), 3, ["PUBLISHES_TO", "BELONGS_TO"]).collect()
+    near = {}
+    for i in range(2400):
+        # Its context's 800 members and the members that share a topic (their groups of 8 are neighbours), each with an edge to a context and two to topics.
+        near[i] = {*range(i % 3, 2400, 3), *(j for j in range(max(0, (i // 8 - 1) * 8), min(2400, (i // 8 + 2) * 8)))}
+    want = {}
+    for i, members in near.items():
+        want[f"s{i}", "BELONGS_TO"], want[f"s{i}", "PUBLISHES_TO"] = len(members) + 3, 2 * len(members)
+    assert {(r.root, r.type): r.n for r in got} == want
+    # 5 blocks or more: without classes there are 2,400 rows for each, 12,000 at least.
+    assert sizes["flat"][0].count() == 0 and sizes["far"][0].count() < 2 * 2400 * 2
